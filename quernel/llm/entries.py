@@ -23,8 +23,91 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points in at least 5 documents stay in the largest doc_id alone."""
+    from quernel.llm import linededup
+
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), least=5, shortest=40, with_text=False)
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all texts as ISO media files, read them back and walk their boxes."""
+    from quernel.llm import isomedia
+
+    return isomedia.digests(isomedia.store(table(spark, sf_dir, "documents")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find all windows of 10 words of the benchmark in all documents."""
+    from quernel.llm import decontam
+
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    listed = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to the weights 5, 2, 1 of their sources."""
+    from quernel.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_line_dedup": op2_line_dedup,
+    "op6_media_columns": op6_media_columns,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_mixing": op9_mixing,
 }
 
-SQL: dict[str, str] = {}
+BLANKS = r"[\x20\x09-\x0D]"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINE_DEDUP_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT *, {LOWER.format(f"regexp_replace(regexp_replace(line, '^{BLANKS}+', ''), '{BLANKS}+$', '')")} AS key FROM l),
+c AS (SELECT key, count(DISTINCT r) AS n, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+m AS (SELECT k.r, k.doc_id, k.line, k.i, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper AS gone FROM k LEFT JOIN c USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+DECONTAMINATE_SQL = r"""
+WITH norm AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM norm, sizes WHERE len(w) >= n)),
+hits AS (SELECT places.r, places.i, places.n, wins.item_id FROM places JOIN wins ON wins.win = places.win AND wins.n = places.n),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM norm LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+MIXING_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANKS}+'), lambda x: x <> '')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS unit FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_over,
+             CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest, row_number() OVER o AS place
+      FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)),
+f AS (SELECT min(place) AS p0, arg_min(left_over, place) AS lo, arg_min(rest, place) AS re FROM l WHERE weight * left_over <= 3 * source_size * rest),
+t AS (SELECT source, source_size, CASE WHEN p0 IS NULL OR place < p0 THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * lo AS DOUBLE) / re END AS target FROM l, f),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS copies FROM t),
+r AS (SELECT d.doc_id, d.source, d.size, b.source_size, b.target, b.copies, CAST(floor(b.target) AS BIGINT) - b.copies * b.source_size AS budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.unit RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, size, source_size, target, CAST(size * least(copies + CASE WHEN upto <= budget THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken FROM r
+"""
+
+SQL = {
+    "op2_line_dedup": LINE_DEDUP_SQL,
+    "op8_decontaminate": DECONTAMINATE_SQL,
+    "op9_mixing": MIXING_SQL,
+}
