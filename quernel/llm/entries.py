@@ -30,6 +30,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), least=5, shortest=40, with_text=False)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a similarity of at least 0.85."""
+    from quernel.llm import bottomk
+
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store all texts as ISO media files, read them back and walk their boxes."""
     from quernel.llm import isomedia
@@ -53,12 +60,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label the words of all documents by a chain of languages learned from documents that are not held out."""
+    from quernel.llm import langcrf
+
+    docs = table(spark, sf_dir, "documents")
+    return langcrf.identify(docs, langcrf.train(docs))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_line_dedup": op2_line_dedup,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_media_columns": op6_media_columns,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -106,7 +123,20 @@ r AS (SELECT d.doc_id, d.source, d.size, b.source_size, b.target, b.copies, CAST
 SELECT doc_id, source, size, source_size, target, CAST(size * least(copies + CASE WHEN upto <= budget THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken FROM r
 """
 
+NEAR_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '{BLANKS}+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 85 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, c = s.doc_id AS kept
+FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = s.doc_id
+"""
+
 SQL = {
+    "op3_near_duplicates": NEAR_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
     "op8_decontaminate": DECONTAMINATE_SQL,
     "op9_mixing": MIXING_SQL,
