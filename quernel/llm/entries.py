@@ -37,6 +37,27 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append all documents as 16 arrivals of small shards, compact them by size, and read the last version."""
+    from quernel.llm import compaction
+    from quernel.llm._shared import scratch
+    from quernel.llm.mixing import unit
+
+    arrival = F.pmod(unit(F.col("doc_id")), F.lit(16))
+    store = compaction.ShardStore(spark, scratch(spark, "shards"), fan_in=4, base_bytes=1 << 20, target_bytes=128 << 20)
+    store.append_all(table(spark, sf_dir, "documents"), arrival)
+    return store.read().select(
+        "doc_id", "lang", "source", "n_chars", arrival.alias("arrival"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw documents like those labelled good and not toxic, as many as their share of the labels tells."""
+    from quernel.llm import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store all texts as ISO media files, read them back and walk their boxes."""
     from quernel.llm import isomedia
@@ -44,6 +65,14 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.digests(isomedia.store(table(spark, sf_dir, "documents")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC records, merge the archives' capture indexes, and read the records back by the merged index."""
+    from quernel.llm import warc
+
+    folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, warc.merge_index(spark, folder, manifest)).drop("urlkey", "captured")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find all windows of 10 words of the benchmark in all documents."""
     from quernel.llm import decontam
@@ -72,7 +101,10 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_compaction": op4_compaction,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_media_columns": op6_media_columns,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
@@ -135,9 +167,23 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, c = s
 FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = s.doc_id
 """
 
+WARC_SQL = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h),
+m AS (SELECT d.*, CASE WHEN o.first IS NOT NULL AND page_id IS DISTINCT FROM o.first THEN o.first END AS refers_to FROM d LEFT JOIN o USING (h))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM m
+"""
+
+COMPACTION_SQL = """
+SELECT doc_id, lang, source, n_chars, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % 16 AS arrival,
+       CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
 SQL = {
     "op3_near_duplicates": NEAR_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
+    "op4_compaction": COMPACTION_SQL,
+    "op7_warc": WARC_SQL,
     "op8_decontaminate": DECONTAMINATE_SQL,
     "op9_mixing": MIXING_SQL,
 }

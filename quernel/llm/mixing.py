@@ -90,12 +90,8 @@ def thresholds(docs: DataFrame, budgets: DataFrame, bits: int = BITS, step: int
     return edge.select("source", F.col("low").alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document.
-
-    Spark broadcasts the table of sources if its size allows, and else joins by sorting with hot sources split.
-    Documents of one source are never gathered, only their sums by bucket are.
-    """
+def planned(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' (doc_id, source, size, unit), and for each source s its source_size, target, copies and threshold."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), unit(F.col(id_col)).alias("unit")
     )
@@ -106,6 +102,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
     goal = goal.withColumn("copies", copies).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("copies") * F.col("source_size"))
     cut = thresholds(sized.select("source", "size", "unit"), goal.select("source", "budget"))
     plan = goal.join(cut.withColumnsRenamed({"source": "s"}), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    out = sized.join(plan.withColumnsRenamed({"source": "s"}), F.col("source").eqNullSafe(F.col("s")))
-    extra = (F.col("unit") < F.col("threshold")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(F.col("copies") + extra, F.lit(most))).alias("taken"))
+    return sized, written(plan.withColumnRenamed("source", "s"), "mix-plan")
+
+
+def times(most: int) -> Column:
+    """How often a document is taken, from the plan's columns and its unit."""
+    return F.least(F.col("copies") + (F.col("unit") < F.col("threshold")).cast("long"), F.lit(most))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every document.
+
+    Spark broadcasts the table of sources if its size allows, and else joins by sorting with hot sources split.
+    Documents of one source are never gathered, only their sums by bucket are.
+    """
+    sized, plan = planned(docs, weights, most, id_col, text_col, source_col)
+    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(most)).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken. Texts of size 0 are never taken."""
+    _, plan = planned(docs, weights, most, id_col, text_col, source_col)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).alias("source"), unit(F.col(id_col)).alias("unit"), (F.size(words_of(F.col(text_col))) > 0).alias("some"))
+    taken = row.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter("some")
+    copies = taken.select("row", F.explode(F.array_repeat(F.lit(1), times(most).cast("int"))))
+    return copies.select("row.*")
