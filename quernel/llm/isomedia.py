@@ -33,6 +33,9 @@ FILL = b"\xff"
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"mvex", b"moof", b"traf", b"udta"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 TRACKS = "array<struct<codec:string,handler:string,timescale:long,duration:long,n_samples:long,n_bytes:long,keyframes:array<struct<time:long,offset:long,size:long>>>>"
+LONGS = ("timescale", "duration", "n_samples", "n_bytes")
+KEYFRAME = pa.struct([(n, pa.int64()) for n in ("time", "offset", "size")])
+ARROW_TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("handler", pa.string()), *((n, pa.int64()) for n in LONGS), ("keyframes", pa.list_(KEYFRAME))]))
 
 
 # ---- Writing
@@ -222,13 +225,9 @@ def probe_one(data: bytes | None) -> tuple[list[dict], str | None]:
 
 
 def probe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = to_arrow_type(_parse_datatype_string(TRACKS))
     for batch in batches:
         found = [probe_one(x.as_py()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], kind), pa.array([e for _, e in found], pa.string())], ["id", "tracks", "error"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], ARROW_TRACKS), pa.array([e for _, e in found], pa.string())], ["id", "tracks", "error"])
 
 
 def probe(media: DataFrame, id_col: str, media_col: str) -> DataFrame:

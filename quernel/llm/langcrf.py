@@ -351,10 +351,7 @@ def label_words(model: Model, text: str) -> list[tuple[int, int, str, float]]:
 
 
 def run_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    model, kind = model_at(path), to_arrow_type(_parse_datatype_string(RUNS))
+    model = model_at(path)
     for batch in batches:
         out = []
         for text in batch.column("text"):
@@ -365,10 +362,11 @@ def run_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
                 else:
                     runs.append({"begin": begin, "end": end, "lang": lang, "words": 1})
             out.append(runs)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "runs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, ARROW_RUNS)], ["doc_id", "runs"])
 
 
 RUNS = "array<struct<begin:int,end:int,lang:string,words:int>>"
+ARROW_RUNS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("words", pa.int32())]))
 
 
 def tag(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -288,7 +288,7 @@ def unframe(data: bytes, starts: Iterable[int]) -> list[bytes]:
         heads.append(data[at : at + 8])
         (size,) = struct.unpack("<Q", heads[-1])
         payload = data[at + 12 : at + 12 + size]
-        if len(payload) != size:
+        if len(data) < at + 16 + size:
             raise ValueError("a record is cut short")
         payloads.append(payload)
         sums.append(struct.unpack("<II", data[at + 8 : at + 12] + data[at + 12 + size : at + 16 + size]))

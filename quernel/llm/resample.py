@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling.
 
-Target text (labelled good and not toxic) and raw text (all documents) each get a generative model: the counts of hashed
-n-grams (runs of letters and digits or of signs, and pairs of neighbours) with ``SMOOTH`` added. A
-document's log weight is the mean over its n-grams of ``log(target / raw)``, so that its length alone neither
-favours nor punishes it. Adding Gumbel noise and taking the ``k`` largest keys draws ``k`` documents without replacement
-with chances in the ratio of ``exp(log weight / TEMPERATURE)``; by default ``k`` is the target's share of the labelled
-documents, times all documents.
+Target text (labelled good and not toxic) and raw text (all documents) each get a generative model of hashed n-grams: the
+share of documents in which an n-gram (a run of letters and digits or of signs, or a pair of neighbours; a pair
+of equal words stands for the length of its run) occurs, with ``SMOOTH`` added. A document's log weight sums
+``log(target / raw)`` over its distinct n-grams, leaving out those whose ratio is within ``exp(DECISIVE)`` of 1, and
+divides by the root of their number, so that length alone neither favours nor punishes. Adding Gumbel noise
+and taking the ``k`` largest keys draws ``k`` documents without replacement with chances in the ratio of ``exp(log weight /
+TEMPERATURE)``; by default ``k`` is the target's share of the labelled documents, times all documents.
 
 Counts cover all documents: each counting task sends a row for each n-gram bucket that it met, and the buckets are summed.
 The k-th key is found by histograms: keys are counted by bins, and only the bin that holds the k-th is counted
@@ -30,7 +31,8 @@ from quernel.llm._shared import BLANKS, batches_of, scratch, task, utf8, written
 
 BITS = 18
 SMOOTH = 1.0
-TEMPERATURE = 0.002
+DECISIVE = 2.0
+TEMPERATURE = 0.02
 SEED = 17
 BATCH = 2_000_000
 BROADCAST_ROWS = 2_000_000
@@ -68,59 +70,78 @@ def grams(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = hashes * ODD[0]
     pairs[:-1] += hashes[1:]
     pairs = ((pairs ^ (pairs >> np.uint64(31))) * STEP >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS)
+    # a pair of equal words is an n-gram for how long the run of that word is by now (1, 2, 4 ...), whatever the word
+    numbers = np.arange(len(hashes))
+    turn = numbers - np.maximum.accumulate(np.where(np.append(False, hashes[1:] == hashes[:-1]), 0, numbers))
+    again = np.flatnonzero(turn > 0)
+    pairs[again - 1] = (1 << BITS) + np.log2(turn[again]).astype(np.int64)
     alone = np.zeros(len(single), bool)
     alone[cuts[1:][cuts[1:] > cuts[:-1]] - 1] = True
     both = np.stack([single, np.where(alone, -1, pairs)], 1)
     return both.ravel(), 2 * cuts
 
 
+def distinct(buckets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct buckets: the text's number, and the bucket."""
+    rows = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    pairs = np.unique((rows << (BITS + 1) | buckets)[buckets >= 0])
+    return pairs >> (BITS + 1), pairs & ((2 << BITS) - 1)
+
+
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of n-grams by bucket over a whole partition: (bucket, raw, target)."""
+    """The documents of a whole partition that hold each bucket: (bucket, raw, target). Bucket -1 counts the documents."""
     raw_counts, target = np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS, np.int64)
+    documents = np.zeros(2, np.int64)
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
-        buckets, cuts = grams(*utf8(batch.column("text")))
-        raw_counts += np.bincount(buckets[buckets >= 0], minlength=2 << BITS)
-        wanted = np.repeat(batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool), np.diff(cuts)) & (buckets >= 0)
-        target += np.bincount(buckets[wanted], minlength=2 << BITS)
+        wanted = batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
+        rows, found = distinct(*grams(*utf8(batch.column("text"))))
+        raw_counts += np.bincount(found, minlength=2 << BITS)
+        target += np.bincount(found[wanted[rows]], minlength=2 << BITS)
+        documents += len(wanted), wanted.sum()
     met = np.flatnonzero(raw_counts)
-    yield pa.RecordBatch.from_pydict({"bucket": met, "raw": raw_counts[met], "target": target[met]})
+    columns = {"bucket": np.append(-1, met), "raw": np.append(documents[0], raw_counts[met]), "target": np.append(documents[1], target[met])}
+    yield pa.RecordBatch.from_pydict(columns)
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log(target / raw) of each bucket, in each of the two tables."""
-    out = np.zeros(2 << BITS, np.float64)
-    for part in (slice(0, 1 << BITS), slice(1 << BITS, None)):
-        t, r = target[part].sum(), raw[part].sum()
-        if t:
-            out[part] = np.log((target[part] + SMOOTH) / (raw[part] * (t / r) + SMOOTH))
-    return out
+class Counts:
+    """In how many documents, and in how many of the target's, each n-gram bucket occurs."""
 
+    def __init__(self, raw: np.ndarray, target: np.ndarray, share: float):
+        self.raw, self.target, self.share = raw, target, share
 
-_RATIOS: dict[str, np.ndarray] = {}
+    def log_weights(self, buckets: np.ndarray, cuts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The log weight of each text, NaN without n-grams.
 
+        A text itself is taken off the counts first: the models would else favour the texts they were made from.
+        """
+        rows, found = distinct(buckets, cuts)
+        target = self.target[found] - wanted[rows]
+        expected = (self.raw[found] - 1) * self.share
+        ratios = np.log((target + SMOOTH) / (expected + SMOOTH)) if self.share else np.zeros(len(found))
+        size = len(cuts) - 1
+        sums = np.bincount(rows, np.where(np.abs(ratios) > DECISIVE, ratios, 0.0), size)
+        counts = np.bincount(rows, minlength=size)
+        return np.where(counts > 0, sums / np.sqrt(np.maximum(counts, 1)), np.nan)
 
-def ratios_at(path: str) -> np.ndarray:
-    if path not in _RATIOS:
-        store, base = pafs.FileSystem.from_uri(path)
-        with store.open_input_stream(base) as file:
-            _RATIOS.clear()
-            _RATIOS[path] = np.frombuffer(file.read(), np.float64)
-    return _RATIOS[path]
 
+_COUNTS: dict[str, Counts] = {}
 
-def means(ratios: np.ndarray, column: pa.Array) -> np.ndarray:
-    """The log weight of each text; NaN without n-grams."""
-    buckets, cuts = grams(*utf8(column))
-    values = np.where(buckets >= 0, ratios[buckets], 0.0)
-    sums = np.diff(np.append(0.0, np.cumsum(values))[cuts])
-    counts = np.diff(np.append(0, np.cumsum(buckets >= 0))[cuts])
-    return np.where(counts > 0, sums / np.maximum(counts, 1), np.nan)
+
+def counts_at(path: str) -> Counts:
+    if path not in _COUNTS:
+        store, base = pafs.FileSystem.from_uri(path)
+        with store.open_input_stream(base) as file:
+            values = np.frombuffer(file.read(), np.float64)
+        _COUNTS.clear()
+        _COUNTS[path] = Counts(values[1 : 1 + (2 << BITS)], values[1 + (2 << BITS) :], float(values[0]))
+    return _COUNTS[path]
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    ratios = ratios_at(path)
+    counts = counts_at(path)
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
-        weights = means(ratios, batch.column("text"))
+        buckets, cuts = grams(*utf8(batch.column("text")))
+        weights = counts.log_weights(buckets, cuts, batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), batch.column("tie"), pa.array(weights, pa.float64(), from_pandas=True)], ["doc_id", "noise", "tie", "log_weight"])
 
 
@@ -172,23 +193,25 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     wanted = marks.filter("good = 1").select("doc_id", F.lit(True).alias("wanted"))
     if n_good <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    marked = source.join(wanted, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    marked = source.join(wanted, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     # fewer, larger partial sums: a task sends up to 2**(BITS + 1) rows whatever it has read
-    marked = marked.coalesce(4 * spark.sparkContext.defaultParallelism)
-    counts = marked.mapInArrow(task(count_batches), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    few = marked.select("text", "wanted").coalesce(4 * spark.sparkContext.defaultParallelism)
+    counts = few.mapInArrow(task(count_batches), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # 2**(BITS + 1) rows at most, whatever the corpus holds
     found = counts.toPandas()
     raw, target = np.zeros(2 << BITS), np.zeros(2 << BITS)
-    raw[found.bucket], target[found.bucket] = found.raw, found.target
-    path = scratch(spark, "ratios")
+    grams_met, documents = found[found.bucket >= 0], found[found.bucket < 0]
+    raw[grams_met.bucket], target[grams_met.bucket] = grams_met.raw, grams_met.target
+    share_of_target = documents.target.sum() / max(1, documents.raw.sum())
+    path = scratch(spark, "ngram-counts")
     store, base = pafs.FileSystem.from_uri(path)
     store.create_dir(base.rpartition("/")[0], recursive=True)
     with store.open_output_stream(base) as file:
-        file.write(log_ratios(raw, target).tobytes())
+        file.write(np.concatenate([[share_of_target], raw, target]).tobytes())
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     noise = -F.log(-F.log(unit))
     kind = source.schema["doc_id"].dataType.simpleString()
-    prepared = source.select("doc_id", "text", noise.alias("noise"), F.xxhash64("text").alias("tie"))
+    prepared = marked.select("doc_id", "text", "wanted", noise.alias("noise"), F.xxhash64("text").alias("tie"))
     scored = prepared.mapInArrow(task(score_batches, path), f"doc_id {kind}, noise double, tie long, log_weight double")
     keyed = written(scored.select("doc_id", "log_weight", (F.col("log_weight") / TEMPERATURE + F.col("noise")).alias("key"), "tie"), "resample-keys")
     rows = keyed.count()
