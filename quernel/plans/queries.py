@@ -596,3 +596,95 @@ def detection_ap(spark, sf_dir):
     truths = rows.filter("l_partkey % 4 > 0").select("image", "category", box(F.lit(0.0)).alias("box"))
     found = rows.filter("l_partkey % 5 > 0").select("image", "category", box(F.col("l_discount") * 200).alias("box"), F.lit(1.0).alias("score"))
     return S.average_precision(found, truths)
+
+
+# ---- Two-armed trajectories, made from the events' values
+
+
+def arm_frames(spark, sf_dir) -> DataFrame:
+    """State vectors whose slots are simple functions of the signal."""
+    v = F.col("v")
+    turned = lambda angle: (F.cos(angle), F.sin(angle), F.lit(0.0), F.lit(0.0))
+    slots = [v / 100, v % 7 / 70, F.lit(0.0), *turned(v / 200), v % 10 / 10, v % 3 / 30, F.lit(0.0), v / 300, *turned(v % 5 / 20), v % 4 / 4]
+    return trajectories(spark, sf_dir).select("ep", "f", F.array(*(s.cast("double") for s in slots)).alias("state"))
+
+
+AF = FR + """, am AS (SELECT ep, f, v / 100 AS lx, v % 7 / 70 AS ly, v / 200 AS la, v % 10 / 10 AS lg, v % 3 / 30 AS rx, v / 300 AS rz, v % 5 / 20 AS ra, v % 4 / 4 AS rg FROM fr),
+sp AS (SELECT ep, f // 10 AS idx, f // 10 * 10 AS start, least(f // 10 * 10 + 9, max(f) OVER (PARTITION BY ep)) AS "end", f FROM am),
+ab AS (SELECT am.*, idx, start, "end" FROM am JOIN sp USING (ep, f)),
+dl AS (SELECT ep, idx, start, "end", f, lg, rg, coalesce(sqrt((lx - lag(lx) OVER w) ** 2 + (ly - lag(ly) OVER w) ** 2), 0) AS lp, coalesce(sqrt((rx - lag(rx) OVER w) ** 2 + (rz - lag(rz) OVER w) ** 2), 0) AS rp,
+coalesce(2 * acos(least(1.0, abs(cos(la - lag(la) OVER w)))), 0) AS lt, coalesce(2 * acos(least(1.0, abs(cos(ra - lag(ra) OVER w)))), 0) AS rt, coalesce(abs(lg - lag(lg) OVER w), 0) AS lgs, coalesce(abs(rg - lag(rg) OVER w), 0) AS rgs FROM ab WINDOW w AS (PARTITION BY ep, idx ORDER BY f))"""
+
+
+def arm_spans(rows: DataFrame) -> DataFrame:
+    """Spans of ten frames; the left arm acts in even ones, both in odd ones."""
+    idx = F.floor(F.col("f") / 10)
+    out = rows.groupBy("ep", idx.alias("idx")).agg(F.min("f").alias("start"), F.max("f").alias("end"))
+    return out.select("ep", "idx", "start", "end", F.lit(True).alias("left"), (F.col("idx") % 2 == 1).alias("right"))
+
+
+@query(f"""WITH {AF} SELECT ep, idx, round(sum(lp), 6) AS left_length, round(max(lp), 6) AS left_max_step, round(max(lg) - min(lg), 6) AS left_grip_range, round(arg_max(lg, f) - arg_min(lg, f), 6) AS left_grip_change, max(lg) >= 0.5 AND min(lg) < 0.5 AS left_crossed,
+round(sum(rp), 6) AS right_length, round(max(rp), 6) AS right_max_step, round(max(rg) - min(rg), 6) AS right_grip_range, round(arg_max(rg, f) - arg_min(rg, f), 6) AS right_grip_change, max(rg) >= 0.5 AND min(rg) < 0.5 AS right_crossed FROM dl GROUP BY ep, idx""")
+def arm_motion(spark, sf_dir):
+    from quernel.operators import trajectory
+
+    rows = arm_frames(spark, sf_dir)
+    out = trajectory.arm_motion(rows, arm_spans(rows))
+    return out.select("ep", "idx", *(F.round(c, 6).alias(c) if not c.endswith("crossed") else F.col(c) for c in out.columns[2:]))
+
+
+@query(f"""WITH {AF}, ac AS (SELECT *, lp + CASE WHEN idx % 2 = 1 THEN rp ELSE 0 END AS p, lt + CASE WHEN idx % 2 = 1 THEN rt ELSE 0 END AS t, lgs + CASE WHEN idx % 2 = 1 THEN rgs ELSE 0 END AS g FROM dl),
+cu AS (SELECT *, sum(p) OVER w AS cp, sum(t) OVER w AS ct, sum(g) OVER w AS cg, sum(p) OVER a AS tp, sum(t) OVER a AS tt, sum(g) OVER a AS tg FROM ac WINDOW w AS (PARTITION BY ep, idx ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY ep, idx)),
+sh AS (SELECT *, list_filter([CASE WHEN tp >= 0.01 THEN least(1.0, cp / tp) END, CASE WHEN tt >= radians(2) THEN least(1.0, ct / tt) END, CASE WHEN tg >= 0.05 THEN least(1.0, cg / tg) END], lambda x: x IS NOT NULL) AS s FROM cu)
+SELECT ep, idx, f, round(CASE WHEN f <= start THEN 0.0 WHEN f >= "end" THEN 1.0 WHEN len(s) > 0 THEN list_sum(s) / len(s) ELSE (f - start) / greatest(1, "end" - start) END, 5) AS progress FROM sh""")
+def arm_progress(spark, sf_dir):
+    from quernel.operators import trajectory
+
+    rows = arm_frames(spark, sf_dir)
+    return trajectory.progress(rows, arm_spans(rows)).select("ep", "idx", "f", F.round("progress", 5).alias("progress"))
+
+
+@query()
+def arm_events(spark, sf_dir):
+    from quernel.operators import trajectory
+
+    return trajectory.gripper_events(arm_frames(spark, sf_dir))
+
+
+@query()
+def arm_segments(spark, sf_dir):
+    from quernel.operators import trajectory
+
+    return trajectory.motion_segments(arm_frames(spark, sf_dir))
+
+
+@query("""WITH u AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'data:image/png;base64,' || left(md5(url), 8) WHEN page_id % 5 = 1 THEN 'file://' || url WHEN page_id % 5 = 2 THEN regexp_extract(url, '[^/]*$') ELSE url END AS u FROM pages)
+SELECT CASE WHEN regexp_matches(u, '^https?://') THEN 'web' WHEN starts_with(u, 'file://') THEN 'file' WHEN starts_with(u, 'data:image') THEN 'inline' ELSE 'path' END AS kind, count(*) AS n FROM u GROUP BY 1""")
+def media_uri_kinds(spark, sf_dir):
+    from quernel.sources import readers
+
+    k = F.col("page_id") % 5
+    uri = F.when(k == 0, F.concat(F.lit("data:image/png;base64,"), F.left(F.md5("url"), F.lit(8)))).when(k == 1, F.concat(F.lit("file://"), "url")).when(k == 2, F.regexp_extract("url", "[^/]*$", 0)).otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").groupBy(readers.media_kind(uri).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user' AND contains(text, 'la')) AS marks, count(*) FILTER (role = 'assistant') AS media, bool_or(role = 'assistant' AND contains(text, 'und')) AS stray FROM conversations GROUP BY conv_id)
+SELECT count(*) AS n, count(*) FILTER (marks = media AND NOT stray) AS valid, count(*) FILTER (marks > media) AS missing, count(*) FILTER (marks < media) AS unused, count(*) FILTER (stray) AS strays FROM c""")
+def validation_stats(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    held = lambda w: F.contains("text", F.lit(w))
+    one = rows.groupBy("conv_id").agg(F.count_if((F.col("role") == "user") & held("la")).alias("marks"), F.count_if(F.col("role") == "assistant").alias("media"), F.bool_or((F.col("role") == "assistant") & held("und")).alias("stray"))
+    return one.agg(
+        F.count("*").alias("n"), F.count_if((F.col("marks") == F.col("media")) & ~F.col("stray")).alias("valid"), F.count_if(F.col("marks") > F.col("media")).alias("missing"),
+        F.count_if(F.col("marks") < F.col("media")).alias("unused"), F.count_if("stray").alias("strays"),
+    )
+
+
+@query("""WITH j AS (SELECT n_regionkey, c_mktsegment, avg(c_acctbal) AS a FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT n_regionkey::VARCHAR AS region, c_mktsegment AS segment, round(a, 4) AS mean FROM j UNION ALL SELECT 'Average', c_mktsegment, round(avg(a), 4) FROM j GROUP BY c_mktsegment""")
+def macro_average(spark, sf_dir):
+    """Means by data set, and the mean of these means appended as a row."""
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    means = read(spark, sf_dir, "customer").join(nation, "c_nationkey").groupBy("n_regionkey", F.col("c_mktsegment").alias("segment")).agg(F.avg("c_acctbal").alias("a"))
+    one = means.select(F.col("n_regionkey").cast("string").alias("region"), "segment", F.round("a", 4).alias("mean"))
+    return one.unionByName(means.groupBy("segment").agg(F.round(F.avg("a"), 4).alias("mean")).select(F.lit("Average").alias("region"), "segment", "mean"))
