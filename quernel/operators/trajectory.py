@@ -6,6 +6,7 @@ Windows are partitioned by episode (and span) and ordered by frame.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +104,62 @@ def motion_segments(frames: DataFrame, idle: int = 2) -> DataFrame:
     # a change of the set within the idle gap closes the run just before the next one's first frame
     until = F.lead("start").over(later)
     end = F.when(until - F.col("last") <= idle, until).otherwise(F.col("last"))
-    return runs.select("ep", F.greatest(F.lit(0), "start").alias("start"), F.coalesce(end, "last").alias("end"), ((F.col("set") % 2) == 1).alias("left"), (F.col("set") >= 2).alias("right"))
+    closed = runs.select("ep", "run", "set", F.greatest(F.lit(0), "start").alias("start"), F.coalesce(end, "last").alias("end"))
+    # neighbours with one set and a short way between them are one segment
+    apart = F.coalesce(((F.col("set") != F.lag("set").over(later)) | (F.col("start") - F.lag("end").over(later) > idle + 1)).cast("int"), F.lit(1))
+    joined = closed.withColumn("apart", apart).withColumn("part", F.sum("apart").over(later)).groupBy("ep", "part", "set").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.select("ep", "start", "end", ((F.col("set") % 2) == 1).alias("left"), (F.col("set") >= 2).alias("right"))
+
+
+def gripper_groups(events: DataFrame, gap: int = 3) -> DataFrame:
+    """(ep, start, end, frame, kind, left, right): events of one kind and different arms at most ``gap`` frames apart are one group.
+
+    Each event, in order, takes all free partners, so the choice depends on those before it; an episode has few events.
+    """
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["frame", "arm", "kind"]).to_dict("records")
+        free, out = list(range(len(rows))), []
+        while free:
+            lead = rows[free.pop(0)]
+            mates = [k for k in free if rows[k]["kind"] == lead["kind"] and rows[k]["arm"] != lead["arm"] and abs(rows[k]["frame"] - lead["frame"]) <= gap]
+            free = [k for k in free if k not in mates]
+            every = [lead, *(rows[k] for k in mates)]
+            arms = {e["arm"] for e in every}
+            out.append((lead["ep"], min(e["start_frame"] for e in every), max(e["end_frame"] for e in every), min(e["frame"] for e in every), lead["kind"], "left" in arms, "right" in arms))
+        return pd.DataFrame(out, columns=["ep", "start", "end", "frame", "kind", "left", "right"])
+
+    kind = events.schema["ep"].dataType.simpleString()
+    whole = events.withColumn("start_frame", F.coalesce("start_frame", "frame")).withColumn("end_frame", F.coalesce("end_frame", "frame"))
+    return whole.groupBy("ep").applyInPandas(group, f"ep {kind}, start long, end long, frame long, kind string, left boolean, right boolean")
+
+
+def compatible(a: str, b: str) -> Column:
+    """Whether a segment and a group share an arm (a segment of both arms goes with any group)."""
+    return (F.col(f"{a}.left") & F.col(f"{b}.left")) | (F.col(f"{a}.right") & F.col(f"{b}.right"))
+
+
+def joined_segments(segments: DataFrame, groups: DataFrame) -> DataFrame:
+    """Neighbouring segments with the same arms become one, unless a gripper group starts between them."""
+    order = Window.partitionBy("ep").orderBy("start", "end")
+    same = (F.col("left") == F.lag("left").over(order)) & (F.col("right") == F.lag("right").over(order))
+    numbered = segments.withColumn("before", F.lag("end").over(order)).withColumn("same", F.coalesce(same, F.lit(False)))
+    starts = groups.select("ep", F.col("start").alias("g"))
+    between = numbered.join(starts, (numbered.ep == starts.ep) & (F.col("g") > F.col("before")) & (F.col("g") < F.col("start")), "left_semi").select("ep", "start", "end", F.lit(True).alias("cut"))
+    marked = numbered.join(between, ["ep", "start", "end"], "left").withColumn("new", (~F.col("same") | F.coalesce("cut", F.lit(False))).cast("int"))
+    parts = marked.withColumn("part", F.sum("new").over(order)).groupBy("ep", "part").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.first("left").alias("left"), F.first("right").alias("right"))
+    return parts.drop("part")
+
+
+def split_segments(segments: DataFrame, groups: DataFrame) -> DataFrame:
+    """Segments cut after the ends of the compatible gripper groups inside them."""
+    s, g = segments.alias("s"), groups.alias("g")
+    inside = (F.col("s.ep") == F.col("g.ep")) & (F.col("g.end") >= F.col("s.start")) & (F.col("g.end") < F.col("s.end")) & (F.col("g.start") <= F.col("s.end")) & compatible("s", "g")
+    cuts = s.join(g, inside, "left").groupBy(*(F.col(f"s.{c}").alias(c) for c in ("ep", "start", "end", "left", "right"))).agg(F.array_sort(F.collect_set("g.end")).alias("cuts"))
+    begins = F.concat(F.array("start"), F.transform("cuts", lambda c: c + 1))
+    ends = F.concat("cuts", F.array("end"))
+    pieces = F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b")))
+    return cuts.select("ep", "left", "right", pieces.alias("p")).select("ep", F.col("p.a").alias("start"), F.col("p.b").alias("end"), "left", "right").filter("start <= end")
 
 
 def arm_motion(frames: DataFrame, spans: DataFrame) -> DataFrame:
