@@ -61,3 +61,21 @@ def test_groups_and_segments(spark):
     assert [(r.start, r.end) for r in joined.orderBy("start").collect()] == [(0, 8), (14, 35), (36, 50)]
     parts = trajectory.split_segments(joined, groups)
     assert [(r.start, r.end, r.left) for r in parts.orderBy("start").collect()] == [(0, 8, True), (14, 31, True), (32, 35, True), (36, 41, False), (42, 50, False)]
+
+
+def test_prompts(spark):
+    from quernel.functions import prompts
+
+    rows = spark.createDataFrame([("1", "What?", "red", "blue", None, "A", "A."), ("2", "Why?", None, None, None, "because", "it is because of that"), ("3", "Who?", "x", "y", "z", "C", "no idea")], "index string, question string, A string, B string, C string, answer string, prediction string")
+    options = prompts.choices(rows.columns)
+    shown = {r["index"]: r for r in rows.select("index", options.alias("o"), prompts.question_prompt(F.col("question"), options).alias("p")).collect()}
+    assert shown["1"].o == {"A": "red", "B": "blue"} and shown["1"].p.startswith("Question: What?\nOptions:\nA. red\nB. blue\nPlease") and shown["2"].p == "Question: Why?"
+    closed = prompts.closed(rows)
+    assert {r["index"]: (r.A, r.B) for r in closed.collect()}["2"] == ("because", "Other Answers")
+    got = {r["index"]: r for r in prompts.scored(closed, prompts.choices(rows.columns)).collect()}
+    assert (got["1"].extracted_answer, got["1"].extraction_method, got["1"].hit) == ("A", "rule", 1)
+    assert got["2"].extracted_answer == "A" and got["2"].extraction_success and got["3"].extraction_method == "random"
+    assert value(spark, prompts.video_prompt(F.lit("q"), F.array(F.lit("A. a"), F.lit("B. b")))).endswith("\nQuestion: q\nA. a\nB. b\nThe best answer is:")
+    assert value(spark, prompts.answer_number(F.lit("C"))) == 2
+    with pytest.raises(Exception, match="not an option"):
+        value(spark, prompts.answer_number(F.lit("F")))
