@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -43,7 +44,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def task(function, *args, **kwargs):
     """A function of batches for mapInArrow. Only its arguments travel; the function is imported by the worker."""
-    return lambda batches: function(batches, *args, **kwargs)
+
+    def run(batches):
+        try:
+            yield from function(batches, *args, **kwargs)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give memory that is free inside this process back to the machine: workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+_HELD: dict[str, tuple] = {}
+
+
+def holds(owner: str, *caches) -> None:
+    """Tell that an operator begins, whose caches these are; the caches of the operators before it are emptied."""
+    for other in [k for k in _HELD if k != owner]:
+        for cache in _HELD.pop(other):
+            cache.clear()
+    _HELD[owner] = caches
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,9 @@ is the ``k`` smallest of them. All work is on distinct sets: documents with equa
    no larger than ``k`` surely, and for larger ones but for a chance below ``LOSS`` a pair. So, with each
    sketch in one common order, rare values first, both have a shared value among their first ``size - o + 1``
    (a prefix filter): only these enter lists, and a passage that a third of all documents share
-   stays out of the lists of documents that have enough else.
+   stays out of the lists of documents that have enough else. At the first value that two sets share, neither may be
+   so far down its order that too few values are left (a positional filter). Small sketches find the
+   documents that can have a partner at all; only these get sketches of ``FINE`` values, on which the lists are built.
 2. Stars. A list never gives all its pairs. First each list links its members to its first one; then, where members
    of a list are still in different components, to another one drawn for each list. Components are joined after each round.
 3. The rest. Whatever pairs of a list are still in different components, and of sizes that allow the
@@ -35,14 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import BLANKS, batches_of, task, utf8, written
+from quernel.llm._shared import BLANKS, batches_of, holds, task, utf8, written
 
 K = 64
+FINE = 512
 #: A table of ids is broadcast up to so many rows (8 bytes each); beyond it, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: The chance that a pair of the least similarity is not seen in the lists.
 LOSS = 1e-12
-BATCH = 2_000_000
+BATCH = 1_000_000
 DIGESTS = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
 FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -113,6 +116,7 @@ def least_shared(k: int, similarity: float) -> int:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], words: int, k: int) -> Iterator[pa.RecordBatch]:
+    holds("bottomk")
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         sets = shingle_sets(*utf8(batch.column("text")), words)
         yield pa.RecordBatch.from_arrays(
@@ -142,6 +146,11 @@ def verify_batches(batches: Iterator[pa.RecordBatch], words: int, percent: int)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is short enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 class NearDuplicates:
     """One run over a table of documents."""
 
@@ -152,23 +161,41 @@ class NearDuplicates:
         self.digests = written(self.docs.mapInArrow(task(sketch_batches, words, k), DIGESTS), "sketches")
         known = self.digests.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
         # equal sets have equal sketches and sizes
+        self.repeats = known.count() > known.select("doc_id").distinct().count()
         self.classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    def postings(self) -> DataFrame:
-        """(value, rep, n): each class under the rarest values of its sketch that a similar one must share."""
-        values = self.classes.select("rep", "n", F.explode("sketch").alias("value"))
+    def postings(self, classes: DataFrame, k: int) -> DataFrame:
+        """(value, rep, n, place): each class under the rarest values of its sketch that a similar one must share."""
+        values = classes.select("rep", "n", F.explode("sketch").alias("value"))
         shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
         listed = values.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-        size = F.least(F.col("n"), F.lit(self.k))
-        least = F.least(F.lit(least_shared(self.k, self.similarity)), F.ceil(F.col("n") * self.percent / 100 - 1e-9))
-        alone = size - F.size("values")
+        size = F.least(F.col("n"), F.lit(k))
+        least = F.greatest(F.lit(1), F.least(F.lit(least_shared(k, self.similarity)), F.ceil(F.col("n") * self.percent / 100 - 1e-9)))
         # the values that no other class has come first in the common order
-        length = F.greatest(F.lit(0), size - F.greatest(least, F.lit(1)) + 1 - alone).cast("int")
-        prefix = listed.select("rep", "n", F.explode(F.slice("values", 1, length)).alias("v")).select(F.col("v.value").alias("value"), "rep", "n")
-        prefix = written(prefix, "postings")
+        alone = size - F.size("values")
+        length = F.greatest(F.lit(0), size - least + 1 - alone).cast("int")
+        prefix = listed.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("values", 1, length)).alias("at", "v"))
+        prefix = written(prefix.select(F.col("v.value").alias("value"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "postings")
         busy = prefix.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
         return written(prefix.join(busy, "value", "left_semi"), "lists")
 
+    def fine(self) -> DataFrame:
+        """The classes that small sketches leave with a possible partner, with sketches of FINE values."""
+        survivors = few(written(self.postings(self.classes, self.k).select(F.col("rep").alias("doc_id")).distinct(), "survivors"))
+        again = self.docs.join(survivors, "doc_id", "left_semi").mapInArrow(task(sketch_batches, self.words, FINE), DIGESTS)
+        sketches = written(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "fine")
+        # rows that repeat a document would count its values twice
+        return sketches.dropDuplicates(["rep"]) if self.repeats else sketches
+
+    def possible(self, n_a: str, place_a: str, n_b: str, place_b: str):
+        """Whether two sets whose first shared value has these places can be similar enough."""
+        k = F.lit(FINE)
+        a, b = F.col(n_a), F.col(n_b)
+        exact = F.ceil((a + b) * self.percent / (100 + self.percent) - 1e-9)
+        least = F.when((a <= k) & (b <= k), exact).otherwise(F.lit(least_shared(FINE, self.similarity)))
+        left = F.least(F.least(a, k) - F.col(place_a), F.least(b, k) - F.col(place_b))
+        return self.sized(n_a, n_b) & (left >= least)
+
     def sized(self, a: str, b: str):
         """Whether two sizes allow the similarity."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
@@ -182,9 +209,7 @@ class NearDuplicates:
         shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         least = F.least(F.lit(least_shared(self.k, self.similarity)), F.ceil(F.size(union) * self.percent / 100 - 1e-9))
         likely = written(both.filter(shared >= least).select("a", "b"), "likely")
-        wanted = written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted")
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
+        wanted = few(written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted"))
         texts = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         texts = written(texts, "texts")
         with_b = likely.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
@@ -200,25 +225,25 @@ class NearDuplicates:
     def star(self, lists: DataFrame, drawn: bool) -> DataFrame:
         """Pairs of each list's centre with its other members. ``drawn``: the centre differs from list to list."""
         order = F.xxhash64("value", "rep") if drawn else F.lit(0).cast("long")
-        centres = lists.groupBy("value").agg(F.min(F.struct(order.alias("order"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("c"))
-        joined = lists.join(centres, "value").filter((F.col("c.rep") != F.col("rep")) & (F.col("c.component") != F.col("component")) & self.sized("c.n", "n"))
+        centres = lists.groupBy("value").agg(F.min(F.struct(order.alias("order"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("place").alias("place"), F.col("component").alias("component"))).alias("c"))
+        joined = lists.join(centres, "value").filter((F.col("c.rep") != F.col("rep")) & (F.col("c.component") != F.col("component")) & self.possible("c.n", "c.place", "n", "place"))
         return joined.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
 
     def rest(self, lists: DataFrame) -> DataFrame:
         """All pairs of members of a list that are in different components and whose sizes allow the similarity."""
         width = math.log(100 / self.percent) * (1 + 1e-9)
         step = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-        left = lists.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), step.alias("step"))
+        left = lists.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"), step.alias("step"))
         # similar sizes are in the same or neighbouring steps
-        right = lists.select("value", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-        met = left.join(right, ["value", "step"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.sized("n_a", "n_b"))
+        right = lists.select("value", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+        met = left.join(right, ["value", "step"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.possible("n_a", "p_a", "n_b", "p_b"))
         return met.select("a", "b").distinct()
 
     def components(self) -> DataFrame:
         """(rep, component) of the classes that have links."""
         spark = self.docs.sparkSession
         labels = spark.createDataFrame([], "rep long, component long")
-        lists = self.postings()
+        lists = self.postings(self.fine(), FINE)
         links = None
         for round_ in range(3):
             open_ = self.open_lists(lists, labels)
