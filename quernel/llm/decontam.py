@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm._shared import batches_of, scratch, task
+from quernel.llm._shared import batches_of, holds, scratch, task
 
 WIDTH = 10
 BLOCK_WINDOWS = 50_000
@@ -93,6 +93,7 @@ def automaton(path: str):
 
 def scan_batches(batches: Iterator[pa.RecordBatch], paths: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Scan the column ``text`` and add the columns of the result; the other columns pass."""
+    holds("decontam", _BLOCK)
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         texts = batch.column("text").to_pylist()
         lines = [b" ".join([b"", *normalised(t), b""]).decode("latin-1") for t in texts]
@@ -138,6 +139,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
 
 def clean_batches(batches: Iterator[pa.RecordBatch], paths: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
     """The rows whose text has no window of the benchmark."""
+    holds("decontam", _BLOCK)
     for batch in (part for whole in batches for part in batches_of(whole, text_col, BATCH)):
         lines = [b" ".join([b"", *normalised(t), b""]).decode("latin-1") for t in batch.column(text_col).to_pylist()]
         keep = np.ones(len(lines), bool)

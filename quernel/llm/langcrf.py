@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import batches_of, scratch, task, utf8
+from quernel.llm._shared import batches_of, holds, scratch, task, utf8
 
 PER_LANGUAGE = 400
 LANGUAGES = 64
@@ -37,7 +37,7 @@ SIZES = (2, 3, 4)
 LEAST_SEEN = 3
 EPOCHS = 4
 RATE = 0.3
-BATCH = 4_000_000
+BATCH = 1_500_000
 UNKNOWN = "und"
 
 EDGE = 0x20
@@ -326,6 +326,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def predict_batches(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Iterator[pa.RecordBatch]:
     """The rows with ``lang_pred`` and ``score`` added."""
+    holds("langcrf", _MODEL)
     model = model_at(path)
     for batch in (part for whole in batches for part in batches_of(whole, text_col, BATCH)):
         langs, scores = predict(model, batch.column(text_col))

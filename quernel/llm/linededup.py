@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import batches_of, scratch, task, written
+from quernel.llm._shared import batches_of, holds, scratch, task, written
 
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 500_000
@@ -216,6 +216,7 @@ def shard_at(path: str) -> Shard:
 
 def probe_batches(batches: Iterator[pa.RecordBatch], folder: str, names: dict[int, str], bits: int, shortest: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Probe each document's keys and drop the lines that another document keeps."""
+    holds("linededup", _SHARDS)
     for batch in (part for whole in batches for part in batches_of(whole, "text", 16_000_000)):
         ids = batch.column("doc_id").to_pylist()
         lines, places, pairs = [], [], []

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import BLANKS, batches_of, scratch, task, utf8
+from quernel.llm._shared import BLANKS, batches_of, holds, scratch, task, utf8
 
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8")])
 HEAD = struct.Struct("<BBq")
@@ -43,7 +43,7 @@ MANIFEST = "part int, path string, n_records long, n_tokens long, n_bytes long"
 BLOCK = 512
 MASK = 0xA282EAD8
 #: Distinct pieces that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at a time.
 BATCH = 2_000_000
 
@@ -308,6 +308,7 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer_path:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
+    holds("records", _ENCODERS)
     codes, end = encoder(tokenizer_path), b"" if end_id is None else end_id.to_bytes(width, "little")
     name = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}"
     store = base = file = None

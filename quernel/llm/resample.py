@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import BLANKS, batches_of, scratch, task, utf8, written
+from quernel.llm._shared import BLANKS, batches_of, holds, scratch, task, utf8, written
 
 BITS = 18
 SMOOTH = 1.0
@@ -138,6 +138,7 @@ def counts_at(path: str) -> Counts:
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    holds("resample", _COUNTS)
     counts = counts_at(path)
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         buckets, cuts = grams(*utf8(batch.column("text")))
