@@ -7,9 +7,10 @@ a text may switch between languages. Forward-backward gives each word's probabil
 has the largest sum of them, and its score is their mean.
 
 Training: texts with a language, at most ``PER_LANGUAGE`` documents or so for each of at most ``LANGUAGES`` languages (the
-bound on what the driver holds; documents are drawn by a hash of the id). Sequences of ``LENGTH`` words are cut from
-the texts, and half of them are put together from stretches in different languages, so that switches
-have been seen. The weights climb the likelihood by adaptive gradient steps.
+bound on what the driver holds; documents are drawn by a hash of the id). Sequences of up to ``LENGTH`` words are cut from
+the texts, so that every word of them is in one, and half of them are put together from stretches in different
+languages, so that switches have been seen. Texts of a few words (or of one, where a language writes no blanks) are
+short sequences; a table of nothing else is trained on as any other. The weights climb the likelihood by adaptive gradient steps.
 
 Prediction works on whole texts of any length and reads nothing but the text. Defined cases: a text that is null or
 has no letter is ``und`` with score 0; with no usable training rows, all are; a null doc_id counts as an
@@ -189,19 +190,28 @@ def sums_of_marginals(scores: np.ndarray, cuts: np.ndarray, moves: np.ndarray, e
 
 
 def sequences(labels: np.ndarray, cuts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rows of LENGTH word numbers: plain runs of each text, and as many rows mixed from stretches of different texts."""
-    starts = np.concatenate([np.arange(a, b - LENGTH + 1, LENGTH) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= LENGTH] or [np.zeros(0, np.int64)])
-    plain = starts[:, None] + np.arange(LENGTH)
+    """Rows of LENGTH word numbers, -1 after the last: plain runs that cover each text, and as many rows mixed from stretches of two of them."""
+    counts = -(-np.diff(cuts) // LENGTH)
+    starts = np.repeat(cuts[:-1], counts) + LENGTH * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+    sizes = np.minimum(np.repeat(cuts[1:], counts) - starts, LENGTH)[:, None]
+    starts, at = starts[:, None], np.arange(LENGTH)
+    plain = np.where(at < sizes, starts + at, -1)
     if not len(plain):
         return plain
-    turn = rng.integers(3, LENGTH - 2, (len(plain), 1))
-    other = plain[rng.permutation(len(plain))]
-    switched = np.where(np.arange(LENGTH) < turn, plain, other)
+    turn = np.minimum(rng.integers(3, LENGTH - 2, (len(plain), 1)), sizes)
+    order = rng.permutation(len(plain))
+    # the other stretch goes on at the place of the turn, or begins anew where it is not that long
+    place = at - np.where(sizes[order] > turn, 0, turn)
+    other = np.where(place < sizes[order], starts[order] + place, -1)
+    switched = np.where(at < turn, plain, other)
     return np.concatenate([plain, switched])[rng.permutation(2 * len(plain))]
 
 
-def chain_gradient(scores: np.ndarray, gold: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the likelihood of rows of words gains with each word's scores and with the transitions."""
+def chain_gradient(scores: np.ndarray, gold: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the likelihood of rows of words gains with each word's scores and with the transitions.
+
+    ``live`` marks the words; what follows them in a row is padding and gains nothing.
+    """
     rows, length, count = scores.shape
     emitted, step = shifted(scores), np.exp(moves - moves.max())
     ahead, behind = np.empty_like(emitted), np.ones_like(emitted)
@@ -210,16 +220,17 @@ def chain_gradient(scores: np.ndarray, gold: np.ndarray, moves: np.ndarray) -> t
         ahead[:, t] = a / a.sum(1, keepdims=True)
     for t in range(length - 2, -1, -1):
         b = (emitted[:, t + 1] * behind[:, t + 1]) @ step.T
-        behind[:, t] = b / b.sum(1, keepdims=True)
+        behind[:, t] = np.where(live[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
     both = ahead * behind
     both /= both.sum(2, keepdims=True)
     right = np.eye(count)[gold]
     expected, seen = np.zeros_like(moves), np.zeros_like(moves)
     for t in range(length - 1):
-        pair = ahead[:, t, :, None] * step * (emitted[:, t + 1] * behind[:, t + 1])[:, None, :]
+        on = live[:, t + 1]
+        pair = ahead[on, t, :, None] * step * (emitted[on, t + 1] * behind[on, t + 1])[:, None, :]
         expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        np.add.at(seen, (gold[:, t], gold[:, t + 1]), 1)
-    return right - both, seen - expected
+        np.add.at(seen, (gold[on, t], gold[on, t + 1]), 1)
+    return np.where(live[..., None], right - both, 0.0), seen - expected
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
@@ -244,14 +255,17 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
     for _ in range(EPOCHS):
         rows = sequences(gold, words.cuts, rng)
         for part in np.array_split(rows, max(1, len(rows) // 500)):
-            flat = part.ravel()
+            live = part >= 0
+            flat = part[live]
             sizes = spans[flat + 1] - spans[flat]
             places = np.repeat(spans[flat] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
             own = [s[places] for s in slots]
             heads = np.cumsum(sizes) - sizes
             scores = np.add.reduceat(sum(t[s] for t, s in zip(model.grams, own)), heads, axis=0) + model.entries[entry[flat]]
-            gain, move = chain_gradient(scores.reshape(*part.shape, -1).astype(np.float64), gold[part], model.moves)
-            gain = gain.reshape(-1, len(labels))
+            padded = np.zeros((*part.shape, len(labels)))
+            padded[live] = scores
+            gain, move = chain_gradient(padded, gold[part], live, model.moves)
+            gain = gain[live]
             spread = np.repeat(gain, sizes, axis=0)
             steps = [
                 np.stack([np.stack([np.bincount(s, weights=spread[:, k], minlength=SLOTS + 1) for k in range(len(labels))], 1) for s in own]),

@@ -461,6 +461,44 @@ def test_marginals_of_a_chain():
     assert np.allclose(sums[0], got[:3].sum(0), atol=1e-4) and np.allclose(sums[1], 0)
 
 
+def short_texts(rng, lang, low, high):
+    """A text of a few words; without blanks where the language writes none."""
+    if lang in ("zh", "ja"):
+        begin = {"zh": 0x4E00, "ja": 0x3042}[lang]
+        return "".join(chr(begin + rng.randrange(60)) for _ in range(rng.randrange(6, 60)))
+    letters = {"aa": "abcdefg", "bb": "nopqrst"}[lang]
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(rng.randrange(low, high)))
+
+
+def test_language_of_short_texts():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    # one language with long texts, the others with 1 to 31 words or without a blank; then short texts alone
+    for kinds in (("aa", 90), ("bb", 32), ("zh", 0), ("ja", 0)), (("aa", 32), ("bb", 8), ("zh", 0)), (("aa", 2), ("bb", 2)):
+        texts = [(short_texts(rng, lang, 33 if most == 90 else 1, most), lang) for lang, most in kinds for _ in range(120)]
+        model = langcrf.fit([t for t, _ in texts[::2]], [x for _, x in texts[::2]])
+        got, _ = langcrf.predict(model, pa.array([t for t, _ in texts[1::2]]))
+        for lang in model.labels:
+            assert np.mean([g == lang for g, (_, x) in zip(got, texts[1::2]) if x == lang]) > 0.95, lang
+    assert langcrf.fit(["12 34", ""], ["aa", "bb"]).labels == ["aa", "bb"]
+
+
+def test_sequences_hold_all_words():
+    cuts = np.array([0, 1, 1, 32, 64, 161, 163])
+    rows = langcrf.sequences(np.zeros(163, int), cuts, np.random.default_rng(3))
+    live = rows >= 0
+    assert set(rows[live].tolist()) == set(range(163)) and (live[:, :-1] >= live[:, 1:]).all() and live[:, 0].all()
+    # padding changes nothing: a row's gradient is that of the row alone
+    rng = np.random.default_rng(5)
+    scores, gold, moves = rng.normal(size=(2, 6, 3)), rng.integers(0, 3, (2, 6)), rng.normal(size=(3, 3))
+    live = np.arange(6) < np.array([[6], [2]])
+    gain, move = langcrf.chain_gradient(scores, gold, live, moves)
+    parts = [langcrf.chain_gradient(scores[k : k + 1, :n], gold[k : k + 1, :n], np.ones((1, n), bool), moves) for k, n in ((0, 6), (1, 2))]
+    assert np.allclose(gain[0], parts[0][0][0]) and np.allclose(gain[1, :2], parts[1][0][0]) and not gain[1, 2:].any()
+    assert np.allclose(move, parts[0][1] + parts[1][1])
+
+
 # ---- All
 
 
