@@ -77,6 +77,15 @@ def test_token_metrics(spark):
         assert r.d == brute_distance(r.a, r.b) and r.s == pytest.approx(brute_bleu(r.a, r.b))
 
 
+def test_distance_of_many_tokens(spark):
+    a = [f"w{k}" for k in range(400)]
+    # the 257th token on once shared the characters of the first ones
+    cases = [(a, a[:10] + a[256:266] + a[20:]), (a[:300], a[100:]), ([a[0]] * 3 + a, [a[256]] * 3 + a)]
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>")
+    for r in df.select("a", "b", T.token_distance(F.col("a"), F.col("b")).alias("d")).collect():
+        assert r.d == brute_distance(r.a, r.b)
+
+
 def test_option_letters(spark):
     cases = [("B.", "B"), ("A cat is it", None), ("A", "A"), ("It is (C)", "C"), ("B or C", None), ("Z", "Z"), ("Cannot determine the answer", "Z"), ("Failed to obtain answer via API B", None), ("the red one", "A")]
     options = F.create_map(*(F.lit(x) for x in ("A", "red", "B", "green", "C", "blue")))
