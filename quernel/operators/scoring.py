@@ -47,52 +47,86 @@ def votes(probs: Column, threshold: float, needed: int) -> Column:
     return F.struct(yes.alias("votes"), F.round(mean, 6).alias("mean_prob"), (yes >= needed).alias("pred"), F.concat_ws(":", yes.cast("string"), (n - yes).cast("string")).alias("pattern"))
 
 
-def average_precision(detections: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.75)) -> DataFrame:
-    """AP by category and IoU threshold, with 101 recall points.
+#: The ten IoU thresholds, and the areas in square pixels, both ends included.
+THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
+
+
+def average_precision(detections: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, areas: dict[str, tuple[float, float]] = AREAS) -> DataFrame:
+    """AP by category, area and IoU threshold, with 101 recall points.
 
     ``detections``: image, category, box, score; ``truths``: image, category, box. Boxes are matched greedily in order of the
     score (then the box) within each image and category, which are small; the curve of a category is built from running sums
-    by score. Equal scores are taken in the order of image and box.
+    by score. Equal scores are taken in the order of image and box. A truth outside an area is not looked for there: a
+    detection takes it only if no other truth will do, and then counts neither way, nor does an unmatched detection of
+    another area. A category without truths in an area has no AP there. All detections of an image are scored.
     """
-    schema = "image long, category long, threshold double, score double, box array<double>, hit boolean"
+    from pyspark.sql import Window
+
+    kinds = [(name, t) for name in areas for t in thresholds]
+    schema = "image long, category long, score double, box array<double>, place int, hits array<boolean>"
     pairs = detections.groupBy("image", "category").agg(F.collect_list(F.struct("score", "box")).alias("found"))
     truth = truths.groupBy("image", "category").agg(F.collect_list("box").alias("truth"))
     both = pairs.join(truth, ["image", "category"], "left").select("image", "category", "found", F.coalesce("truth", F.array().cast("array<array<double>>")).alias("truth"))
-    hits = both.mapInPandas(lambda frames: _matched(frames, thresholds), schema)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("category", "threshold").orderBy(F.desc("score"), "image", "box")
-    curve = hits.withColumn("tp", F.sum(F.col("hit").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
-    totals = truths.groupBy("category").agg(F.count("*").alias("n"))
-    points = curve.join(totals, "category").select("category", "threshold", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("rank")).alias("precision"))
+    marked = both.mapInPandas(lambda frames: _matched(frames, thresholds, list(areas.values())), schema)
+    # one window for all areas and thresholds: a detection's entries are true, false, or null where it does not count
+    upto = Window.partitionBy("category").orderBy(F.desc("score"), "image", "box", "place").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.struct(F.lit(name).alias("area"), F.lit(t).alias("threshold"), F.col("hits")[k].alias("hit"), F.count_if(F.col("hits")[k]).over(upto).alias("tp"), F.count(F.col("hits")[k]).over(upto).alias("rank")) for k, (name, t) in enumerate(kinds)]
+    curve = marked.select("category", F.array(*sums).alias("k")).select("category", F.explode(F.filter("k", lambda x: x["hit"])).alias("k")).select("category", "k.*")
+    size = _area(F.col("box"))
+    within = F.filter(F.array(*(F.when(size.between(*ends), F.lit(name)) for name, ends in areas.items())), lambda x: x.isNotNull())
+    totals = truths.select("category", F.explode(within).alias("area")).groupBy("category", "area").agg(F.count("*").alias("n"))
+    points = curve.join(totals, ["category", "area"]).select("category", "area", "threshold", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("rank")).alias("precision"))
     steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: k / 100)).alias("step")
     # the best precision at a recall of at least each step, as a running maximum over at most 101 steps
-    reached = points.withColumn("top", F.floor(F.col("recall") * 100 + 1e-9).cast("int")).groupBy("category", "threshold", "top").agg(F.max("precision").alias("precision"))
-    grid = totals.select("category", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).select("category", "threshold", steps)
-    best = grid.join(reached, ["category", "threshold"], "left").filter((F.col("top") >= F.round(F.col("step") * 100)) | F.col("top").isNull())
-    at = best.groupBy("category", "threshold", "step").agg(F.max("precision").alias("precision"))
-    return at.groupBy("category", "threshold").agg(F.round(F.sum("precision") / 101, 6).alias("ap"))
+    reached = points.withColumn("top", F.floor(F.col("recall") * 100 + 1e-9).cast("int")).groupBy("category", "area", "threshold", "top").agg(F.max("precision").alias("precision"))
+    grid = totals.select("category", "area", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).select("category", "area", "threshold", steps)
+    best = grid.join(reached, ["category", "area", "threshold"], "left")
+    best = best.withColumn("precision", F.when(F.col("top") >= F.round(F.col("step") * 100), F.col("precision")).otherwise(0.0))
+    at = best.groupBy("category", "area", "threshold", "step").agg(F.max("precision").alias("precision"))
+    return at.groupBy("category", "area", "threshold").agg(F.round(F.sum("precision") / 101, 6).alias("ap"))
 
 
-def _matched(frames, thresholds):
-    import pandas as pd
+def mean_precision(rows: DataFrame) -> DataFrame:
+    """AP with its means by area: a null threshold is the mean over thresholds, a null category over categories."""
+    sets = [["area", "category", "threshold"], ["area", "category"], ["area", "threshold"], ["area"]]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], "area", "category", "threshold").agg(F.round(F.avg("ap"), 6).alias("ap"))
+    return out.select("category", "area", "threshold", "ap")
+
+
+def _area(box: Column) -> Column:
+    return (box[2] - box[0]) * (box[3] - box[1])
 
-    def iou(a, b):
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        inter = max(0.0, w) * max(0.0, h)
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-        return inter / union if union > 0 else 0.0
 
+def _matched(frames, thresholds, areas):
+    """Each detection with its hits by area and threshold: true, false, or None where it does not count."""
+    import numpy as np
+    import pandas as pd
+
+    low, high = np.repeat(np.array(areas).reshape(-1, 2).T, len(thresholds), axis=1)
+    least = np.tile(thresholds, len(areas))
+    outside = lambda boxes: ((size := (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])) < low[:, None]) | (size > high[:, None])
+    every = np.arange(len(least))
     for frame in frames:
         out = []
         for image, category, found, truth in frame.itertuples(index=False):
             ranked = sorted(((f["score"], list(f["box"])) for f in found), key=lambda f: (-f[0], f[1]))
-            for threshold in thresholds:
-                free = [list(t) for t in truth]
-                for score, box in ranked:
-                    best = max(free, key=lambda t: iou(box, t), default=None)
-                    hit = best is not None and iou(box, best) >= threshold
-                    if hit:
-                        free.remove(best)
-                    out.append((image, category, threshold, score, box, hit))
-        yield pd.DataFrame(out, columns=["image", "category", "threshold", "score", "box", "hit"])
+            boxes, wanted = np.array([b for _, b in ranked]).reshape(-1, 4), np.array([list(t) for t in truth], float).reshape(-1, 4)
+            skipped, other = outside(wanted), outside(boxes)
+            free = np.ones(skipped.shape, bool)
+            for k, (score, box) in enumerate(ranked):
+                counts, matched = ~other[:, k], np.zeros(len(least), bool)
+                if len(wanted):
+                    w = np.minimum(wanted[:, 2], box[2]) - np.maximum(wanted[:, 0], box[0])
+                    h = np.minimum(wanted[:, 3], box[3]) - np.maximum(wanted[:, 1], box[1])
+                    inter = np.maximum(w, 0) * np.maximum(h, 0)
+                    union = (wanted[:, 2] - wanted[:, 0]) * (wanted[:, 3] - wanted[:, 1]) + (box[2] - box[0]) * (box[3] - box[1]) - inter
+                    iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+                    fits = free & (iou >= least[:, None])
+                    # truths of the area first, then the others; the best of each
+                    best = np.where(fits, iou + 2 * ~skipped, -1.0).argmax(1)
+                    matched = fits[every, best]
+                    free[every[matched], best[matched]] = False
+                    counts = np.where(matched, ~skipped[every, best], counts)
+                out.append((image, category, score, box, k, [bool(m) if c else None for m, c in zip(matched, counts)]))
+        yield pd.DataFrame(out, columns=["image", "category", "score", "box", "place", "hits"])

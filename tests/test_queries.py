@@ -115,3 +115,33 @@ def test_average_precision(spark):
     # recall 1/3 at precision 1, then 2/3 at 2/3: 34 points of 1 and 33 of 2/3
     assert got.ap == pytest.approx((34 + 33 * 2 / 3) / 101, abs=1e-6)
     assert scoring.average_precision(truths.withColumn("score", F.lit(1.0)), truths, (0.5, 0.75)).filter("ap < 1").count() == 0
+
+
+def test_average_precision_by_area(spark):
+    box = lambda x, side: [float(x), 0.0, float(x + side), float(side)]
+    # a small, a medium and a large truth; the medium one is found at an IoU of 0.9, and a small box is found where nothing is
+    truths = spark.createDataFrame([(1, 0, box(0, 10)), (1, 0, box(100, 50)), (2, 0, box(0, 200))], "image long, category long, box array<double>")
+    rows = [(1, 0, box(0, 10), 0.9), (1, 0, [100.0, 0.0, 150.0, 45.0], 0.8), (2, 0, box(0, 200), 0.7), (2, 0, box(900, 10), 0.95)]
+    found = spark.createDataFrame(rows, "image long, category long, box array<double>, score double")
+    whole = scoring.mean_precision(scoring.average_precision(found, truths)).collect()
+    got = {(r.area, r.threshold): r.ap for r in whole if r.category == 0}
+    assert {t for _, t in got} == {None, *scoring.THRESHOLDS} and len(got) == 44
+    # the stray small box spoils the small range (and all), not the others
+    assert got["small", 0.5] == pytest.approx(0.5) and got["large", 0.95] == 1 and got["medium", 0.9] == 1 and got["medium", 0.95] == 0
+    assert got["medium", None] == pytest.approx(0.9) and got["large", None] == 1 and got["small", None] == pytest.approx(0.5)
+    # all: precisions 1/2, 2/3, 3/4 at recalls 1/3, 2/3, 1
+    assert got["all", 0.5] == pytest.approx(0.75)
+    assert {r.threshold: r.ap for r in whole if r.category is None and r.area == "medium"}[None] == pytest.approx(0.9)
+
+
+def test_detection_ap_scores_all_lines(spark, monkeypatch):
+    from conftest import DATA
+
+    from quernel.plans import queries
+
+    given = {}
+    whole = scoring.average_precision
+    monkeypatch.setattr(queries.S, "average_precision", lambda found, truths: given.update(found=found, truths=truths) or whole(found, truths))
+    queries.detection_ap(spark, str(DATA))
+    lines = queries.read(spark, str(DATA), "lineitem").count()
+    assert given["found"].count() == given["truths"].count() == lines
