@@ -6,8 +6,9 @@ seen in training. Learned transitions join neighbours, so a short or unknown wor
 a text may switch between languages. Forward-backward gives each word's probabilities; a document's language
 has the largest sum of them, and its score is their mean.
 
-Training: texts with a language, at most ``PER_LANGUAGE`` documents or so for each of at most ``LANGUAGES`` languages (the
-bound on what the driver holds; documents are drawn by a hash of the id). Sequences of up to ``LENGTH`` words are cut from
+Training: texts with a language, at most ``PER_LANGUAGE`` documents or so for each language. The bound on what the driver
+holds is ``SAMPLED`` documents; more languages than fill it share it, with ``FEWEST`` or so each at least, and none is
+left out (documents are drawn by a hash of the id). Sequences of up to ``LENGTH`` words are cut from
 the texts, so that every word of them is in one, and half of them are put together from stretches in different
 languages, so that switches have been seen. Texts of a few words (or of one, where a language writes no blanks) are
 short sequences; a table of nothing else is trained on as any other. The weights climb the likelihood by adaptive gradient steps.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import batches_of, holds, scratch, task, utf8
 
 PER_LANGUAGE = 400
-LANGUAGES = 64
+SAMPLED = 64 * PER_LANGUAGE
+FEWEST = 20
 LENGTH = 32
 SLOTS = 1 << 16
 SIZES = (2, 3, 4)
@@ -227,12 +229,19 @@ def chain_gradient(scores: np.ndarray, gold: np.ndarray, live: np.ndarray, moves
     expected, seen = np.zeros_like(moves), np.zeros_like(moves)
     for t in range(length - 1):
         on = live[:, t + 1]
-        pair = ahead[on, t, :, None] * step * (emitted[on, t + 1] * behind[on, t + 1])[:, None, :]
-        expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+        # the sum over rows of each row's pairs, which add up to 1, without a table of pairs for each row
+        here, there = ahead[on, t], emitted[on, t + 1] * behind[on, t + 1]
+        expected += step * ((here / ((here @ step) * there).sum(1, keepdims=True)).T @ there)
         np.add.at(seen, (gold[on, t], gold[on, t + 1]), 1)
     return np.where(live[..., None], right - both, 0.0), seen - expected
 
 
+def climb(weights: np.ndarray, square: np.ndarray, step: np.ndarray) -> None:
+    """An adaptive gradient step, in place."""
+    square += (step * step).astype(square.dtype)
+    weights += (RATE * step / np.sqrt(square)).astype(weights.dtype)
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
     """Learn a model from texts, each in one language."""
     rng = np.random.default_rng(seed)
@@ -266,15 +275,13 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
             padded[live] = scores
             gain, move = chain_gradient(padded, gold[part], live, model.moves)
             gain = gain[live]
-            spread = np.repeat(gain, sizes, axis=0)
-            steps = [
-                np.stack([np.stack([np.bincount(s, weights=spread[:, k], minlength=SLOTS + 1) for k in range(len(labels))], 1) for s in own]),
-                np.stack([np.bincount(entry[flat], weights=gain[:, k], minlength=len(model.entries)) for k in range(len(labels))], 1),
-                move,
-            ]
-            for weights, square, step in zip((model.grams, model.entries, model.moves), squares, steps):
-                square += (step * step).astype(square.dtype)
-                weights += (RATE * step / np.sqrt(square)).astype(weights.dtype)
+            # label by label: what is held besides the model does not grow with the labels
+            for k in range(len(labels)):
+                spread = np.repeat(gain[:, k], sizes)
+                for table, square, slot in zip(model.grams, squares[0], own):
+                    climb(table[:, k], square[:, k], np.bincount(slot, weights=spread, minlength=SLOTS + 1))
+                climb(model.entries[:, k], squares[1][:, k], np.bincount(entry[flat], weights=gain[:, k], minlength=len(model.entries)))
+            climb(model.moves, squares[2], move)
             model.grams[:, SLOTS] = 0
     model.entries[-1] = 0
     return model
@@ -286,12 +293,15 @@ def bucket(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list:
-    """Labelled documents for training, about ``per_language`` for each of the most frequent languages."""
+    """Labelled documents for training, about ``per_language`` for each language, or an even share of ``SAMPLED`` if that is less."""
     known = docs.filter((bucket(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    sizes = known.groupBy(lang_col).count().collect()
     if not sizes:
         return []
-    share = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r[0], per_language / r["count"]))), F.col(lang_col))
+    wanted = min(per_language, max(FEWEST, SAMPLED / len(sizes)))
+    # languages of at most that many documents are taken whole
+    large = [x for r in sizes if r["count"] > wanted for x in (r[0], wanted / r["count"])]
+    share = F.coalesce(F.element_at(F.create_map(*map(F.lit, large)), F.col(lang_col)), F.lit(1.0)) if large else F.lit(1.0)
     place = F.pmod(F.xxhash64(F.lit(77), F.col(id_col)), F.lit(1 << 30)) / (1 << 30)
     return known.filter(place < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("o")).collect()
 

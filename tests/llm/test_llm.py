@@ -484,6 +484,19 @@ def test_language_of_short_texts():
     assert langcrf.fit(["12 34", ""], ["aa", "bb"]).labels == ["aa", "bb"]
 
 
+def test_all_languages_are_trained(spark, monkeypatch):
+    rows = [(k, " ".join(chr(97 + k % 70 // 26) + chr(97 + k % 70 % 26) + x for x in "abcd"), f"l{k % 70:02}") for k in range(4200)]
+    docs = spark.createDataFrame([*rows, (5001, "rare words", "l99")], "doc_id long, text string, lang string")
+    found = [r.lang for r in langcrf.sample(docs, langcrf.PER_LANGUAGE, "doc_id", "text", "lang")]
+    assert set(found) == {lang for *_, lang in rows} | {"l99"}
+    monkeypatch.setattr(langcrf, "SAMPLED", 70)
+    few = [r.lang for r in langcrf.sample(docs, langcrf.PER_LANGUAGE, "doc_id", "text", "lang")]
+    assert set(few) == set(found) and len(few) < 0.75 * len(found)
+    path = langcrf.train(docs)
+    got = {r.doc_id: r.lang_pred for r in langcrf.identify(docs, path).collect()}
+    assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.95
+
+
 def test_sequences_hold_all_words():
     cuts = np.array([0, 1, 1, 32, 64, 161, 163])
     rows = langcrf.sequences(np.zeros(163, int), cuts, np.random.default_rng(3))
