@@ -13,7 +13,9 @@ read. ``vacuum`` deletes shards that only older versions list.
 Rows move from file to file in Spark's own readers and writers; the driver handles file names and sizes alone.
 
 Defined cases: nulls, empty and long texts, repeated rows and columns of any name are kept as they are; an empty arrival
-commits a version without a new run; a store without runs reads as an empty table.
+commits a version without a new run; a store without runs reads as an empty table. An arrival may bring new columns, which
+are null in the rows of others, and lack old ones; one whose columns have another type, or names that differ
+in case alone, is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -32,6 +34,20 @@ FAN_IN = 4
 ARRIVAL = "__arrival"
 
 
+def merged_schema(old: dict | None, new: T.StructType) -> dict:
+    """The columns of the store and those that an arrival adds; raises if a column of both differs in type."""
+    fields = T.StructType.fromJson(old).fields if old else []
+    held = {f.name.lower(): f for f in fields} | {f.name: f for f in fields}
+    added = []
+    for f in new:
+        known = held.get(f.name) or held.get(f.name.lower())
+        if known is None:
+            added.append(f)
+        elif known.name != f.name or known.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} {f.dataType.simpleString()} does not fit the store's {known.name} {known.dataType.simpleString()}")
+    return json.loads(T.StructType([*fields, *added]).json())
+
+
 class ShardStore:
     """A store in a folder that all machines see."""
 
@@ -91,12 +107,14 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> dict:
         """Add one arrival as a run of its own."""
+        merged_schema(self.manifest()["schema"], rows.schema)
         folder = self.fresh()
         rows.write.parquet(folder)
         return self.add([folder], rows.schema)
 
     def append_all(self, rows: DataFrame, arrival: Column) -> dict:
         """Add arrivals, told apart by a number, each as a run and a version of its own. They are written in one job."""
+        merged_schema(self.manifest()["schema"], rows.schema)
         folder = self.fresh()
         rows.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).parquet(folder)
         found = [f.getPath() for f in self.fs.listStatus(self.path(folder)) if f.isDirectory() and f.getPath().getName().startswith(ARRIVAL)]
@@ -107,7 +125,7 @@ class ShardStore:
         manifest = self.manifest()
         for folder in folders or [None]:
             run = folder and self.run(folder)
-            manifest = self.commit(manifest | {"schema": manifest["schema"] or json.loads(schema.json()), "runs": manifest["runs"] + ([run] if run else [])})
+            manifest = self.commit(manifest | {"schema": merged_schema(manifest["schema"], schema), "runs": manifest["runs"] + ([run] if run else [])})
             manifest = self.compact()
         return manifest
 

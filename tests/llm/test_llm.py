@@ -230,6 +230,19 @@ def test_compaction(spark, docs):
     assert sorted(map(str, every.read().collect())) == sorted(map(str, docs.collect()))
 
 
+def test_compaction_of_changing_columns(spark):
+    store = compaction.ShardStore(spark, scratch(spark, "store"), fan_in=2, base_bytes=500)
+    store.append(spark.createDataFrame([(1, "a")], "id int, t string"))
+    store.append(spark.createDataFrame([(2, "b", 7)], "id int, t string, extra int"))
+    store.append(spark.createDataFrame([(3, 8)], "id int, extra int"))
+    store.append(spark.createDataFrame([(4, "d")], "id int, t string"))
+    assert sorted(tuple(r) for r in store.read().select("id", "t", "extra").collect()) == [(1, "a", None), (2, "b", 7), (3, None, 8), (4, "d", None)]
+    for wrong in "id long", "ID int":
+        with pytest.raises(ValueError, match="does not fit"):
+            store.append(spark.createDataFrame([(5,)], wrong))
+    assert store.read().count() == 4
+
+
 # ---- 5
 
 
