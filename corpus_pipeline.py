@@ -15,7 +15,10 @@ from quernel.llm.entries import table, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter are rejected."""
+    """Documents with a letter: only ``und`` (a null text, or one without a letter) is rejected, unless no row has a language to train on.
+
+    The score of the language is not used, so noise and languages that the model does not know pass.
+    """
     return langcrf.keep_identified(docs, langcrf.train(docs))
 
 
