@@ -3,17 +3,21 @@
 A store is a folder of immutable shards (Parquet) and a chain of manifests. Arrivals are appended as they come, each as
 a run of small shards. Runs of similar size are merged: a run's tier is the whole part of the logarithm, to the base
 ``fan_in``, of its bytes over ``base_bytes``; whenever a tier has ``fan_in`` runs, these become one run of
-files of about ``target_bytes``, one tier up or so. Each row is therefore rewritten about once for each tier.
+files of about ``target_bytes``, one tier up or so. Merges are planned ahead over all tiers, so runs that would be merged again at
+once are written once, and the merges of a version run side by side. Each row is rewritten about once for each tier at most.
 
 A manifest ``v%012d.json`` lists the runs of a version: name, tier, bytes, rows' schema, files. It is written under a name of its
 own and renamed, which fails if the version exists already, so a reader sees a whole version or the one before
-it, and of two writers one wins. Shards that no manifest lists (of lost tasks or failed jobs) are never
-read. ``vacuum`` deletes shards that only older versions list.
+it. Of two writers one wins; the other makes its change again on the winner's version. (The store must rename atomically, as HDFS
+does; where it does not, writers need a lock of their own.) All arrivals of a call come in one version. Shards that no
+manifest lists (of lost tasks or failed jobs) are never read. Nothing is deleted by merging: readers of older versions go
+on. ``vacuum`` deletes what only versions list that are older than an age and not among the last ones.
 
 Rows move from file to file in Spark's own readers and writers; the driver handles file names and sizes alone.
 
-Defined cases: nulls, empty and long texts, repeated rows and columns of any name are kept as they are; an empty arrival
-commits a version without a new run; a store without runs reads as an empty table. An arrival may bring new columns, which
+Defined cases: nulls, empty and long texts, repeated rows and columns of any name are kept as they are; a null number of an arrival
+is an arrival of its own; an empty arrival commits a version without a new run; a store without runs reads as an empty
+table. An arrival may bring new columns, which
 are null in the rows of others, and lack old ones; one whose columns have another type, or names that differ
 in case alone, is refused before anything is written.
 """
@@ -22,8 +26,12 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +39,16 @@ from pyspark.sql import types as T
 BASE_BYTES = 1 << 20
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
-ARRIVAL = "__arrival"
+#: How often a change is made again after another writer was first.
+TRIES = 20
+#: Merges that run side by side.
+SIDE_BY_SIDE = 4
+#: Seconds for which versions are kept, whatever came after them.
+AGE = 24 * 3600
+
+
+class Beaten(RuntimeError):
+    """Another writer committed the version first."""
 
 
 def merged_schema(old: dict | None, new: T.StructType) -> dict:
@@ -86,11 +103,33 @@ class ShardStore:
         out = self.fs.create(draft, False)
         out.write(bytearray(json.dumps(after).encode()))
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(draft, final):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        plain = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        plain[0] = hadoop.Options.Rename.NONE
+        try:
+            hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, plain)
+        except Py4JJavaError as error:
             self.fs.delete(draft, False)
-            raise RuntimeError(f"version {after['version']} was committed by another writer")
+            if self.fs.exists(final):
+                raise Beaten(f"version {after['version']} was committed by another writer") from error
+            raise
         return after
 
+    def update(self, change: Callable[[dict], dict | None]) -> dict:
+        """Commit a change of the last version, made again whenever another writer was first; None changes nothing."""
+        for attempt in range(TRIES):
+            manifest = self.manifest()
+            after = change(manifest)
+            if after is None:
+                return manifest
+            try:
+                return self.commit(after)
+            except Beaten:
+                if attempt == TRIES - 1:
+                    raise
+                time.sleep(0.05 * (attempt + 1))
+        raise AssertionError
+
     # ---- Runs
 
     def tier(self, size: int) -> int:
@@ -113,50 +152,66 @@ class ShardStore:
         return self.add([folder], rows.schema)
 
     def append_all(self, rows: DataFrame, arrival: Column) -> dict:
-        """Add arrivals, told apart by a number, each as a run and a version of its own. They are written in one job."""
+        """Add arrivals, told apart by a number, each as a run of its own. They are written in one job and come in one version."""
         merged_schema(self.manifest()["schema"], rows.schema)
-        folder = self.fresh()
-        rows.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).parquet(folder)
-        found = [f.getPath() for f in self.fs.listStatus(self.path(folder)) if f.isDirectory() and f.getPath().getName().startswith(ARRIVAL)]
-        found.sort(key=lambda p: int(p.getName().split("=")[1]))
-        return self.add([p.toString() for p in found], rows.schema)
+        folder, number = self.fresh(), f"arrival_{uuid.uuid4().hex}"
+        rows.withColumn(number, arrival).write.partitionBy(number).parquet(folder)
+        found = [f.getPath().toString() for f in self.fs.listStatus(self.path(folder)) if f.isDirectory() and f.getPath().getName().startswith(number)]
+        return self.add(sorted(found), rows.schema)
 
     def add(self, folders: list[str], schema: T.StructType) -> dict:
-        manifest = self.manifest()
-        for folder in folders or [None]:
-            run = folder and self.run(folder)
-            manifest = self.commit(manifest | {"schema": merged_schema(manifest["schema"], schema), "runs": manifest["runs"] + ([run] if run else [])})
-            manifest = self.compact()
-        return manifest
+        runs = [run for folder in folders if (run := self.run(folder))]
+        self.update(lambda m: m | {"schema": merged_schema(m["schema"], schema), "runs": m["runs"] + runs})
+        return self.compact()
+
+    def plan(self, runs: list[dict]) -> list[dict]:
+        """The merges that leave no tier with ``fan_in`` runs: of each, the runs that go in (``parts``), their bytes and the tier."""
+        tiers: dict[int, list[dict]] = {}
+        for run in runs:
+            tiers.setdefault(run["tier"], []).append(run)
+        while full := sorted(t for t, held in tiers.items() if len(held) >= self.fan_in):
+            low = full[0]
+            merged, tiers[low] = tiers[low][: self.fan_in], tiers[low][self.fan_in :]
+            size = sum(r["bytes"] for r in merged)
+            # a merged run counts for a tier above its parts, even where compression makes it smaller
+            whole = {"parts": [p for r in merged for p in r.get("parts", [r])], "bytes": size, "tier": max(self.tier(size), low + 1)}
+            tiers.setdefault(whole["tier"], []).append(whole)
+        return [r for held in tiers.values() for r in held if "parts" in r]
+
+    def merge(self, merge: dict, schema: dict | None) -> dict | None:
+        """Write one merge. No shuffle: whole splits are put together to files of about the target size."""
+        folder = self.fresh()
+        rows = self.rows([f for r in merge["parts"] for f in r["files"]], schema)
+        rows.coalesce(max(1, -(-merge["bytes"] // self.target_bytes))).write.parquet(folder)
+        run = self.run(folder)
+        return run and run | {"tier": max(run["tier"], merge["tier"])}
 
     def compact(self) -> dict:
-        """Merge until no tier has ``fan_in`` runs."""
+        """Merge until no tier has ``fan_in`` runs. A merge of runs that another writer has merged meanwhile is dropped."""
         while True:
             manifest = self.manifest()
-            tiers: dict[int, list[dict]] = {}
-            for run in manifest["runs"]:
-                tiers.setdefault(run["tier"], []).append(run)
-            full = sorted(t for t, runs in tiers.items() if len(runs) >= self.fan_in)
-            if not full:
+            merges = self.plan(manifest["runs"])
+            if not merges:
                 return manifest
-            merged = tiers[full[0]][: self.fan_in]
-            size = sum(r["bytes"] for r in merged)
-            folder = self.fresh()
-            rows = self.rows([f for r in merged for f in r["files"]], manifest["schema"])
-            # no shuffle: whole splits are put together to files of about the target size
-            rows.coalesce(max(1, -(-size // self.target_bytes))).write.parquet(folder)
-            names = {r["name"] for r in merged}
-            run = self.run(folder)
-            # a merged run counts for a tier above its parts, even where compression has made it smaller
-            run["tier"] = max(run["tier"], full[0] + 1)
-            self.commit(manifest | {"runs": [r for r in manifest["runs"] if r["name"] not in names] + [run]})
-            self.vacuum()
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete the shards that none of the last ``keep`` versions lists but an older one does, and the older manifests."""
+            with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+                made = list(pool.map(lambda merge: self.merge(merge, manifest["schema"]), merges))
+
+            def change(last: dict, merges=merges, made=made) -> dict | None:
+                there = {r["name"] for r in last["runs"]}
+                valid = [(names, run) for merge, run in zip(merges, made) if (names := {p["name"] for p in merge["parts"]}) <= there]
+                gone = set().union(*(names for names, _ in valid))
+                return last | {"runs": [r for r in last["runs"] if r["name"] not in gone] + [run for _, run in valid if run]} if valid else None
+
+            self.update(change)
+
+    def vacuum(self, keep: int = 1, age: float = AGE) -> None:
+        """Delete manifests that are older than ``age`` seconds and not among the last ``keep``, and the shards that only these list."""
         versions = self.versions()
-        old, new = versions[:-keep], versions[-keep:]
-        wanted = {r["name"] for v in new for r in self.manifest(v)["runs"]}
+        until = 1000 * (time.time() - age)
+        made = {v: self.fs.getFileStatus(self.path(f"{self.folder}/manifests/v{v:012d}.json")).getModificationTime() for v in versions}
+        # a version is left when the next one is made
+        old = [v for v, after in zip(versions, versions[1:]) if made[after] < until and v not in versions[-keep:]]
+        wanted = {r["name"] for v in versions if v not in old for r in self.manifest(v)["runs"]}
         for name in {r["name"] for v in old for r in self.manifest(v)["runs"]} - wanted:
             self.fs.delete(self.path(name), True)
         for v in old:
