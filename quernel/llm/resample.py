@@ -1,14 +1,15 @@
 """Quality classifier by importance resampling.
 
-Target text (labelled good and not toxic) and raw text (all documents) each get a generative model of hashed n-grams: the
-share of documents in which an n-gram (a run of letters and digits or of signs, or a pair of neighbours; a pair
-of equal words stands for the length of its run) occurs, with ``SMOOTH`` added. A document's log weight sums
-``log(target / raw)`` over its distinct n-grams, leaving out those whose ratio is within ``exp(DECISIVE)`` of 1, and
-divides by the root of their number, so that length alone neither favours nor punishes. Adding Gumbel noise
-and taking the ``k`` largest keys draws ``k`` documents without replacement with chances in the ratio of ``exp(log weight /
-TEMPERATURE)``; by default ``k`` is the target's share of the labelled documents, times all documents.
-
-Counts cover all documents: each counting task sends a row for each n-gram bucket that it met, and the buckets are summed.
+Target text (labelled good and not toxic) and raw text (all documents) each get a generative model: a multinomial over hashed
+n-grams (a run of letters and digits or of signs, or a pair of neighbours), from the counts of the n-grams, with ``ALPHA`` added to
+each bucket of the raw model and the same share of its total to each of the target's. A document's log weight is the log of
+the ratio of its likelihoods, ``sum(count * log(target share / raw share))`` over all its n-grams. A text itself is taken off
+both models before it is scored: the models would else favour the texts that they were made from.
+
+Adding Gumbel noise to the log weights and taking the ``k`` largest keys draws ``k`` documents without replacement, with chances in the
+ratio of the weights; by default ``k`` is the target's share of the labelled documents, times all documents.
+
+Counts cover all documents: each split sends a row for each n-gram bucket that it met, and the buckets are summed.
 The k-th key is found by histograms: keys are counted by bins, and only the bin that holds the k-th is counted
 again, by finer bins.
 
@@ -30,11 +31,9 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import BLANKS, batches_of, holds, scratch, task, utf8, written
 
 BITS = 18
-SMOOTH = 1.0
-DECISIVE = 2.0
-TEMPERATURE = 0.02
+ALPHA = 1.0
 SEED = 17
-BATCH = 2_000_000
+BATCH = 500_000
 BROADCAST_ROWS = 2_000_000
 BINS = 4096
 
@@ -70,70 +69,60 @@ def grams(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = hashes * ODD[0]
     pairs[:-1] += hashes[1:]
     pairs = ((pairs ^ (pairs >> np.uint64(31))) * STEP >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS)
-    # a pair of equal words is an n-gram for how long the run of that word is by now (1, 2, 4 ...), whatever the word
-    numbers = np.arange(len(hashes))
-    turn = numbers - np.maximum.accumulate(np.where(np.append(False, hashes[1:] == hashes[:-1]), 0, numbers))
-    again = np.flatnonzero(turn > 0)
-    pairs[again - 1] = (1 << BITS) + np.log2(turn[again]).astype(np.int64)
     alone = np.zeros(len(single), bool)
     alone[cuts[1:][cuts[1:] > cuts[:-1]] - 1] = True
     both = np.stack([single, np.where(alone, -1, pairs)], 1)
     return both.ravel(), 2 * cuts
 
 
-def distinct(buckets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct buckets: the text's number, and the bucket."""
-    rows = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    pairs = np.unique((rows << (BITS + 1) | buckets)[buckets >= 0])
-    return pairs >> (BITS + 1), pairs & ((2 << BITS) - 1)
-
-
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of a whole partition that hold each bucket: (bucket, raw, target). Bucket -1 counts the documents."""
+    """How often a whole split holds each bucket: (bucket, raw, target)."""
     raw_counts, target = np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS, np.int64)
-    documents = np.zeros(2, np.int64)
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         wanted = batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
-        rows, found = distinct(*grams(*utf8(batch.column("text"))))
-        raw_counts += np.bincount(found, minlength=2 << BITS)
-        target += np.bincount(found[wanted[rows]], minlength=2 << BITS)
-        documents += len(wanted), wanted.sum()
+        buckets, cuts = grams(*utf8(batch.column("text")))
+        there = buckets >= 0
+        raw_counts += np.bincount(buckets[there], minlength=2 << BITS)
+        target += np.bincount(buckets[there & np.repeat(wanted, np.diff(cuts))], minlength=2 << BITS)
     met = np.flatnonzero(raw_counts)
-    columns = {"bucket": np.append(-1, met), "raw": np.append(documents[0], raw_counts[met]), "target": np.append(documents[1], target[met])}
-    yield pa.RecordBatch.from_pydict(columns)
+    yield pa.RecordBatch.from_pydict({"bucket": met, "raw": raw_counts[met], "target": target[met]})
 
 
-class Counts:
-    """In how many documents, and in how many of the target's, each n-gram bucket occurs."""
+class Models:
+    """The counts of each n-gram bucket in all texts and in the target's."""
 
-    def __init__(self, raw: np.ndarray, target: np.ndarray, share: float):
-        self.raw, self.target, self.share = raw, target, share
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        self.raw, self.target = raw, target
+        self.sizes = raw.sum(), target.sum()
 
     def log_weights(self, buckets: np.ndarray, cuts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The log weight of each text, NaN without n-grams.
-
-        A text itself is taken off the counts first: the models would else favour the texts they were made from.
-        """
-        rows, found = distinct(buckets, cuts)
-        target = self.target[found] - wanted[rows]
-        expected = (self.raw[found] - 1) * self.share
-        ratios = np.log((target + SMOOTH) / (expected + SMOOTH)) if self.share else np.zeros(len(found))
+        """The log weight of each text, NaN without n-grams."""
         size = len(cuts) - 1
-        sums = np.bincount(rows, np.where(np.abs(ratios) > DECISIVE, ratios, 0.0), size)
-        counts = np.bincount(rows, minlength=size)
-        return np.where(counts > 0, sums / np.sqrt(np.maximum(counts, 1)), np.nan)
+        rows = np.repeat(np.arange(size), np.diff(cuts))
+        pairs, counts = np.unique((rows << (BITS + 1) | buckets)[buckets >= 0], return_counts=True)
+        rows, found = pairs >> (BITS + 1), pairs & ((2 << BITS) - 1)
+        lengths = np.bincount(rows, counts, size)
+        # what is left of both models without the text itself
+        raw_size, target_size = self.sizes[0] - lengths, self.sizes[1] - lengths * wanted
+        share = np.divide(target_size, raw_size, out=np.zeros(size), where=raw_size > 0)
+        per_row = ALPHA * share[rows]
+        own = counts * wanted[rows]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratios = np.log((self.target[found] - own + per_row) / (self.raw[found] - counts + ALPHA) / share[rows])
+        sums = np.bincount(rows, np.where(share[rows] > 0, counts * ratios, 0.0), size)
+        return np.where(lengths > 0, sums, np.nan)
 
 
-_COUNTS: dict[str, Counts] = {}
+_COUNTS: dict[str, Models] = {}
 
 
-def counts_at(path: str) -> Counts:
+def counts_at(path: str) -> Models:
     if path not in _COUNTS:
         store, base = pafs.FileSystem.from_uri(path)
         with store.open_input_stream(base) as file:
             values = np.frombuffer(file.read(), np.float64)
         _COUNTS.clear()
-        _COUNTS[path] = Counts(values[1 : 1 + (2 << BITS)], values[1 + (2 << BITS) :], float(values[0]))
+        _COUNTS[path] = Models(values[: 2 << BITS], values[2 << BITS :])
     return _COUNTS[path]
 
 
@@ -195,26 +184,22 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     if n_good <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     marked = source.join(wanted, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    # fewer, larger partial sums: a task sends up to 2**(BITS + 1) rows whatever it has read
-    few = marked.select("text", "wanted").coalesce(4 * spark.sparkContext.defaultParallelism)
-    counts = few.mapInArrow(task(count_batches), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.select("text", "wanted").mapInArrow(task(count_batches), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # 2**(BITS + 1) rows at most, whatever the corpus holds
     found = counts.toPandas()
     raw, target = np.zeros(2 << BITS), np.zeros(2 << BITS)
-    grams_met, documents = found[found.bucket >= 0], found[found.bucket < 0]
-    raw[grams_met.bucket], target[grams_met.bucket] = grams_met.raw, grams_met.target
-    share_of_target = documents.target.sum() / max(1, documents.raw.sum())
+    raw[found.bucket], target[found.bucket] = found.raw, found.target
     path = scratch(spark, "ngram-counts")
     store, base = pafs.FileSystem.from_uri(path)
     store.create_dir(base.rpartition("/")[0], recursive=True)
     with store.open_output_stream(base) as file:
-        file.write(np.concatenate([[share_of_target], raw, target]).tobytes())
+        file.write(np.concatenate([raw, target]).tobytes())
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     noise = -F.log(-F.log(unit))
     kind = source.schema["doc_id"].dataType.simpleString()
     prepared = marked.select("doc_id", "text", "wanted", noise.alias("noise"), F.xxhash64("text").alias("tie"))
     scored = prepared.mapInArrow(task(score_batches, path), f"doc_id {kind}, noise double, tie long, log_weight double")
-    keyed = written(scored.select("doc_id", "log_weight", (F.col("log_weight") / TEMPERATURE + F.col("noise")).alias("key"), "tie"), "resample-keys")
+    keyed = written(scored.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"), "tie"), "resample-keys")
     rows = keyed.count()
     if share is None:
         share = n_good / n_marks if n_marks else 1.0
