@@ -5,7 +5,7 @@
 2. Each task writes its pages to archives (one gzip member for each WARC record) and, beside each archive, a run: its
    captures in order of URL key, timestamp and page_id, with a sparse index of every ``SPARSE``-th key.
 3. The runs are merged outside memory by a loser tree. A first kind of pass merges groups of ``FAN_IN`` runs to
-   longer runs until so few are left; the last pass gives each task a range of the key space, in which it
+   longer runs until at most ``OPEN_RUNS`` are left; the last pass gives each task a range of the key space, in which it
    merges the slices of all runs (found by their sparse indexes). Ranges are cut by whole keys (URL,
    timestamp, page), so one host or URL with very many captures spreads over many tasks.
 4. The merged captures, in global order, lead to the records: each is read back from its archive by offset and checked.
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import scratch, task, written
 
 LEAST = 100
-FAN_IN = 256
+FAN_IN = 64
+#: Runs that a task of the last pass has open.
+OPEN_RUNS = 512
 SPARSE = 256
 ARCHIVE_BYTES = 256_000_000
 RANGE_CAPTURES = 200_000
@@ -143,18 +145,38 @@ def write_run(path: str, captures: Iterator[list]) -> tuple[int, list[str]]:
             at += len(line)
             count += 1
     with store.open_output_stream(base + ".sparse") as out:
-        out.write(json.dumps(sparse).encode())
+        keys = [json.dumps(capture).encode() for capture, _ in sparse]
+        places = np.stack([np.cumsum([0, *map(len, keys)]), [at_ for _, at_ in sparse] + [at]], 1)
+        out.write(b"".join(keys) + places.astype("<i8").tobytes() + np.array([len(keys)], "<i8").tobytes())
     picked = [sparse[k][0] for k in np.linspace(0, len(sparse) - 1, min(SAMPLES, len(sparse))).astype(int)] if sparse else []
     return count, [json.dumps(x) for x in picked]
 
 
+def first_place(path: str, low: list) -> int:
+    """The place in a run of the last sparse key before ``low``, or 0. A binary search: few keys are read of an index of any length.
+
+    The index holds the keys, then for each where it begins and its place in the run, in 8 bytes each, and last their number.
+    """
+    store, base = pafs.FileSystem.from_uri(path)
+    with store.open_input_file(base + ".sparse") as file:
+        size = file.size()
+        count = int(np.frombuffer(file.read_at(8, size - 8), "<i8")[0])
+        table = size - 8 - 16 * (count + 1)
+        least, most, found = 0, count, 0
+        while least < most:
+            middle = (least + most) // 2
+            begin, place, end, _ = np.frombuffer(file.read_at(32, table + 16 * middle), "<i8").tolist()
+            if order_of(json.loads(file.read_at(end - begin, begin))) < order_of(low):
+                least, found = middle + 1, place
+            else:
+                most = middle
+    return found
+
+
 def read_run(path: str, low: list | None, high: list | None) -> Iterator[list]:
     """The captures of a run from ``low`` on and before ``high``, from the last sparse key before ``low``."""
     store, base = pafs.FileSystem.from_uri(path)
-    first = 0
-    if low is not None:
-        with store.open_input_stream(base + ".sparse") as file:
-            first = max((at for capture, at in json.loads(file.read()) if order_of(capture) < order_of(low)), default=0)
+    first = 0 if low is None else first_place(path, low)
     with store.open_input_file(base + ".run") as file:
         size, rest = file.size(), b""
         file.seek(first)
@@ -308,17 +330,19 @@ def merge_range(batches: Iterator[pa.RecordBatch], runs: list[str], cuts: list[l
                 yield captures_batch(rows)
 
 
-def merge_index(spark: SparkSession, folder: str, manifest: DataFrame, fan_in: int = FAN_IN, range_captures: int = RANGE_CAPTURES) -> DataFrame:
+def merge_index(spark: SparkSession, folder: str, manifest: DataFrame, fan_in: int = FAN_IN, open_runs: int = OPEN_RUNS, range_captures: int = RANGE_CAPTURES) -> DataFrame:
     """All captures; partition after partition, they are in order of URL key, timestamp and page.
 
-    The driver holds a short row for each run: its path, its count and at most SAMPLES keys.
+    Groups of about ``fan_in`` runs are merged by tasks of their own until at most ``open_runs`` are left; then each task merges a
+    range of keys of all of them. The driver holds a short row for each run that is left: its path, its count and at most SAMPLES keys.
     """
-    runs = manifest.select("run", "n_captures", "samples").collect()
-    while len(runs) > fan_in:
-        runs.sort(key=lambda r: r.run)
-        groups = [([r.run for r in runs[k : k + fan_in]],) for k in range(0, len(runs), fan_in)]
-        dealt = spark.createDataFrame(groups, "runs array<string>").repartition(len(groups))
-        runs = written(dealt.mapInArrow(task(merge_group, folder), MANIFEST), "merge-pass").select("run", "n_captures", "samples").collect()
+    runs = manifest.select("run", "n_captures", "samples")
+    while (count := runs.count()) > open_runs:
+        number = -(-count // fan_in)
+        group = F.pmod(F.xxhash64("run"), F.lit(number)).alias("group")
+        dealt = runs.groupBy(group).agg(F.collect_list("run").alias("runs")).select("runs").repartition(number)
+        runs = written(dealt.mapInArrow(task(merge_group, folder), MANIFEST), "merge-pass").select("run", "n_captures", "samples")
+    runs = runs.collect()
     total = sum(r.n_captures for r in runs)
     ranges = max(1, min(total, max(-(-total // range_captures), 2 * spark.sparkContext.defaultParallelism)))
     keys = sorted((json.loads(s) for r in runs for s in r.samples), key=order_of)
