@@ -6,14 +6,20 @@ seen in training. Learned transitions join neighbours, so a short or unknown wor
 a text may switch between languages. Forward-backward gives each word's probabilities; a document's language
 has the largest sum of them, and its score is their mean.
 
-Training: texts with a language, at most ``PER_LANGUAGE`` documents or so for each language. The bound on what the driver
-holds is ``SAMPLED`` documents; more languages than fill it share it, with ``FEWEST`` or so each at least, and none is
-left out (documents are drawn by a hash of the id). Sequences of up to ``LENGTH`` words are cut from
+Training: texts with a language, at most ``PER_LANGUAGE`` documents or so for each language. The bounds on what the driver
+holds are ``SAMPLED`` documents and ``SAMPLED_BYTES`` bytes; languages share both, and each has one document at least, so none is
+left out (documents are drawn by a hash of the id). Of a text of more than ``PASSAGE`` characters a passage of that length is
+drawn, at a hashed place. Sequences of up to ``LENGTH`` words are cut from
 the texts, so that every word of them is in one, and half of them are put together from stretches in different
-languages, so that switches have been seen. Texts of a few words (or of one, where a language writes no blanks) are
+languages, so that switches have been seen. Texts of a few words (or of one) are
 short sequences; a table of nothing else is trained on as any other. The weights climb the likelihood by adaptive gradient steps.
 
-Prediction works on whole texts of any length and reads nothing but the text. Defined cases: a text that is null or
+Prediction works on whole texts of any length and reads nothing but the text. Words run in blocks of ``BLOCK`` side by side: the
+product of a block's steps carries messages over it. A text longer than a slice is scored slice by slice, with the messages carried from
+slice to slice, so a task's memory depends on the slice alone, which is the smaller the more languages there are. A run of letters
+of more than ``WORD_BYTES`` bytes, as where a language writes no blanks, is cut into words of about that length.
+
+Defined cases: a text that is null or
 has no letter is ``und`` with score 0; with no usable training rows, all are; a null doc_id counts as an
 empty id; an empty table gives no rows.
 """
@@ -33,14 +39,19 @@ from quernel.llm._shared import batches_of, holds, scratch, task, utf8
 
 PER_LANGUAGE = 400
 SAMPLED = 64 * PER_LANGUAGE
-FEWEST = 20
+SAMPLED_BYTES = 8_000_000
+PASSAGE = 16_384
 LENGTH = 32
+WORD_BYTES = 64
+BLOCK = 512
 SLOTS = 1 << 16
 SIZES = (2, 3, 4)
 LEAST_SEEN = 3
 EPOCHS = 4
 RATE = 0.3
-BATCH = 1_500_000
+#: Bytes of a slice, and of a slice times its languages.
+BATCH = 256_000
+SCORED = 4_000_000
 UNKNOWN = "und"
 
 EDGE = 0x20
@@ -58,6 +69,21 @@ def small(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def parted(raw: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs with those of more than WORD_BYTES bytes cut into words, between characters."""
+    counts = -(-(stops - begins) // WORD_BYTES)
+    if not len(counts) or counts.max() == 1:
+        return begins, stops
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(begins, counts) + WORD_BYTES * number
+    for _ in range(3):
+        starts -= (number > 0) & ((raw[starts] & 0xC0) == 0x80)
+    ends = np.append(starts[1:], stops[-1])
+    last = np.cumsum(counts) - 1
+    ends[last] = stops
+    return starts, ends
+
+
 class Words:
     """The words of some texts: runs of letters (and of whatever is not ASCII)."""
 
@@ -70,7 +96,7 @@ class Words:
         edges = ends[(ends > 0) & (ends < len(raw))]
         begins[edges] = solid[edges]
         stops[edges - 1] = solid[edges - 1]
-        self.begins, self.stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        self.begins, self.stops = parted(raw, np.flatnonzero(begins), np.flatnonzero(stops) + 1)
         self.cuts = np.searchsorted(self.begins, ends)
         sizes = self.stops - self.begins
         # each word with an edge before it, and one edge at the end of all
@@ -79,6 +105,7 @@ class Words:
         if len(sizes):
             at = np.ones(int(sizes.sum()) + len(sizes), bool)
             at[self.heads] = False
+            # words come in order and hold all letters
             self.line[: len(at)][at] = raw[solid]
         self.sizes = sizes
 
@@ -95,12 +122,14 @@ class Words:
             h = np.zeros(count, np.uint64)
             ok = np.ones(count, bool)
             for k in range(n):
-                h = h * STEP + codes[k : k + count]
+                h *= STEP
+                h += codes[k : k + count]
                 if 0 < k < n - 1:
                     ok &= inner[k : k + count]
             if n == 2:
                 ok = inner[:count] | inner[1 : count + 1]
-            slots.append((h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1))
+            h >>= np.uint64(40)
+            slots.append(h.astype(np.int32) & np.int32(SLOTS - 1))
             valid.append(ok)
         return slots, valid
 
@@ -131,11 +160,10 @@ class Model:
         if not len(words):
             return np.zeros((0, len(self.labels)), np.float32)
         slots, valid = words.grams()
-        total = None
+        total = self.entries[self.entry(words.keys())]
         for table, slot, ok in zip(self.grams, slots, valid):
-            part = table[np.where(ok, slot, SLOTS)]
-            total = part if total is None else total + part
-        return np.add.reduceat(total, words.heads, axis=0) + self.entries[self.entry(words.keys())]
+            total += np.add.reduceat(table[np.where(ok, slot, SLOTS)], words.heads, axis=0)
+        return total
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -152,40 +180,119 @@ def shifted(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(scores - scores.max(-1, keepdims=True), -60.0))
 
 
-def sums_of_marginals(scores: np.ndarray, cuts: np.ndarray, moves: np.ndarray, each: bool = False) -> np.ndarray:
-    """Forward-backward over each text's words: the sums of the words' probabilities, or each word's.
-
-    Texts are run side by side, longest first, a word at a step; a text leaves when its words are over.
-    """
-    sizes = np.diff(cuts)
-    order = np.argsort(-sizes, kind="stable")
-    firsts, lengths = cuts[:-1][order], sizes[order]
-    emitted = shifted(scores).astype(np.float32)
-    step = np.exp(moves - moves.max()).astype(np.float32)
-    ahead = np.empty_like(emitted)
-    longest = int(lengths[0]) if len(lengths) else 0
-    live = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    now = None
-    for t in range(longest):
-        at = firsts[: live[t]] + t
-        now = emitted[at] if now is None else (now[: live[t]] @ step) * emitted[at]
-        now /= now.sum(1, keepdims=True)
-        ahead[at] = now
-    out = np.zeros_like(emitted) if each else np.zeros((len(sizes), scores.shape[1]), np.float64)
-    behind = np.ones((0, scores.shape[1]), np.float32)
-    for t in range(longest - 1, -1, -1):
-        # texts that end here begin with ones
-        behind = np.concatenate([behind, np.ones((live[t] - len(behind), scores.shape[1]), np.float32)])
-        at = firsts[: live[t]] + t
-        both = ahead[at] * behind
-        both /= both.sum(1, keepdims=True)
+class Chain:
+    """Forward-backward over the words of some texts, in blocks that run side by side, longest first, a word at a step."""
+
+    def __init__(self, scores: np.ndarray, cuts: np.ndarray, moves: np.ndarray):
+        self.emitted = shifted(scores).astype(np.float32)
+        self.step = np.exp(moves - moves.max()).astype(np.float32)
+        self.labels = scores.shape[1]
+        counts = -(-np.diff(cuts) // BLOCK)
+        #: Blocks by their number within the text: texts that have one, and where it is among all blocks.
+        self.firsts = np.cumsum(counts) - counts
+        self.counts = counts
+        self.text = np.repeat(np.arange(len(counts)), counts)
+        number = np.arange(int(counts.sum())) - np.repeat(self.firsts, counts)
+        self.opens = number == 0
+        self.begins = np.repeat(cuts[:-1], counts) + BLOCK * number
+        self.sizes = np.minimum(np.repeat(cuts[1:], counts) - self.begins, BLOCK)
+
+    def steps(self, blocks: np.ndarray):
+        """The given blocks, longest first, and for each step how many have a word there."""
+        order = blocks[np.argsort(-self.sizes[blocks], kind="stable")]
+        sizes = self.sizes[order]
+        longest = int(sizes[0]) if len(sizes) else 0
+        return order, np.searchsorted(-sizes, -np.arange(longest), side="left")
+
+    def products(self, blocks: np.ndarray) -> np.ndarray:
+        """For each block the product of its steps: row i tells what follows from label i before the block.
+
+        A block that opens a text begins with no step; its rows stand for its first label.
+        """
+        order, live = self.steps(blocks)
+        out = np.empty((len(blocks), self.labels, self.labels), np.float32)
+        for t, n in enumerate(live):
+            now = np.where(self.opens[order[:n], None, None], np.eye(self.labels, dtype=np.float32), self.step) if t == 0 else out[:n] @ self.step
+            now *= self.emitted[self.begins[order[:n]] + t][:, None, :]
+            out[:n] = now / now.sum((1, 2), keepdims=True)
+        placed = np.empty_like(out)
+        placed[np.argsort(-self.sizes[blocks], kind="stable")] = out
+        return placed
+
+    def carried(self, before: np.ndarray | None, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The messages into each block from its left and right, and those that leave the first text at both ends.
+
+        ``before`` and ``after`` come from the slices around the one text that the chain then holds.
+        """
+        total = len(self.begins)
+        left = np.ones((total, self.labels), np.float32)
+        right = np.ones((total, self.labels), np.float32)
+        if before is not None:
+            self.opens[:1] = False
+        many = np.flatnonzero((self.counts > 1) | (before is not None) | (after is not None))
+        where = np.full(total, -1)
+        blocks = np.flatnonzero(np.isin(self.text, many))
+        where[blocks] = np.arange(len(blocks))
+        products = self.products(blocks)
+        # what comes into a block is the last label before it, or nothing where it opens a text
+        state = np.ones((len(many), self.labels), np.float32)
+        if before is not None and len(many):
+            state[0] = before
+        for j in range(int(self.counts[many].max()) if len(many) else 0):
+            on = np.flatnonzero(self.counts[many] > j)
+            block = self.firsts[many[on]] + j
+            left[block] = state[on]
+            now = (state[on][:, None, :] @ products[where[block]])[:, 0]
+            state[on] = now / now.sum(1, keepdims=True)
+        back = np.ones((len(many), self.labels), np.float32)
+        if after is not None and len(many):
+            back[0] = after
+        for j in range(int(self.counts[many].max()) if len(many) else 0):
+            on = np.flatnonzero(self.counts[many] > j)
+            block = self.firsts[many[on]] + self.counts[many[on]] - 1 - j
+            right[block] = back[on]
+            now = (products[where[block]] @ back[on][:, :, None])[:, :, 0]
+            back[on] = now / now.sum(1, keepdims=True)
+        return left, right, state[0] if len(many) else before, back[0] if len(many) else after
+
+    def marginals(self, before: np.ndarray | None = None, after: np.ndarray | None = None, each: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The sums of the words' probabilities for each text (or each word's), and the message that leaves to the left."""
+        left, right, _, out_left = self.carried(before, after)
+        order, live = self.steps(np.arange(len(self.begins)))
+        begins, opens = self.begins[order], self.opens[order]
+        ahead = np.empty_like(self.emitted)
+        now = None
+        for t, n in enumerate(live):
+            at = begins[:n] + t
+            came = np.where(opens[:, None], 1, left[order] @ self.step) if t == 0 else now[:n] @ self.step
+            now = came * self.emitted[at]
+            now /= now.sum(1, keepdims=True)
+            ahead[at] = now
+        out = np.zeros_like(self.emitted) if each else np.zeros((len(self.begins), self.labels), np.float64)
+        behind = np.ones((0, self.labels), np.float32)
+        for t in range(len(live) - 1, -1, -1):
+            n = live[t]
+            # blocks that end here begin with what comes from their right
+            behind = np.concatenate([behind, right[order[len(behind) : n]]])
+            at = begins[:n] + t
+            both = ahead[at] * behind
+            both /= both.sum(1, keepdims=True)
+            if each:
+                out[at] = both
+            else:
+                out[order[:n]] += both
+            behind = (self.emitted[at] * behind) @ self.step.T
+            behind /= behind.sum(1, keepdims=True)
         if each:
-            out[at] = both
-        else:
-            out[order[: live[t]]] += both
-        behind = (emitted[at] * behind) @ step.T
-        behind /= behind.sum(1, keepdims=True)
-    return out
+            return out, out_left
+        sums = np.zeros((len(self.counts), self.labels))
+        np.add.at(sums, self.text, out)
+        return sums, out_left
+
+
+def sums_of_marginals(scores: np.ndarray, cuts: np.ndarray, moves: np.ndarray, each: bool = False) -> np.ndarray:
+    """For each text the sums of its words' probabilities, or each word's."""
+    return Chain(scores, cuts, moves).marginals(each=each)[0]
 
 
 # ---- Training
@@ -258,7 +365,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
         return model
     entry = model.entry(keys)
     slots, valid = words.grams()
-    slots = [np.where(ok, s, SLOTS) for s, ok in zip(slots, valid)]
+    slots = [np.where(ok, s, np.int32(SLOTS)) for s, ok in zip(slots, valid)]
     spans = np.append(words.heads, len(slots[0]))
     squares = [np.full_like(model.grams, 1e-2), np.full_like(model.entries, 1e-2), np.full_like(model.moves, 1.0)]
     for _ in range(EPOCHS):
@@ -293,17 +400,22 @@ def bucket(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list:
-    """Labelled documents for training, about ``per_language`` for each language, or an even share of ``SAMPLED`` if that is less."""
+    """Labelled documents for training, within the bounds that the module tells."""
+    place = F.pmod(F.xxhash64(F.lit(77), F.col(id_col)), F.lit(1 << 30))
+    begin = F.pmod(F.xxhash64(F.lit(78), F.col(id_col)), F.greatest(F.length(text_col) - PASSAGE, F.lit(0)) + 1)
     known = docs.filter((bucket(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(lang_col).count().collect()
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"), F.xxhash64(id_col, text_col).alias("o"), begin.alias("begin"))
+    bytes_ = F.least(F.octet_length("text"), F.lit(4 * PASSAGE)).cast("long")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(bytes_).alias("bytes"), F.min("place").alias("least")).collect()
     if not sizes:
         return []
-    wanted = min(per_language, max(FEWEST, SAMPLED / len(sizes)))
-    # languages of at most that many documents are taken whole
-    large = [x for r in sizes if r["count"] > wanted for x in (r[0], wanted / r["count"])]
-    share = F.coalesce(F.element_at(F.create_map(*map(F.lit, large)), F.col(lang_col)), F.lit(1.0)) if large else F.lit(1.0)
-    place = F.pmod(F.xxhash64(F.lit(77), F.col(id_col)), F.lit(1 << 30)) / (1 << 30)
-    return known.filter(place < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("o")).collect()
+    documents, size = min(per_language, SAMPLED / len(sizes)), SAMPLED_BYTES / len(sizes)
+    # languages of no more than that are taken whole; the document with the smallest hash always
+    edges = {r.lang: max(r.least, int((1 << 30) * min(1.0, documents / r.n, size / max(1, r.bytes)))) for r in sizes}
+    edge = F.element_at(F.create_map(*(F.lit(x) for pair in edges.items() for x in pair)), F.col("lang"))
+    drawn = known.filter(F.col("place") <= edge)
+    text = F.when(F.length("text") > PASSAGE, F.substring("text", F.col("begin") + 1, F.lit(PASSAGE))).otherwise(F.col("text"))
+    return drawn.select(text.alias("text"), "lang", "o").collect()
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> str:
@@ -332,27 +444,75 @@ def model_at(path: str) -> Model:
     return _MODEL[path]
 
 
+def slice_bytes(model: Model) -> int:
+    """How many bytes are scored at a time."""
+    return max(4 * WORD_BYTES, min(BATCH, SCORED // max(1, len(model.labels))))
+
+
+def slices(raw: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """A long text cut where no word is, or within a run of letters that is as long as a slice."""
+    out, begin = [], 0
+    while len(raw) - begin > limit:
+        gaps = np.flatnonzero(~IN_WORD[raw[begin + limit // 2 : begin + limit]])
+        end = begin + limit // 2 + int(gaps[-1]) if len(gaps) else begin + limit
+        while not len(gaps) and end > begin + 1 and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((begin, end))
+        begin = end
+    return [*out, (begin, len(raw))]
+
+
+def sums_of_long(model: Model, raw: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
+    """The sums of the words' probabilities of one text, and the number of its words, slice by slice.
+
+    The first way through keeps what each slice gives to the next; the way back scores the slices again.
+    """
+
+    def chain(begin: int, end: int) -> Chain:
+        words = Words(raw[begin:end], np.array([0, end - begin]))
+        return Chain(model.scores(words), words.cuts, model.moves)
+
+    parts = slices(raw, limit)
+    came: list[np.ndarray | None] = [None]
+    for begin, end in parts[:-1]:
+        link = chain(begin, end)
+        came.append(link.carried(came[-1], np.ones(link.labels, np.float32))[2] if len(link.begins) else came[-1])
+    sums, words, after = np.zeros(len(model.labels)), 0, np.ones(len(model.labels), np.float32)
+    for (begin, end), before in zip(parts[::-1], came[::-1]):
+        link = chain(begin, end)
+        if len(link.begins):
+            own, after = link.marginals(before, after)
+            sums, words = sums + own[0], words + int(link.sizes.sum())
+    return sums, words
+
+
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language and score of each text."""
     raw, ends = utf8(column)
-    words = Words(raw, ends)
-    sums = sums_of_marginals(model.scores(words), words.cuts, model.moves) if model.labels else np.zeros((len(column), 1))
-    counts = np.diff(words.cuts)
-    ascii_letter = np.append(0, np.cumsum(IN_WORD[raw] & (raw < 0x80)))
-    some = ascii_letter[ends[1:]] > ascii_letter[ends[:-1]]
+    limit = slice_bytes(model)
+    if not model.labels:
+        return [UNKNOWN] * len(column), np.zeros(len(column))
+    if len(column) == 1 and len(raw) > limit:
+        some = np.array([any((IN_WORD[part] & (part < 0x80)).any() for k in range(0, len(raw), limit) if len(part := raw[k : k + limit]))])
+        sums, count = sums_of_long(model, raw, limit)
+        sums, counts = sums[None], np.array([count])
+    else:
+        ascii_letter = np.append(0, np.cumsum(IN_WORD[raw] & (raw < 0x80)))
+        some = ascii_letter[ends[1:]] > ascii_letter[ends[:-1]]
+        words = Words(raw, ends)
+        sums, counts = sums_of_marginals(model.scores(words), words.cuts, model.moves), np.diff(words.cuts)
     for k in np.flatnonzero(~some & (counts > 0)).tolist():
         some[k] = any(map(str.isalpha, column[k].as_py()))
     best = sums.argmax(1)
-    known = some & bool(model.labels)
-    scores = np.where(known, np.clip(sums[np.arange(len(best)), best] / np.maximum(counts, 1), 0, 1), 0.0)
-    return [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist())], scores
+    scores = np.where(some, np.clip(sums[np.arange(len(best)), best] / np.maximum(counts, 1), 0, 1), 0.0)
+    return [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())], scores
 
 
 def predict_batches(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Iterator[pa.RecordBatch]:
     """The rows with ``lang_pred`` and ``score`` added."""
     holds("langcrf", _MODEL)
     model = model_at(path)
-    for batch in (part for whole in batches for part in batches_of(whole, text_col, BATCH)):
+    for batch in (part for whole in batches for part in batches_of(whole, text_col, slice_bytes(model))):
         langs, scores = predict(model, batch.column(text_col))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
