@@ -45,7 +45,7 @@ MASK = 0xA282EAD8
 #: Distinct pieces that a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 300_000
 #: Bytes of text that are encoded at a time.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 # ---- CRC-32C of many buffers at once
@@ -121,7 +121,8 @@ class Encoder:
     For a tokenizer that lower-cases, drops white space and never lets a token cross it (see ``splits_at_blanks``),
     the ids of a text are those of its pieces in a row. Texts are cut at blanks and between an ASCII letter
     and an ASCII sign after it, where no token of such a tokenizer can stand across; equal pieces
-    of a batch are found by hashing all of them side by side, and the library encodes each distinct piece.
+    of a batch are found by hashing all of them side by side, and the library encodes each distinct piece. Bytes of pieces
+    with one hash are compared; should any differ, each piece of the batch is looked up by its bytes.
     Texts that may hold a special token, and all texts of other tokenizers, go to the library uncut.
     """
 
@@ -184,7 +185,8 @@ class Encoder:
         stops[:-1] &= ~solid[1:] | begins[1:]
         return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
-    def hashes(self, raw: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def distinct(self, raw: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """For each piece the number of its kind, and the first piece of each kind; None if pieces of one hash differ."""
         sizes = stops - begins
         longest = int(sizes.max())
         if longest > len(self.powers):
@@ -192,7 +194,15 @@ class Encoder:
         firsts = np.cumsum(sizes) - sizes
         solid = raw[~self.BLANK[raw]]
         places = np.arange(len(solid)) - np.repeat(firsts, sizes)
-        return np.add.reduceat(self.ODD[solid] * self.powers[places], firsts) ^ (sizes.astype(np.uint64) * self.STEP)
+        hashes = np.add.reduceat(self.ODD[solid] * self.powers[places], firsts) ^ (sizes.astype(np.uint64) * self.STEP)
+        codes, kinds = pd.factorize(hashes)
+        first = np.empty(len(kinds), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        model = first[codes]
+        places += np.repeat(begins[model], sizes)
+        if (sizes != sizes[model]).any() or (raw[places] != solid).any():
+            return None
+        return codes, first
 
     def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts in a row, and where each text's ids begin and end.
@@ -207,9 +217,7 @@ class Encoder:
         begins, stops = self.cut(raw, ends)
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
-        codes, distinct = pd.factorize(self.hashes(raw, begins, stops))
-        first = np.empty(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        codes, first = self.distinct(raw, begins, stops) or (np.arange(len(begins)), np.arange(len(begins)))
         table = [self.known(data[i:j]) for i, j in zip(begins[first].tolist(), stops[first].tolist())]
         counts = np.fromiter(map(len, table), np.int64, len(table)) // 4
         pool = np.frombuffer(b"".join(table), "<u4")
@@ -322,6 +330,8 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer_path:
                 file = store.open_output_stream(base + ".rec")
             ids = batch.column(0).to_pylist()
             values, cuts = codes.texts(batch.column(1))
+            if len(values) and int(values.max()) >> (8 * width):
+                raise ValueError(f"an id does not fit in {width} bytes")
             values = values.astype(f"<u{width}")
             payloads = [HEAD.pack(d is not None, width, d or 0) + values[i:j].tobytes() + end for d, i, j in zip(ids, cuts.tolist(), cuts[1:].tolist())]
             counts = np.diff(cuts) + len(end) // width
@@ -343,16 +353,24 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer_path:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_records": [sum(map(len, index))], "n_tokens": [tokens], "n_bytes": [at]})
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 65536) -> DataFrame:
+def id_width(tokenizer_path: str, end_id: int | None) -> int:
+    """The bytes that an id takes."""
+    from tokenizers import Tokenizer
+
+    largest = max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(largest, end_id or 0) < 1 << 16 else 4
+
+
+def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts, write shards in ascending order of the id, and return the manifest.
 
     Rows go to ranges of the id (large ids' ties are cut by a hash of the text), are sorted there and
-    streamed into one shard each, so a task holds a batch at a time. ``vocabulary`` bounds the ids and so
-    decides whether they take 2 or 4 bytes.
+    streamed into one shard each, so a task holds a batch at a time. Ids take 2 bytes where the tokenizer's largest id and
+    ``end_id`` allow, else 4.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "records")
-    width = 2 if vocabulary <= 65536 else 4
+    width = id_width(tokenizer_path, end_id)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
