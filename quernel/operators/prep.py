@@ -53,6 +53,38 @@ def answer_labels(ids: Column, begin: int, end: int) -> Column:
     return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["a"]) & (i <= s["b"])), x).otherwise(F.lit(IGNORED)))
 
 
+class Rooms:
+    """Bins of one size; the first that has room for an item is found in a tree of the largest room below each node."""
+
+    def __init__(self, size: int, most: int):
+        self.size, self.leaves = size, 1 << max(0, (most - 1).bit_length())
+        self.room = [size] * (2 * self.leaves)
+
+    def put(self, n: int) -> int:
+        """The bin that takes an item. One larger than a bin goes to the first empty one, alone."""
+        wanted, node = min(n, self.size), 1
+        while node < self.leaves:
+            node = 2 * node if self.room[2 * node] >= wanted else 2 * node + 1
+        place = node - self.leaves
+        self.room[node] -= wanted
+        while node > 1:
+            node //= 2
+            self.room[node] = max(self.room[2 * node], self.room[2 * node + 1])
+        return place
+
+
+def packed(items: DataFrame, key: str, size: str, shard: str, most: int) -> DataFrame:
+    """(shard, bin, key, size): first-fit packing, largest first, in each shard. A shard is a bounded number of items."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values([size, key], ascending=[False, True])
+        rooms = Rooms(most, len(ordered))
+        return ordered.assign(bin=[rooms.put(int(n)) for n in ordered[size]])[[shard, "bin", key, size]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    return items.select(shard, key, size).groupBy(shard).applyInPandas(pack, f"{shard} {kinds[shard]}, bin long, {key} {kinds[key]}, {size} {kinds[size]}")
+
+
 def padded(values: Column, length: int, fill: int) -> Column:
     """Cut or filled on the right to a length."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), length)), 1, length)
@@ -78,6 +110,7 @@ def rope_positions(ids: list[int], image: int, video: int, image_grids: list, vi
         grids[video] += [(1, h, w)] * t if per_frame else [(t, h, w)]
     at = position = 0
     used = {image: 0, video: 0}
+    marks = {k: np.flatnonzero(np.asarray(ids) == k) for k in grids}
     while at < len(ids):
         kind = ids[at]
         if kind in grids and used[kind] < len(grids[kind]):
@@ -89,8 +122,11 @@ def rope_positions(ids: list[int], image: int, video: int, image_grids: list, vi
             at += block.shape[1]
             position = int(block.max()) + 1
         else:
-            out[:, at] = position
-            at, position = at + 1, position + 1
+            # a run of text up to the next block
+            ahead = [places[places >= at] for k, places in marks.items() if used[k] < len(grids[k])]
+            until = min((int(p[0]) for p in ahead if len(p) and p[0] > at), default=len(ids))
+            out[:, at:until] = position + np.arange(until - at)
+            at, position = until, position + until - at
     return out
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import text as T
 from quernel.operators import trajectory
+from quernel.operators.series import inside
 
 #: Least length, least path and gripper change, and the tasks whose other arm may move further.
 LEAST_FRAMES, MOTION, GRIP_CHANGE, GRIP_STILL = 7, 0.015, 0.25, 1e-4
@@ -36,8 +37,8 @@ def truncation_rule(rule: Column, source: Column) -> Column:
 
 def after_grip(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """For each span, each arm's path after its gripper's last step (or from the start, if it never moves)."""
-    inside = frames.join(spans.select("ep", F.col("pos").alias("idx"), "start", "end"), "ep").filter(F.col("f").between(F.col("start"), F.col("end")))
-    moved = trajectory.with_steps(inside, ["ep", "idx"])
+    within = inside(spans.withColumnRenamed("pos", "idx"), "idx", "start")
+    moved = trajectory.with_steps(frames.join(within, ["ep", "f"]), ["ep", "idx"])
     whole = Window.partitionBy("ep", "idx")
     sums = []
     for arm in trajectory.ARMS:

@@ -56,3 +56,44 @@ def nearest_boundary(candidates: DataFrame, key: list[str], lead: int = 4) -> Da
     early = F.col("move.frame") < F.col("grip.frame") - lead
     pick = F.when(F.col("grip").isNull() | early, F.col("move")).otherwise(F.col("grip"))
     return out.select(*key, pick["frame"].alias("frame"), pick["source"].alias("source"))
+
+
+def first_by_hash(rows: DataFrame, groups: list[str], hashed: Column, tie: str, wanted) -> DataFrame:
+    """The first ``wanted(n)`` of each group's n rows in order of a hex hash and ``tie``.
+
+    Rows are counted by the hash's first four digits, and only the bucket in which the last wanted row lies is ranked, so no task
+    sorts a whole group.
+    """
+    marked = rows.withColumn("_hash", hashed).withColumn("_bucket", F.left("_hash", F.lit(4)))
+    counted = marked.groupBy(*groups, "_bucket").agg(F.count("*").alias("n"))
+    order, whole = Window.partitionBy(*groups).orderBy("_bucket"), Window.partitionBy(*groups)
+    sums = counted.withColumn("upto", F.sum("n").over(order)).withColumn("want", wanted(F.sum("n").over(whole)).cast("long"))
+    named = [F.col(g).alias(f"_{g}") for g in groups]
+    edges = sums.filter("upto >= want").groupBy(*named, F.col("want").alias("_want")).agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("below"))).alias("_edge"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    # one row a group: groups are few beside their rows
+    met = marked.join(edges, same) if groups else marked.crossJoin(F.broadcast(edges))
+    place = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("_hash", tie))
+    sure = met.filter(F.col("_bucket") < F.col("_edge._bucket"))
+    last = met.filter(F.col("_bucket") == F.col("_edge._bucket")).withColumn("_rn", place).filter(F.col("_rn") + F.col("_edge.below") <= F.col("_want"))
+    return sure.select(*rows.columns).unionByName(last.select(*rows.columns))
+
+
+def values_at(rows: DataFrame, group: str, value: str, places: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """For each group the values at some places of its rows in order of the value (0 is the first); a place is a column of ``n``.
+
+    Values are counted by bins between the group's extremes; only the bins that hold a place are looked at value by value.
+    """
+    bounds = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    number = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_low")) / width * bins)).cast("long")
+    binned = rows.select(group, value).join(F.broadcast(bounds), group).withColumn("_bin", number)
+    counted = binned.groupBy(group, "_bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy(group).orderBy("_bin")))
+    asked = bounds.select(group, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), p.cast("long").alias("place")) for k, p in places.items()))).alias("a")).select(group, "a.*")
+    hits = counted.join(F.broadcast(asked), group).filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
+    hits = hits.select(group, "_bin", "name", (F.col("place") - (F.col("upto") - F.col("c"))).alias("at"))
+    near = binned.join(F.broadcast(hits), [group, "_bin"]).groupBy(group, "name", "at", value).agg(F.count("*").alias("c"))
+    near = near.withColumn("upto", F.sum("c").over(Window.partitionBy(group, "name").orderBy(value))).filter(F.col("upto") > F.col("at"))
+    return near.groupBy(group).agg(*(F.min(F.when(F.col("name") == k, F.col(value))).alias(k) for k in places))

@@ -5,8 +5,6 @@ All windows are partitioned by the episode ``ep`` and ordered by the frame ``f``
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,18 +96,28 @@ def filled(spans: DataFrame, last: DataFrame) -> DataFrame:
     return ordered.select("ep", "idx", begin.alias("start"), F.coalesce(F.lead("start").over(order) - 1, F.col("last")).alias("end"))
 
 
+def inside(spans: DataFrame, *columns: str) -> DataFrame:
+    """A row for each frame of each span. Frames then meet spans by an equi-join: as many rows as there are frames in spans."""
+    return spans.filter("start <= end").select("ep", *columns, F.explode(F.sequence("start", "end")).alias("f"))
+
+
 def span_at(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(ep, f, idx, before): the first span around each frame; ``before`` is the last span that ended before it (else 0)."""
-    both = points.join(spans, "ep", "left")
-    inside = (F.col("f") >= F.col("start")) & (F.col("f") <= F.col("end"))
-    before = F.max(F.when(F.col("end") < F.col("f"), F.struct("end", "idx")))["idx"]
-    return both.groupBy("ep", "f").agg(F.min(F.when(inside, F.col("idx"))).alias("idx"), F.coalesce(before, F.lit(0)).alias("before"))
+    around = inside(spans, "idx").groupBy("ep", "f").agg(F.min("idx").alias("idx"))
+    frame = points.select("ep", "f").distinct()
+    # an ended span is known from the frame after its end on
+    kind = spans.select(F.struct("end", "idx").alias("e")).schema["e"].dataType
+    ended = spans.select("ep", (F.col("end") + 1).cast("long").alias("f"), F.struct("end", "idx").alias("e"), F.lit(False).alias("asked"))
+    both = frame.select("ep", F.col("f").cast("long").alias("f"), F.lit(None).cast(kind).alias("e"), F.lit(True).alias("asked")).unionByName(ended)
+    order = Window.partitionBy("ep").orderBy("f", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("e", F.max("e").over(order)).filter("asked")
+    return known.join(around, ["ep", "f"], "left").select("ep", "f", "idx", F.coalesce("e.idx", F.lit(0)).alias("before"))
 
 
 def next_of(rows: DataFrame, kind: str) -> DataFrame:
-    """Add the frame and value of the next row of a kind, strictly later: a forward as-of join by a window."""
-    later = frame_order().rowsBetween(1, Window.unboundedFollowing)
-    hit = F.first(F.when(F.col("kind") == kind, F.struct("f", "v")), ignorenulls=True).over(later)
+    """Add the frame and value of the next row of a kind, strictly later: one pass from the last frame back."""
+    later = Window.partitionBy("ep").orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.last(F.when(F.col("kind") == kind, F.struct("f", "v")), ignorenulls=True).over(later)
     return rows.withColumn("hit", hit).select("ep", "f", F.col("hit.f").alias("next_f"), F.col("hit.v").alias("next_v"))
 
 
@@ -124,5 +132,3 @@ def bucket_pick(rows: DataFrame, size: float) -> DataFrame:
     inside = rows.filter("progress < 1").withColumn("bucket", F.least(F.lit(most), F.floor(F.col("progress") / size)).cast("int"))
     order = Window.partitionBy("ep", "bucket").orderBy(F.round(F.abs(F.col("progress") - (F.col("bucket") + 0.5) * size), 9), F.desc("f"))
     return inside.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("ep", "bucket", "f")
-
-

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import geometry as G
-from quernel.operators.series import spaced
+from quernel.operators.series import inside, spaced
 
 #: Where each arm's numbers begin, what counts as motion, and when a subtask is done.
 ARMS = {"left": 0, "right": 8}
@@ -46,8 +46,7 @@ def progress(frames: DataFrame, spans: DataFrame) -> DataFrame:
     where none does; 0 up to the start and 1 from the end on.
     """
     keys = ["ep", "idx"]
-    inside = frames.join(spans, "ep").filter((F.col("f") >= F.col("start")) & (F.col("f") <= F.col("end")))
-    moved = with_steps(inside, keys)
+    moved = with_steps(frames.join(inside(spans, "idx", "start", "end", "left", "right"), ["ep", "f"]), keys)
     order, whole = Window.partitionBy(*keys).orderBy("f").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
     parts = []
     for name, least in (("path", LEAST_PATH), ("turn", F.radians(F.lit(LEAST_TURN_DEGREES))), ("grip", LEAST_GRIP)):
@@ -164,8 +163,7 @@ def split_segments(segments: DataFrame, groups: DataFrame) -> DataFrame:
 
 def arm_motion(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """For each span (ep, idx, start, end): each arm's path, longest step, grip range, change and whether it crossed half open."""
-    inside = frames.join(spans.select("ep", "idx", "start", "end"), "ep").filter((F.col("f") >= F.col("start")) & (F.col("f") <= F.col("end")))
-    moved = with_steps(inside, ["ep", "idx"])
+    moved = with_steps(frames.join(inside(spans, "idx"), ["ep", "f"]), ["ep", "idx"])
     out = []
     for arm in ARMS:
         grip = F.col("state")[ARMS[arm] + 7]

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import geometry as G
 from quernel.functions import text as T
+from quernel.operators import prep
 from quernel.operators import scoring as S
 from quernel.operators import series as W
+from quernel.operators.sampling import first_by_hash, values_at
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,27 @@ od AS (SELECT seg.*, last, row_number() OVER (PARTITION BY ep ORDER BY start) -
 fi AS (SELECT ep, idx, CASE WHEN idx = 0 THEN 0 ELSE start END AS start, coalesce(lead(start) OVER (PARTITION BY ep ORDER BY start) - 1, last) AS "end", n FROM od)"""
 
 
+# ---- SQL of text scores
+
+NGRAMS = "list_transform(range(1, greatest(len({0}) - {1} + 2, 1)), lambda k: array_to_string({0}[k:k + {1} - 1], chr(1)))"
+
+
+def bleu_sql(a: str, b: str) -> str:
+    """Smoothed BLEU of the list b against the list a."""
+    logs = []
+    for n in range(1, 5):
+        said, wanted = NGRAMS.format(b, n), NGRAMS.format(a, n)
+        clipped = f"list_sum(list_transform(list_distinct({said}), lambda g: least(len(list_filter({said}, lambda x: x = g)), len(list_filter({wanted}, lambda x: x = g)))))"
+        logs.append(f"ln((coalesce({clipped}, 0) + 1) / (len({said}) + 1))")
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE CASE WHEN len({b}) > len({a}) THEN 1.0 ELSE exp(1 - len({a}) / len({b})) END * exp(({' + '.join(logs)}) / 4) END"
+
+
+def edits_sql(a: str, b: str) -> str:
+    """Edits between lists of tokens: each distinct token is one character for the distance of strings."""
+    sign = lambda x: f"array_to_string(list_transform({x}, lambda t: chr(list_position(list_distinct(list_concat({a}, {b})), t)::INT)), '')"
+    return f"levenshtein({sign(a)}, {sign(b)})"
+
+
 # ---- Scoring
 
 
@@ -240,20 +262,25 @@ def interval_frame_lookup(spark, sf_dir):
 k AS (SELECT * FROM c WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.user_id AND e.event_type = 'view' AND e.ts > c.a AND e.ts < c.b))
 SELECT user_id, count(*) AS n_cues, string_agg(event_id::VARCHAR, ' ' ORDER BY a, event_id) AS cues FROM k GROUP BY user_id""")
 def subtitle_range_semi(spark, sf_dir):
-    """Cues with some frame strictly inside, put together in order of time."""
-    events = read(spark, sf_dir, "events")
-    cues = events.filter("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("b"))
-    views = events.filter("event_type = 'view'").select(F.col("user_id").alias("u"), "ts")
-    kept = cues.join(views, (F.col("user_id") == F.col("u")) & (F.col("ts") > F.col("a")) & (F.col("ts") < F.col("b")), "left_semi")
+    """Cues with some frame strictly inside, put together in order of time.
+
+    A cue as long as a cell of time reaches from its cell into the next one, so the first and last frame of each cell tell enough.
+    """
+    events = read(spark, sf_dir, "events").withColumn("cell", F.datediff("ts", F.lit("1970-01-01")) * 4 + F.floor(F.hour("ts") / 6))
+    cues = events.filter("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("b"), "cell")
+    cells = events.filter("event_type = 'view'").groupBy("user_id", "cell").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    parts = cues.withColumn("at", F.col("cell")).withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
+    met = parts.join(cells, ["user_id", "cell"]).filter(F.when(F.col("cell") == F.col("at"), F.col("high") > F.col("a")).otherwise(F.col("low") < F.col("b")))
+    kept = met.select("user_id", "event_id", "a").distinct()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("a", "event_id"))), lambda c: c["event_id"].cast("string"))
     return kept.groupBy("user_id").agg(F.count("*").alias("n_cues"), F.array_join(ordered, " ").alias("cues"))
 
 
 @query("""SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.quality AS gold, p.pred AS pred, CASE WHEN g.doc_id IS NULL THEN 'pred' WHEN p.doc_id IS NULL THEN 'gold' ELSE 'both' END AS side
-FROM labels g FULL OUTER JOIN (SELECT doc_id, n_chars % 2 AS pred FROM documents WHERE doc_id % 3 > 0) p ON g.doc_id = p.doc_id""")
+FROM labels g FULL OUTER JOIN (SELECT doc_id, n_chars % 2 AS pred FROM documents) p ON g.doc_id = p.doc_id""")
 def full_outer_merge(spark, sf_dir):
     gold = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("gold"), F.lit(True).alias("g"))
-    pred = read(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select("doc_id", (F.col("n_chars") % 2).alias("pred"), F.lit(True).alias("p"))
+    pred = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).alias("pred"), F.lit(True).alias("p"))
     side = F.when(F.col("g").isNull(), "pred").when(F.col("p").isNull(), "gold").otherwise("both")
     return gold.join(pred, "doc_id", "full_outer").select("doc_id", "gold", "pred", side.alias("side"))
 
@@ -334,13 +361,18 @@ GE = ST + """, sg AS (SELECT *, CASE WHEN d IS NULL OR abs(d) <= 0.5 THEN 0 WHEN
 nw AS (SELECT *, (sgn <> coalesce(lag(sgn) OVER (PARTITION BY ep ORDER BY f), 9))::INT AS new FROM sg), rn AS (SELECT *, sum(new) OVER (PARTITION BY ep ORDER BY f) AS run FROM nw)"""
 
 
-@query(f"""WITH {GE} SELECT ep, min(f) - 1 AS start, max(f) AS "end", floor((min(f) - 1 + max(f)) / 2)::BIGINT AS mid, round(sum(d), 4) AS change, CASE WHEN sgn > 0 THEN 'open' ELSE 'close' END AS kind
-FROM rn WHERE sgn <> 0 GROUP BY ep, run, sgn HAVING abs(sum(d)) >= 10""")
+MR = GE + """, ev AS (SELECT ep, min(f) - 1 AS start, max(f) AS "end", floor((min(f) - 1 + max(f)) / 2)::BIGINT AS mid, round(sum(d), 4) AS change, CASE WHEN sgn > 0 THEN 'open' ELSE 'close' END AS kind
+FROM rn WHERE sgn <> 0 GROUP BY ep, run, sgn HAVING abs(sum(d)) >= 10)"""
+
+
+@query(f"WITH {MR} SELECT * FROM ev")
 def gripper_events(spark, sf_dir):
     return W.monotone_runs(trajectories(spark, sf_dir), 0.5, 10.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MR}, nb AS (SELECT ev.*, row_number() OVER (PARTITION BY ep ORDER BY mid, start) AS rn FROM ev),
+wk(ep, rn, kept, last) AS (SELECT ep, rn, true, mid FROM nb WHERE rn = 1 UNION ALL SELECT nb.ep, nb.rn, nb.mid - wk.last >= 3, CASE WHEN nb.mid - wk.last >= 3 THEN nb.mid ELSE wk.last END FROM wk JOIN nb ON nb.ep = wk.ep AND nb.rn = wk.rn + 1)
+SELECT ep, start, "end", mid, change, kind FROM nb JOIN wk USING (ep, rn) WHERE kept""")
 def gripper_events_min_gap(spark, sf_dir):
     return W.spaced(W.monotone_runs(trajectories(spark, sf_dir), 0.5, 10.0), 3)
 
@@ -399,41 +431,6 @@ def plan_start_prefix_suffix(spark, sf_dir):
 
 # ---- Quality rules and choices
 
-QR = FI + """, pv AS (SELECT *, lag("end") OVER (PARTITION BY ep ORDER BY idx) AS pe, lead(idx) OVER (PARTITION BY ep ORDER BY idx) IS NULL AS tail FROM (SELECT ep, idx, start, "end" + (ep + idx) % 3 // 2 AS "end" FROM fi)),
-la2 AS (SELECT ep, max(f) AS last FROM fr GROUP BY ep),
-iss AS (SELECT ep, idx, unnest(['continuous_spans', 'min_frames', 'valid_frame_range']) AS rule, unnest([pe IS NOT NULL AND start <> pe + 1, "end" - start + 1 < 7 AND NOT tail, "end" > last OR "end" < start]) AS bad, unnest([1, 2, 3]) AS ord FROM pv JOIN la2 USING (ep))"""
-
-
-def issues(spark, sf_dir) -> DataFrame:
-    """One row for each broken rule of each span: continuity, least length and range. Some spans are made too long first."""
-    rows = trajectories(spark, sf_dir)
-    made = spans(spark, sf_dir).withColumn("end", F.col("end") + F.floor((F.col("ep") + F.col("idx")) % 3 / 2))
-    order = Window.partitionBy("ep").orderBy("idx")
-    seen = made.withColumn("pe", F.lag("end").over(order)).withColumn("tail", F.lead("idx").over(order).isNull()).join(rows.groupBy("ep").agg(F.max("f").alias("last")), "ep")
-    rules = [
-        ("continuous_spans", F.col("pe").isNotNull() & (F.col("start") != F.col("pe") + 1)),
-        ("min_frames", (F.col("end") - F.col("start") + 1 < 7) & ~F.col("tail")),
-        ("valid_frame_range", (F.col("end") > F.col("last")) | (F.col("end") < F.col("start"))),
-    ]
-    found = F.array(*(F.when(bad, F.struct(F.lit(k).alias("ord"), F.lit(name).alias("rule"))) for k, (name, bad) in enumerate(rules)))
-    return seen.select("ep", "idx", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("ep", "idx", "i.ord", "i.rule")
-
-
-@query(f"WITH {QR} SELECT ep, idx, rule FROM iss WHERE bad")
-def quality_rules(spark, sf_dir):
-    return issues(spark, sf_dir).drop("ord")
-
-
-@query(f"WITH {QR} SELECT ep, arg_min(rule, idx * 10 + ord) AS rule, arg_min(idx, idx * 10 + ord) AS idx FROM iss WHERE bad GROUP BY ep")
-def first_issue(spark, sf_dir):
-    return issues(spark, sf_dir).groupBy("ep").agg(F.min(F.struct("idx", "ord", "rule")).alias("i")).select("ep", "i.rule", "i.idx")
-
-
-@query(f"WITH {QR}, c AS (SELECT rule, count(*) AS n FROM iss WHERE bad GROUP BY rule) SELECT rule, n FROM c ORDER BY n DESC, rule LIMIT 50")
-def issue_counts(spark, sf_dir):
-    return issues(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(50)
-
-
 @query("""WITH r AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem)
 SELECT l_returnflag, rn, l_orderkey, l_linenumber, l_extendedprice FROM r WHERE rn <= 20""")
 def topk_errors_per_group(spark, sf_dir):
@@ -454,19 +451,16 @@ SELECT c_custkey, CASE WHEN rn <= least(greatest(round_even(n * 0.2, 0), 1), n -
 def group_split(spark, sf_dir):
     """Whole groups go to test or train: the first fifth of the groups in order of a hash, one at least."""
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    groups = customers.select("c_nationkey").distinct().withColumn("rn", F.row_number().over(Window.orderBy(F.md5(F.col("c_nationkey").cast("string")))))
-    n = groups.agg(F.count("*").alias("n"))
-    tests = F.least(F.greatest(F.bround(F.col("n") * 0.2), F.lit(1)), F.col("n") - 1)
-    parts = groups.join(n).select("c_nationkey", F.when(F.col("rn") <= tests, "test").otherwise("train").alias("split"))
-    return customers.join(parts, "c_nationkey").select("c_custkey", "split")
+    groups = customers.select("c_nationkey").distinct()
+    tests = first_by_hash(groups, [], F.md5(F.col("c_nationkey").cast("string")), "c_nationkey", lambda n: F.least(F.greatest(F.bround(n * 0.2), F.lit(1)), n - 1))
+    parts = customers.join(tests.withColumn("test", F.lit(True)), "c_nationkey", "left")
+    return parts.select("c_custkey", F.when(F.col("test"), "test").otherwise("train").alias("split"))
 
 
 @query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE rn <= floor(n * 0.25)""")
 def exact_fraction(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    return rows.withColumn("rn", F.row_number().over(order)).join(sizes, "lang").filter(F.col("rn") <= F.floor(F.col("n") * 0.25)).select("doc_id", "lang")
+    return first_by_hash(rows, ["lang"], F.md5(F.col("doc_id").cast("string")), "doc_id", lambda n: F.floor(n * 0.25))
 
 
 # ---- Preparing training items
@@ -503,21 +497,7 @@ def label_mask(spark, sf_dir):
 def pack_bins(spark, sf_dir):
     """First-fit packing of conversations into bins of at most 4096 tokens, within shards of 4096 items; a longer item is a bin of its own."""
     lengths = token_lengths(spark, sf_dir).select("conv_id", "n_tokens", F.floor(F.col("conv_id") / 4096).alias("shard"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        room: list[int] = []
-        bins = []
-        ordered = pdf.sort_values(["n_tokens", "conv_id"], ascending=[False, True])
-        for n in ordered.n_tokens:
-            place = next((k for k, left in enumerate(room) if left >= n), None)
-            if place is None:
-                place = len(room)
-                room.append(4096)
-            room[place] -= n
-            bins.append(place)
-        return ordered.assign(bin=bins)[["shard", "bin", "conv_id", "n_tokens"]]
-
-    return lengths.groupBy("shard").applyInPandas(pack, "shard long, bin long, conv_id long, n_tokens long")
+    return prep.packed(lengths, "conv_id", "n_tokens", "shard", 4096)
 
 
 # ---- Text
@@ -543,7 +523,8 @@ def arm_text_flags(spark, sf_dir):
     return rows.select("p_partkey", left.alias("l"), right.alias("r"), T.action_kind(F.col("t")).alias("kind"), T.swap_sides(F.col("t")).alias("swapped"))
 
 
-@query()
+@query(rf"""WITH x AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda w: w <> '') AS ws FROM benchmark), y AS (SELECT p.item_id, p.ws AS a, q.ws AS b FROM x p JOIN x q ON q.item_id = p.item_id + 1),
+z AS (SELECT item_id, a, b, {edits_sql('a', 'b')} AS edits, {bleu_sql('a', 'b')} AS bleu FROM y) SELECT item_id, edits, round(edits / greatest(1, len(a)), 6) AS share, round(bleu, 6) AS bleu, a = b AS same FROM z""")
 def edit_distance_tokens(spark, sf_dir):
     """Each benchmark text against the next one: token edit distance, its share, BLEU and equality."""
     rows = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.lower("text")).alias("a"))
@@ -555,11 +536,11 @@ def edit_distance_tokens(spark, sf_dir):
 # ---- Sets, summaries, detection
 
 
-@query("""SELECT 'missing' AS side, n_nationkey AS key FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'extra', c_nationkey FROM (SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)""")
+@query("""SELECT 'missing' AS side, doc_id AS key FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels WHERE toxic = 0) UNION ALL SELECT 'extra', page_id FROM (SELECT DISTINCT page_id FROM pages EXCEPT SELECT conv_id FROM conversations)""")
 def registry_diff(spark, sf_dir):
-    nation, supplier = read(spark, sf_dir, "nation").select("n_nationkey"), read(spark, sf_dir, "supplier").select("s_nationkey")
-    missing = nation.exceptAll(supplier).select(F.lit("missing").alias("side"), F.col("n_nationkey").alias("key"))
-    extra = read(spark, sf_dir, "customer").select("c_nationkey").subtract(supplier).select(F.lit("extra").alias("side"), F.col("c_nationkey").alias("key"))
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").filter("toxic = 0").select("doc_id")
+    missing = docs.exceptAll(labels).select(F.lit("missing").alias("side"), F.col("doc_id").alias("key"))
+    extra = read(spark, sf_dir, "pages").select("page_id").subtract(read(spark, sf_dir, "conversations").select("conv_id")).select(F.lit("extra").alias("side"), F.col("page_id").alias("key"))
     return missing.unionByName(extra)
 
 
@@ -575,16 +556,15 @@ SELECT event_type, len(vs) AS n, round(list_avg(vs), 4) AS mean, round(list_medi
 def latency_summary(spark, sf_dir):
     """Mean, median, extremes, the value at place int(0.9 n) and a survival share.
 
-    The value at that place is found by ranks over equal values, so no group is gathered in one row.
+    Values at places are found by histograms, so no task holds or sorts a group.
     """
     events = read(spark, sf_dir, "events").select("event_type", "value")
     sums = events.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg((F.col("value") >= 20).cast("int")), 6).alias("reached_20")
+        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg((F.col("value") >= 20).cast("int")), 6).alias("reached_20")
     )
-    counted = events.groupBy("event_type", "value").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
-    place = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)) + 1
-    at = counted.join(sums.select("event_type", "n"), "event_type").filter(F.col("upto") >= place).groupBy("event_type").agg(F.min("value").alias("p90"))
-    return sums.join(at, "event_type")
+    n = F.col("n")
+    at = values_at(events, "event_type", "value", {"below": F.floor((n - 1) / 2), "above": F.floor(n / 2), "p90": F.least(n - 1, F.floor(n * 0.9))})
+    return sums.join(at, "event_type").withColumn("median", F.round((F.col("below") + F.col("above")) / 2, 4)).drop("below", "above")
 
 
 @query()
@@ -644,7 +624,13 @@ def arm_progress(spark, sf_dir):
     return trajectory.progress(rows, arm_spans(rows)).select("ep", "idx", "f", F.round("progress", 5).alias("progress"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {AF}, gs AS (SELECT ep, f, unnest(['left', 'right']) AS arm, unnest([lg - lag(lg) OVER w, rg - lag(rg) OVER w]) AS d FROM am WINDOW w AS (PARTITION BY ep ORDER BY f)),
+gg AS (SELECT *, CASE WHEN abs(coalesce(d, 0)) <= 0.0001 THEN 0 WHEN d > 0 THEN 1 ELSE -1 END AS sgn FROM gs), gn AS (SELECT *, (sgn <> coalesce(lag(sgn) OVER (PARTITION BY ep, arm ORDER BY f), 9))::INT AS new FROM gg),
+gr AS (SELECT *, sum(new) OVER (PARTITION BY ep, arm ORDER BY f) AS run FROM gn),
+ge AS (SELECT ep, arm, min(f) - 1 AS start_frame, max(f) AS end_frame, floor((min(f) - 1 + max(f)) / 2)::BIGINT AS frame, CASE WHEN sgn > 0 THEN 'open' ELSE 'close' END AS kind FROM gr WHERE sgn <> 0 GROUP BY ep, arm, run, sgn HAVING abs(sum(d)) >= 0.25),
+gb AS (SELECT ge.*, row_number() OVER (PARTITION BY ep, arm ORDER BY frame, start_frame) AS rn FROM ge),
+wk(ep, arm, rn, kept, last) AS (SELECT ep, arm, rn, true, frame FROM gb WHERE rn = 1 UNION ALL SELECT gb.ep, gb.arm, gb.rn, gb.frame - wk.last >= 3, CASE WHEN gb.frame - wk.last >= 3 THEN gb.frame ELSE wk.last END FROM wk JOIN gb ON gb.ep = wk.ep AND gb.arm = wk.arm AND gb.rn = wk.rn + 1)
+SELECT ep, arm, frame, kind, start_frame, end_frame FROM gb JOIN wk USING (ep, arm, rn) WHERE kept""")
 def arm_events(spark, sf_dir):
     from quernel.operators import trajectory
 
