@@ -153,3 +153,59 @@ def placeholders(text: Column, marks: tuple[str, ...]) -> Column:
 def json_or_null(text: Column, schema: str) -> Column:
     """Parsed JSON, null where the text is not JSON."""
     return F.from_json(text, schema)
+
+
+def canonical(text: Column) -> Column:
+    """Compact JSON where a text is JSON, else the text with its blanks collapsed."""
+    bare = F.trim(text)
+    parsed = F.try_parse_json(bare)
+    return F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(F.array_join(tokens(bare), " "))
+
+
+def without_image_marks(text: Column) -> Column:
+    """No reference tags, and no boxes with what is in them (to the end, where one is not closed)."""
+    return F.regexp_replace(F.regexp_replace(text, "</?ref>", ""), "<box>.*?(?:</box>|$)", "")
+
+
+#: Signs of code that a page would read as marks.
+CODE_SIGNS = {"`": "\\`", "<": "&lt;", ">": "&gt;", " ": "&nbsp;", "*": "&ast;", "_": "&lowbar;", "-": "&#45;", ".": "&#46;", "!": "&#33;", "(": "&#40;", ")": "&#41;", "$": "&#36;"}
+
+
+def as_html(text: Column) -> Column:
+    """Markdown with fenced code as HTML: lines without empty ones, code signs as entities; odd fences open and even ones close."""
+    lines = F.filter(F.split(text, "\n"), lambda line: line != "")
+    fenced = lambda line: F.contains(line, F.lit("```"))
+    before = lambda k: F.size(F.filter(F.slice(lines, F.lit(1), k), fenced))
+
+    def shown(line: Column, k: Column) -> Column:
+        code = line
+        for sign, entity in CODE_SIGNS.items():
+            code = F.replace(code, F.lit(sign), F.lit(entity))
+        inside = before(k) % 2 == 1
+        fence = F.when(inside, F.lit("<br></code></pre>")).otherwise(F.concat(F.lit('<pre><code class="language-'), F.substring_index(line, "`", -1), F.lit('">')))
+        return F.when(fenced(line), fence).when(k == 0, line).otherwise(F.concat(F.lit("<br>"), F.when(inside, code).otherwise(line)))
+
+    return F.array_join(F.transform(lines, shown), "")
+
+
+def same_output(lines: Column, wanted: Column) -> Column:
+    """Whether lines of output are the wanted text, at their ends or each line stripped of blanks."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return (strip(F.array_join(lines, "\n")) == strip(wanted)) | (strip(F.array_join(F.transform(lines, strip), "\n")) == strip(wanted))
+
+
+def interleaved(text: Column, images: Column) -> Column:
+    """Text around image marks with the images in between, by position; empty pieces of text fall away."""
+    pieces = F.split(text, r"!\[image\]\(.*?\)")
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    both = F.transform(pieces, lambda p, k: F.array(part("text", p), part("image", F.get(images, k))))
+    return F.filter(F.flatten(both), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+
+
+def window_scores(wanted: Column, said: Column, most: int) -> Column:
+    """Scores of the first goals: BLEU, edits, edits a token, and whether they are the same goals."""
+    clean = lambda goals: F.transform(F.slice(goals, 1, most), lambda g: F.array_join(tokens(F.lower(F.coalesce(g, F.lit("")))), " "))
+    a, b = clean(wanted), clean(said)
+    ta, tb = goal_tokens(a), goal_tokens(b)
+    edits = token_distance(ta, tb)
+    return F.struct(bleu(ta, tb).alias("bleu"), edits.alias("edits"), (edits / F.greatest(F.lit(1), F.size(ta))).alias("share"), (a == b).alias("exact"))
