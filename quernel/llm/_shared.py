@@ -34,11 +34,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quernel/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: later jobs neither recompute it nor lose it."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: later jobs neither recompute it nor lose it.
+
+    ``paths`` takes the table's path, for a caller that removes it when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,10 +79,12 @@ def holds(owner: str, *caches) -> None:
     _HELD[owner] = caches
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, whatever store it is in."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths of the shared folder, whatever store it is in, and empty the list."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
 
 
 def words_of(text) -> F.Column:

@@ -12,18 +12,22 @@ is the ``k`` smallest of them. All work is on distinct sets: documents with equa
    documents that can have a partner at all; only these get sketches of ``FINE`` values, on which the lists are built.
 2. Stars. A list never gives all its pairs. First each list links its members to its first one; then, where members
    of a list are still in different components, to another one drawn for each list. Components are joined after each round.
-3. The rest. Whatever pairs of a list are still in different components, and of sizes that allow the
-   similarity, are compared one by one, so no link between components is lost.
+3. The rest. Members of a list that are still in different components are candidates only if their sizes, their places in the
+   list and the bitmaps of their whole sets allow the similarity: the bits that differ between two parity
+   bitmaps are never more than the values that differ between the sets. In lists of more than ``SHORT`` members a pair
+   is taken at the first such list it shares alone, so near copies, which share most of their lists, are
+   not met again in each; in shorter lists a member meets ``SHORT`` others at most. No link between components is lost.
 
 Candidates are kept if the sketch of their union (its ``k`` smallest values, and how many of these both have) allows the
 similarity; then the full sets, made again from the texts, decide: ``100 * intersection >= percent * union``.
 
 Components spread the smallest doc_id over links by repeated joins, each round written to the shared folder.
-No step gathers links, components or sketches on the driver.
+No step gathers links, components or sketches on the driver. Tables that the result does not read are removed.
 
 Defined cases: a document without words, or with a null or empty text, has an empty set and is linked with nothing;
-one with fewer words than a shingle has one shingle of all its words; rows that repeat a doc_id are one document whose
-rows share a result; a row whose doc_id is null is linked with nothing; an empty table gives no rows.
+one with fewer words than a shingle has one shingle of all its words; rows that repeat a doc_id are one document, which has
+the links of all its texts, and share a component; a row whose doc_id is null is linked with nothing; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,16 +41,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import BLANKS, batches_of, holds, task, utf8, written
+from quernel.llm._shared import BLANKS, batches_of, holds, remove, task, utf8, written
 
 K = 64
 FINE = 512
-#: A table of ids is broadcast up to so many rows (8 bytes each); beyond it, the join shuffles.
+#: A table of ids is broadcast up to so many rows (16 bytes each); beyond it, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: The chance that a pair of the least similarity is not seen in the lists.
 LOSS = 1e-12
-BATCH = 1_000_000
+#: Members of a list up to which its pairs are not held against those of other lists.
+SHORT = 32
+#: Rows of a file of links or labels.
+FILE_ROWS = 1_000_000
+#: Bits of the bitmap of a whole set.
+BITMAP = 1024
+#: Bytes of texts that are hashed at a time; a longer text is hashed in pieces cut at blanks.
+BATCH = 400_000
 DIGESTS = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+FINE_SKETCHES = f"{DIGESTS}, bits array<long>"
 
 FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 SOLID = ~np.isin(np.arange(256), BLANKS)
@@ -83,9 +95,25 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mixed(sums ^ (sizes.astype(np.uint64) * STEP)), np.searchsorted(first, ends)
 
 
+def pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """One long text in pieces of about BATCH bytes, cut at blanks."""
+    begin = 0
+    while begin < len(raw):
+        end = begin + BATCH
+        while end < len(raw) and SOLID[raw[end]]:
+            ahead = np.flatnonzero(~SOLID[raw[end : end + BATCH]])
+            end += int(ahead[0]) if len(ahead) else BATCH
+        yield raw[begin : min(end, len(raw))]
+        begin = end
+
+
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes, cuts = word_hashes(raw, ends)
+    if len(ends) == 2 and len(raw) > BATCH:
+        hashes = np.concatenate([word_hashes(p, np.array([0, len(p)]))[0] for p in pieces(raw)])
+        cuts = np.array([0, len(hashes)])
+    else:
+        hashes, cuts = word_hashes(raw, ends)
     runs = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):
         runs = mixed(runs * STEP + hashes[k : k + len(runs)] + np.uint64(k + 1))
@@ -115,20 +143,38 @@ def least_shared(k: int, similarity: float) -> int:
     return max(1, o)
 
 
-def sketch_batches(batches: Iterator[pa.RecordBatch], words: int, k: int) -> Iterator[pa.RecordBatch]:
+def digest_of(values: np.ndarray) -> bytes | None:
+    """What tells a set from others; None for the empty set."""
+    return xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None
+
+
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """For each remainder modulo BITMAP, whether an odd number of values have it."""
+    counts = np.bincount((values % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def sketch_batches(batches: Iterator[pa.RecordBatch], words: int, k: int, bits: bool = False) -> Iterator[pa.RecordBatch]:
     holds("bottomk")
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         sets = shingle_sets(*utf8(batch.column("text")), words)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(map(len, sets), pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                # signed numbers in the order of the unsigned ones
-                pa.array([(s[:k] ^ np.uint64(2**63)).view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ],
-            ["doc_id", "n_shingles", "digest", "sketch"],
-        )
+        columns = {
+            "doc_id": batch.column("doc_id"),
+            "n_shingles": pa.array(map(len, sets), pa.int64()),
+            "digest": pa.array(map(digest_of, sets), pa.binary()),
+            # signed numbers in the order of the unsigned ones
+            "sketch": pa.array([(s[:k] ^ np.uint64(2**63)).view(np.int64) for s in sets], pa.list_(pa.int64())),
+        }
+        if bits:
+            columns["bits"] = pa.array(map(bitmap, sets), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the digests of their texts' sets added."""
+    for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
+        digests = map(digest_of, shingle_sets(*utf8(batch.column("text")), words))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "digest"])
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -146,23 +192,33 @@ def verify_batches(batches: Iterator[pa.RecordBatch], words: int, percent: int)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """A written table of ids, to be broadcast if it is short enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 class NearDuplicates:
-    """One run over a table of documents."""
+    """One run over a table of documents.
+
+    A class has a number: its smallest doc_id, or, where rows repeat a doc_id, a number of its digest.
+    """
 
     def __init__(self, docs: DataFrame, words: int, similarity: float, k: int, id_col: str, text_col: str):
         self.words, self.similarity, self.k = words, similarity, k
         self.percent = round(100 * similarity)
+        #: Tables that are removed before the result is given.
+        self.paths: list[str] = []
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.digests = written(self.docs.mapInArrow(task(sketch_batches, words, k), DIGESTS), "sketches")
         known = self.digests.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
         # equal sets have equal sketches and sizes
+        classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         self.repeats = known.count() > known.select("doc_id").distinct().count()
-        self.classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        self.classes = written(classes.withColumn("rep", self.number(classes)), "classes")
+
+    def number(self, classes: DataFrame) -> F.Column:
+        """The number of a class. No two have the same: a seed under which digests collide is passed over."""
+        if not self.repeats:
+            return F.col("least")
+        seed, total = 0, classes.count()
+        while classes.select(F.xxhash64(F.lit(seed), "digest")).distinct().count() < total:
+            seed += 1
+        return F.xxhash64(F.lit(seed), "digest")
 
     def postings(self, classes: DataFrame, k: int) -> DataFrame:
         """(value, rep, n, place): each class under the rarest values of its sketch that a similar one must share."""
@@ -175,27 +231,40 @@ class NearDuplicates:
         alone = size - F.size("values")
         length = F.greatest(F.lit(0), size - least + 1 - alone).cast("int")
         prefix = listed.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("values", 1, length)).alias("at", "v"))
-        prefix = written(prefix.select(F.col("v.value").alias("value"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "postings")
+        prefix = written(prefix.select(F.col("v.value").alias("value"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "postings", self.paths)
         busy = prefix.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
-        return written(prefix.join(busy, "value", "left_semi"), "lists")
+        return written(prefix.join(busy, "value", "left_semi"), "lists", self.paths)
+
+    def texts(self, reps: DataFrame) -> DataFrame:
+        """(rep, text): a text of each of some classes."""
+        short = F.broadcast if reps.count() <= BROADCAST_ROWS else lambda ids: ids
+        members = self.classes.select("rep", "least", "digest").join(short(reps), "rep", "left_semi")
+        if not self.repeats:
+            return self.docs.join(short(members.select("rep", F.col("least").alias("doc_id"))), "doc_id").select("rep", "text")
+        # of a document's texts, those of the class
+        met = self.docs.join(short(members.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        marked = met.mapInArrow(task(digest_batches, self.words), "doc_id long, text string, digest binary")
+        return marked.join(members.withColumnRenamed("least", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "text")
 
     def fine(self) -> DataFrame:
-        """The classes that small sketches leave with a possible partner, with sketches of FINE values."""
-        survivors = few(written(self.postings(self.classes, self.k).select(F.col("rep").alias("doc_id")).distinct(), "survivors"))
-        again = self.docs.join(survivors, "doc_id", "left_semi").mapInArrow(task(sketch_batches, self.words, FINE), DIGESTS)
-        sketches = written(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "fine")
-        # rows that repeat a document would count its values twice
-        return sketches.dropDuplicates(["rep"]) if self.repeats else sketches
+        """The classes that small sketches leave with a possible partner, with sketches of FINE values and bitmaps."""
+        survivors = written(self.postings(self.classes, self.k).select("rep").distinct(), "survivors", self.paths)
+        texts = self.texts(survivors).withColumnRenamed("rep", "doc_id")
+        again = texts.mapInArrow(task(sketch_batches, self.words, FINE, True), FINE_SKETCHES)
+        return written(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bits"), "fine", self.paths)
 
     def possible(self, n_a: str, place_a: str, n_b: str, place_b: str):
         """Whether two sets whose first shared value has these places can be similar enough."""
         k = F.lit(FINE)
         a, b = F.col(n_a), F.col(n_b)
-        exact = F.ceil((a + b) * self.percent / (100 + self.percent) - 1e-9)
-        least = F.when((a <= k) & (b <= k), exact).otherwise(F.lit(least_shared(FINE, self.similarity)))
+        least = F.when((a <= k) & (b <= k), self.overlap(a, b)).otherwise(F.lit(least_shared(FINE, self.similarity)))
         left = F.least(F.least(a, k) - F.col(place_a), F.least(b, k) - F.col(place_b))
         return self.sized(n_a, n_b) & (left >= least)
 
+    def overlap(self, a: F.Column, b: F.Column) -> F.Column:
+        """How many values similar sets of two sizes share at least."""
+        return F.ceil((a + b) * self.percent / (100 + self.percent) - 1e-9)
+
     def sized(self, a: str, b: str):
         """Whether two sizes allow the similarity."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
@@ -208,19 +277,18 @@ class NearDuplicates:
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, self.k)
         shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         least = F.least(F.lit(least_shared(self.k, self.similarity)), F.ceil(F.size(union) * self.percent / 100 - 1e-9))
-        likely = written(both.filter(shared >= least).select("a", "b"), "likely")
-        wanted = few(written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted"))
-        texts = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        texts = written(texts, "texts")
-        with_b = likely.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-        full = with_b.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-        return written(full.select("a", "b", "text_a", "text_b").mapInArrow(task(verify_batches, self.words, self.percent), "a long, b long"), "links")
+        likely = written(both.filter(shared >= least).select("a", "b"), "likely", self.paths)
+        wanted = written(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "wanted", self.paths)
+        texts = written(self.texts(wanted), "texts", self.paths)
+        with_b = likely.join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b")
+        full = with_b.join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
+        return written(full.select("a", "b", "text_a", "text_b").mapInArrow(task(verify_batches, self.words, self.percent), "a long, b long"), "links", self.paths)
 
     def open_lists(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """The lists whose members are in more than one component, with the members' components."""
         marked = lists.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_lists = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("value")
-        return written(marked.join(mixed_lists, "value", "left_semi"), "open")
+        return written(marked.join(mixed_lists, "value", "left_semi"), "open", self.paths)
 
     def star(self, lists: DataFrame, drawn: bool) -> DataFrame:
         """Pairs of each list's centre with its other members. ``drawn``: the centre differs from list to list."""
@@ -229,61 +297,99 @@ class NearDuplicates:
         joined = lists.join(centres, "value").filter((F.col("c.rep") != F.col("rep")) & (F.col("c.component") != F.col("component")) & self.possible("c.n", "c.place", "n", "place"))
         return joined.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
 
-    def rest(self, lists: DataFrame) -> DataFrame:
-        """All pairs of members of a list that are in different components and whose sizes allow the similarity."""
+    def rest(self, lists: DataFrame, fine: DataFrame) -> DataFrame:
+        """The pairs of members of a list that are in different components and may be similar enough."""
+        sizes = lists.groupBy("value").agg((F.count("*") > SHORT).alias("long"))
+        sized = written(lists.join(sizes, "value"), "sized", self.paths)
+        # a member's long lists in the common order, each with those before it: at most as many as the prefix is long
+        steps = sized.filter("long").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all"))
+        steps = steps.select("rep", F.posexplode("all").alias("at", "v"), F.transform("all", lambda x: x["value"]).alias("values"))
+        before = steps.select("rep", F.col("v.value").alias("value"), F.slice("values", F.lit(1), F.col("at")).alias("before"))
+        none = F.array().cast("array<long>")
+        whole = sized.join(before, ["rep", "value"], "left").join(fine.select("rep", "bits"), "rep").withColumn("before", F.coalesce("before", none))
+        whole = written(whole, "rest", self.paths)
         width = math.log(100 / self.percent) * (1 + 1e-9)
         step = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-        left = lists.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"), step.alias("step"))
-        # similar sizes are in the same or neighbouring steps
-        right = lists.select("value", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-        met = left.join(right, ["value", "step"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.possible("n_a", "p_a", "n_b", "p_b"))
-        return met.select("a", "b").distinct()
+        named = lambda x: {"rep": f"{x}", "n": f"n_{x}", "component": f"c_{x}", "place": f"p_{x}", "bits": f"bits_{x}", "before": f"before_{x}"}
+        left = whole.drop("long").withColumn("step", step).withColumnsRenamed(named("a"))
+        # the larger of two similar sets is in the same step or the next one
+        right = whole.drop("long").withColumn("step", F.explode(F.array(step - 1, step))).withColumnsRenamed(named("b"))
+        differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP // 64)), F.lit(0))
+        fit = differ <= F.col("n_a") + F.col("n_b") - 2 * self.overlap(F.col("n_a"), F.col("n_b"))
+        first = ~F.arrays_overlap("before_a", "before_b")
+        once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+        met = left.join(right, ["value", "step"]).filter(once & (F.col("c_a") != F.col("c_b")) & self.possible("n_a", "p_a", "n_b", "p_b") & fit & first)
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def components(self) -> DataFrame:
-        """(rep, component) of the classes that have links."""
+        """(rep, component) of the classes that have links; a component is its smallest class number."""
         spark = self.docs.sparkSession
         labels = spark.createDataFrame([], "rep long, component long")
-        lists = self.postings(self.fine(), FINE)
-        links = None
+        fine = self.fine()
+        lists = self.postings(fine, FINE)
+        links = self.shared_ids() if self.repeats else None
+        if links is not None:
+            labels = connected(links)
         for round_ in range(3):
             open_ = self.open_lists(lists, labels)
             if open_.isEmpty():
                 break
-            pairs = self.rest(open_) if round_ == 2 else self.star(open_, drawn=round_ == 1)
+            pairs = self.rest(open_, fine) if round_ == 2 else self.star(open_, drawn=round_ == 1)
             found = self.links(pairs)
             links = found if links is None else links.union(found)
             labels = connected(links)
             lists = open_.drop("component")
+        remove(spark, self.paths)
         return labels
 
+    def shared_ids(self) -> DataFrame:
+        """Links (a, b) between the classes of the texts of one document."""
+        known = self.digests.filter(F.col("doc_id").isNotNull()).select("doc_id", "digest").distinct().join(self.classes.select("digest", "rep"), "digest")
+        first = known.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        return written(known.join(first, "doc_id").filter(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct(), "shared-ids", self.paths)
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row."""
         labels = self.components()
-        classes = self.classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-        out = self.digests.drop("sketch").join(classes, "digest", "left")
-        component = F.coalesce("component", "doc_id")
+        classes = self.classes.select("digest", "rep", "least").join(labels, "rep", "left").select("digest", "least", F.coalesce("component", "rep").alias("component"))
+        if self.repeats:
+            least = classes.groupBy("component").agg(F.min("least").alias("smallest"))
+            classes = classes.join(least, "component").select("digest", F.col("smallest").alias("component"))
+        out = self.digests.drop("sketch").join(classes.select("digest", "component"), "digest", "left")
+        if self.repeats:
+            # a row without words goes with the document's other rows
+            by_id = out.filter(F.col("doc_id").isNotNull() & F.col("component").isNotNull()).groupBy("doc_id").agg(F.min("component").alias("other"))
+            out = out.join(by_id, "doc_id", "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "other")))
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(rep, component): the smallest id reachable over links (a, b).
+    """(rep, component): the smallest number reachable over links (a, b).
 
-    Each round every node's parent becomes the least label among it and its neighbours, then parents are followed
-    twice; rounds go on until no label changes. Labels meet in sums of parts, so a node with very many links is no hot spot.
+    Each round every node's parent becomes the least label among it and its neighbours, then parents are followed;
+    rounds go on until no label changes. Labels meet in sums of parts, so a node with very many links is no hot spot. A round
+    writes one table, in files of about ``FILE_ROWS`` rows.
     """
-    ends = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "ends")
-    labels = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "rep")
-    labels = written(labels, "labels")
+    spark = links.sparkSession
+    paths: list[str] = []
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    ends = written(both, "ends", paths)
+    files = max(1, -(-ends.count() // FILE_ROWS))
+    labels = written(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "rep").coalesce(files), "labels", last := [])
     while True:
+        own: list[str] = []
         near = ends.join(labels.withColumnsRenamed({"rep": "b", "component": "other"}), "b").groupBy("a").agg(F.min("other").alias("least"))
         # a node's old parent may have learnt of a smaller one by another of its children
         hooked = labels.join(near.withColumnRenamed("a", "rep"), "rep").select("rep", F.col("component").alias("old"), F.least("component", "least").alias("new"))
-        hooked = written(hooked, "hooked")
         parents = hooked.groupBy("old").agg(F.min("new").alias("up")).withColumnRenamed("old", "new")
         jumped = hooked.join(parents, "new", "left").select("rep", "old", F.least("new", F.coalesce("up", "new")).alias("component"))
-        jumped = written(jumped, "jumped")
+        jumped = written(jumped.coalesce(files), "jumped", own)
         labels = jumped.select("rep", "component")
+        remove(spark, last)
+        last = own
         if jumped.filter("component < old").isEmpty():
+            remove(spark, paths)
             return labels
 
 
