@@ -112,6 +112,26 @@ def test_a_changed_byte_is_found():
             records.unframe(broken, [0])
 
 
+def test_width_of_ids(spark, monkeypatch):
+    path = entries.tokenizer_path()
+    assert records.id_width(path, 1) == 2 and records.id_width(path, 70_000) == 4
+    docs = spark.createDataFrame([(1, "some words"), (2, "more of them")], "doc_id long, text string")
+    wide = records.read_records(records.write_records(docs, path, end_id=70_000), with_ids=True).collect()
+    assert all(r.ids[-1] == 70_000 for r in wide)
+    monkeypatch.setattr(records, "id_width", lambda *_: 1)
+    with pytest.raises(Exception, match="does not fit"):
+        records.read_records(records.write_records(docs, path)).collect()
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    encoder = records.Encoder(entries.tokenizer_path())
+    column = pa.array(["one two three, three two", "four"], pa.string())
+    want, cuts = encoder.texts(column)
+    monkeypatch.setattr(records.Encoder, "ODD", np.zeros(256, np.uint64))
+    got, again = encoder.texts(column)
+    assert got.tolist() == want.tolist() and again.tolist() == cuts.tolist()
+
+
 # ---- 2
 
 
@@ -198,6 +218,48 @@ def test_near_duplicates(spark, docs, n, similarity, k):
         assert (got[d]["n_shingles"], got[d]["component_id"], got[d]["kept"]) == (size, component, component == d)
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    a, b = words(60, 21), words(60, 22)
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 30)), (3, near(b, 30)), (4, " ".join(words(60, 23))), (4, None), (4, ""), (None, " ".join(a)), (5, "")]
+    table = spark.createDataFrame([(*r, 0, "x", [1]) for r in rows], "doc_id long, text string, n int, rep string, sketch array<int>").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in collect(bottomk.near_duplicates(table, 5, 0.8))}
+    assert got == {(1, True): (1, True), (2, True): (1, False), (3, True): (1, False), (4, True): (4, True), (4, False): (4, True), (None, True): (None, True), (5, False): (5, True)}
+
+
+def test_near_copies_around_the_threshold(spark, monkeypatch):
+    # one list holds all, most pairs are just below or above the threshold, and the stars leave many components
+    rng, base, rows = random.Random(8), words(150, 31), []
+    for j in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(3, 16)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10_000)}"
+        rows.append((j, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 5
+    for short in (2, 32, 1000):
+        monkeypatch.setattr(bottomk, "SHORT", short)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collect(bottomk.near_duplicates(table, 3, 0.85))}
+        assert got == want
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 5000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(2))
+        apart = sum(int(x).bit_count() for x in (bottomk.bitmap(a) ^ bottomk.bitmap(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    text = " ".join(words(3000, 40)) + " " + "x" * 3000 + "\n" + " ".join(words(50, 41)) + "  "
+    raw = np.frombuffer(text.encode(), np.uint8)
+    want = bottomk.shingle_sets(raw, np.array([0, len(raw)]), 3)[0]
+    monkeypatch.setattr(bottomk, "BATCH", 100)
+    assert (bottomk.shingle_sets(raw, np.array([0, len(raw)]), 3)[0] == want).all()
+
+
 def test_near_duplicates_of_nothing(docs):
     assert bottomk.near_duplicates(empty(docs)).count() == 0
     assert bottomk.near_duplicates(docs.filter("doc_id is null")).count() == 2
@@ -230,6 +292,48 @@ def test_compaction(spark, docs):
     assert sorted(map(str, every.read().collect())) == sorted(map(str, docs.collect()))
 
 
+def test_compaction_keeps_readers_and_columns(spark):
+    store = compaction.ShardStore(spark, scratch(spark, "store"), fan_in=2, base_bytes=500)
+    rows = spark.range(40).selectExpr("id", "10 * id as __arrival", "cast(null as string) as arrival")
+    store.append(rows.filter("id < 10"))
+    version = store.manifest()["version"]
+    reader = store.read(version)
+    store.append(rows.filter("id between 10 and 19"))
+    store.append_all(rows.filter("id >= 20"), mixing.unit(rows.id) % 3)
+    assert store.manifest()["version"] > version + 1
+    assert reader.count() == 10 and store.read(version).selectExpr("sum(__arrival)").first()[0] == 450
+    assert store.read().selectExpr("sum(__arrival)").first()[0] == 7800
+    store.vacuum(keep=1, age=3600)
+    assert store.read(version).count() == 10
+    store.vacuum(keep=1, age=-60)
+    assert store.versions() == [store.manifest()["version"]] and store.read().count() == 40
+    store.append_all(rows, rows.arrival.cast("long"))
+    assert store.read().count() == 80
+
+
+def test_compaction_by_two_writers(spark):
+    store = compaction.ShardStore(spark, scratch(spark, "store"), fan_in=4, base_bytes=500)
+    other = compaction.ShardStore(spark, store.folder, fan_in=4, base_bytes=500)
+    commit, late = store.commit, [spark.range(3).toDF("id")]
+
+    def beaten(manifest):
+        if late:
+            other.append(late.pop())
+        return commit(manifest)
+
+    store.commit = beaten
+    store.append(spark.range(3, 7).toDF("id"))
+    assert sorted(r.id for r in store.read().collect()) == list(range(7))
+
+
+def test_plan_of_merges(spark):
+    store = compaction.ShardStore(spark, scratch(spark, "store"), fan_in=4, base_bytes=100)
+    runs = [{"name": str(k), "tier": 0, "bytes": 60, "files": []} for k in range(16)]
+    (whole,) = store.plan(runs)
+    assert len(whole["parts"]) == 16 and whole["bytes"] == 960 and whole["tier"] == 2
+    assert [len(m["parts"]) for m in store.plan(runs[:11])] == [4, 4] and store.plan(runs[:3]) == []
+
+
 def test_compaction_of_changing_columns(spark):
     store = compaction.ShardStore(spark, scratch(spark, "store"), fan_in=2, base_bytes=500)
     store.append(spark.createDataFrame([(1, "a")], "id int, t string"))
@@ -248,8 +352,9 @@ def test_compaction_of_changing_columns(spark):
 
 def test_resampling_keeps_good_text(spark):
     good = [(k, " ".join(words(80, k)), 1, 0) for k in range(300)]
-    bad = [(1000 + k, " ".join(w.upper() + "!!" for w in words(80, k)), 0, 0) for k in range(60)]
-    toxic = [(2000 + k, " ".join(words(76, k) + ["scum", "idiot"] * 3), 1, 1) for k in range(40)]
+    # words of their own: a near copy of a target's text would be target-like, whatever is added to it
+    bad = [(1000 + k, " ".join(w.upper() + "!!" for w in words(80, 1000 + k)), 0, 0) for k in range(60)]
+    toxic = [(2000 + k, " ".join(words(76, 2000 + k) + ["scum", "idiot"] * 3), 1, 1) for k in range(40)]
     odd = [(3000, None, None, None), (3001, "", None, None), (None, "the fox", None, None)]
     rows = good + bad + toxic + odd
     docs = spark.createDataFrame([(d, t) for d, t, _, _ in rows], "doc_id long, text string")
@@ -264,6 +369,46 @@ def test_resampling_keeps_good_text(spark):
     assert resample.resample(docs, labels.filter("false")).filter("kept").count() == len(rows)
 
 
+def test_log_weights_are_ratios_of_likelihoods(spark):
+    # few enough n-grams that no two share a bucket
+    texts = [" ".join(words(10, k % 9)) + (" bad!! bad!!" if k % 3 == 0 else "") for k in range(12)] + ["One, one, ONE one", None, " ", "one"]
+    marks = {k: (int(k % 3 > 0), int(k % 7 == 0)) for k in range(0, 12, 2)}
+    docs = spark.createDataFrame([(k, t, 0.0, True) for k, t in enumerate(texts)], "doc_id long, text string, key double, kept boolean").repartition(3)
+    labels = spark.createDataFrame([(k, *m) for k, m in marks.items()], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in collect(resample.resample(docs, labels))}
+    bags = []
+    for text in texts:
+        units = re.findall(r"[a-z0-9]+|[^a-z0-9\s]+", (text or "").lower())
+        bags.append([(u,) for u in units] + list(zip(units, units[1:])))
+    target = [k for k, (q, t) in marks.items() if q and not t]
+    for k, bag in enumerate(bags):
+        if not bag:
+            assert got[k]["log_weight"] is None
+            continue
+        raw = [g for j, b in enumerate(bags) if j != k for g in b]
+        like = [g for j in target if j != k for g in bags[j]]
+        share = len(like) / len(raw)
+        want = sum(np.log((like.count(g) + share) / len(like) / ((raw.count(g) + 1) / len(raw))) for g in bag)
+        assert got[k]["log_weight"] == pytest.approx(want), texts[k]
+    noise = [r["key"] - r["log_weight"] for r in got.values() if r["log_weight"] is not None]
+    assert -3 < min(noise) and 0 < np.mean(noise) < 1.2
+    order = sorted((r for r in got.values() if r["key"] is not None), key=lambda r: -r["key"])
+    kept = round(len(texts) * len(target) / len(marks))
+    assert {r["doc_id"] for r in got.values() if r["kept"]} == {r["doc_id"] for r in order[:kept]}
+    repeated = collect(resample.resample(docs.union(docs), labels))
+    assert len(repeated) == 2 * len(texts)
+
+
+def test_noise_is_gumbel(spark):
+    # equal texts have equal weights, so each third of them is drawn as often as any other
+    docs = spark.range(6000).selectExpr("id as doc_id", "'the same words' as text")
+    labels = spark.range(100).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    rows = resample.resample(docs, labels, share=0.5).selectExpr("doc_id", "key - log_weight as noise", "kept").collect()
+    noise = np.sort([r.noise for r in rows])
+    assert np.abs(np.exp(-np.exp(-noise)) - (np.arange(6000) + 0.5) / 6000).max() < 0.03
+    assert sum(r.kept for r in rows) == 3000
+
+
 def test_largest(spark):
     rows = [(float(k % 7), k) for k in range(50)] + [(None, 99)]
     keyed = spark.createDataFrame(rows, "key double, tie long")
@@ -310,7 +455,7 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
     folder, manifest = warc.write_archives(pages, archive_bytes=2000)
     assert manifest.count() > 7
-    captures = warc.merge_index(spark, folder, manifest, fan_in=4, range_captures=10)
+    captures = warc.merge_index(spark, folder, manifest, fan_in=4, open_runs=4, range_captures=10)
     found = captures.collect()
     keys = [(r.urlkey.encode(), r.captured, warc.LAST_ID if r.page_id is None else r.page_id) for r in found]
     assert len(found) == len(rows) and keys == sorted(keys)
@@ -336,6 +481,18 @@ def test_loser_tree():
         assert list(warc.LoserTree(streams, lambda x: x)) == sorted(x for s in streams for x in s)
 
 
+def test_sparse_index_is_searched(tmp_path):
+    captures = [[f"k{k:05}", "2024", k, "response", "d", 1, None, "a", k, 1] for k in range(3000)]
+    path = f"file://{tmp_path}/run"
+    assert warc.write_run(path, iter(captures))[0] == 3000
+    for low, high in ((None, None), (0, 10), (255, 258), (256, 256), (777, 2999), (2999, None), (1000, 1001)):
+        got = list(warc.read_run(path, None if low is None else captures[low], None if high is None else captures[high]))
+        assert got == captures[low or 0 : high]
+    assert warc.first_place(path, captures[600]) > warc.first_place(path, captures[400]) > 0 == warc.first_place(path, captures[0])
+    assert list(warc.read_run(path, ["zz", "", 0, "", "", 0, None, "", 0, 0], None)) == []
+    assert warc.write_run(path, iter([]))[0] == 0 and list(warc.read_run(path, captures[0], None)) == []
+
+
 # ---- 8
 
 
@@ -474,6 +631,40 @@ def test_marginals_of_a_chain():
     assert np.allclose(sums[0], got[:3].sum(0), atol=1e-4) and np.allclose(sums[1], 0)
 
 
+def test_long_texts_in_slices(monkeypatch):
+    rng = random.Random(6)
+    langs = list(SPEECH)
+    model = langcrf.fit([speech(langs[k % 3], 50, k) for k in range(150)], [langs[k % 3] for k in range(150)])
+    text = " ".join(speech(langs[k % 3], rng.randrange(1, 60), k) for k in range(400)) + " 123 " + "\u65e5\u672c" * 3000 + "."
+    raw = np.frombuffer(text.encode(), np.uint8)
+    words_ = langcrf.Words(raw, np.array([0, len(raw)]))
+    monkeypatch.setattr(langcrf, "BLOCK", 10**6)
+    want = langcrf.sums_of_marginals(model.scores(words_), words_.cuts, model.moves)[0]
+    for block, limit in ((512, 10**9), (7, 10**9), (64, 400), (512, 5000)):
+        monkeypatch.setattr(langcrf, "BLOCK", block)
+        sums, count = langcrf.sums_of_long(model, raw, limit)
+        # a cut inside of a run without blanks may move its words by a character
+        assert abs(count - len(words_)) < 0.01 * len(words_) and np.allclose(sums, want, rtol=0.01)
+        assert langcrf.slices(raw, limit)[0][0] == 0 and langcrf.slices(raw, limit)[-1][1] == len(raw)
+    part = langcrf.slices(np.frombuffer(text[:20_000].encode(), np.uint8), 3000)
+    assert all(b == c for (_, b), (c, _) in zip(part, part[1:])) and max(b - a for a, b in part) <= 3000
+
+
+def test_memory_of_prediction_is_bounded():
+    import tracemalloc
+
+    text = " ".join(speech(list(SPEECH)[k % 3], 2000, k) for k in range(200))
+    for count in (3, 60):
+        labels = [f"l{k}" for k in range(count)]
+        model = langcrf.Model(labels, np.zeros((len(langcrf.SIZES), langcrf.SLOTS + 1, count), np.float32), np.zeros(0, np.uint64), np.zeros((1, count), np.float32), np.zeros((count, count)))
+        column = pa.array([text], pa.string())
+        tracemalloc.start()
+        langcrf.predict(model, column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000 + 12 * len(text), (count, peak)
+
+
 def short_texts(rng, lang, low, high):
     """A text of a few words; without blanks where the language writes none."""
     if lang in ("zh", "ja"):
