@@ -605,8 +605,11 @@ def rows_of(ep, spans: list[dict]) -> list[tuple]:
 COLUMNS = ["ep", "idx", "goal", "subtask_type", "start", "end", "source", "rule", "gap_fill"]
 
 
-def assign(frames: DataFrame, events: DataFrame, steps: DataFrame, slugs: DataFrame | None = None, by_arm: bool = True, retreat_tasks: tuple[str, ...] = ()) -> DataFrame:
-    """The fine spans of all episodes with frames. ``slugs`` (ep, slug) adds the passes that depend on the task."""
+def assign(frames: DataFrame, events: DataFrame, steps: DataFrame, slugs: DataFrame | None = None, by_arm: bool = True, retreat_tasks: tuple[str, ...] = (), in_time_order: tuple[str, ...] = ()) -> DataFrame:
+    """The fine spans of all episodes with frames. ``slugs`` (ep, slug) adds the passes that depend on the task.
+
+    In tasks ``in_time_order`` a step takes the next event whichever arm it is of; in ``retreat_tasks`` goals tell that an arm returns.
+    """
 
     by_task = slugs is not None
 
@@ -615,9 +618,10 @@ def assign(frames: DataFrame, events: DataFrame, steps: DataFrame, slugs: DataFr
             out = []
             for row in pdf.itertuples(index=False):
                 states = np.stack([np.asarray(s, float) for s in row.states])
-                spans = fine_spans(steps_in(row), events_in(row), len(states), states, by_arm)
+                slug = (row.slug or "") if by_task else ""
+                spans = fine_spans(steps_in(row), events_in(row), len(states), states, by_arm and slug not in in_time_order)
                 if by_task:
-                    motion, slug = Motion(states), row.slug or ""
+                    motion = Motion(states)
                     spans = first_place_of_both(switches_told(tiny_retreat_merged(spans, motion), slug in retreat_tasks), motion, slug)
                 out += rows_of(row.ep, spans)
             yield pd.DataFrame(out, columns=COLUMNS)
@@ -626,8 +630,11 @@ def assign(frames: DataFrame, events: DataFrame, steps: DataFrame, slugs: DataFr
     return packed(frames, events, steps, slugs).mapInPandas(walk, SPAN.format(kind))
 
 
-def assign_coarse(frames: DataFrame, events: DataFrame, steps: DataFrame, merge_text: bool = True) -> DataFrame:
-    """The coarse spans of all episodes with frames: segments of motion and gripper groups by windows, then one walk an episode."""
+def assign_coarse(frames: DataFrame, events: DataFrame, steps: DataFrame, slugs: DataFrame | None = None, merge_text: bool = True, unmerged: tuple[str, ...] = ()) -> DataFrame:
+    """The coarse spans of all episodes with frames: segments of motion and gripper groups by windows, then one walk an episode.
+
+    Texts of moves after a release are merged into it but for tasks ``unmerged``, which ``slugs`` (ep, slug) tells.
+    """
     groups = trajectory.gripper_groups(events)
     segments = trajectory.split_segments(trajectory.joined_segments(trajectory.motion_segments(frames), groups), groups)
     piece = lambda *more: F.array_sort(F.collect_list(F.struct("start", *more, "end", "left", "right")))
@@ -636,6 +643,9 @@ def assign_coarse(frames: DataFrame, events: DataFrame, steps: DataFrame, merge_
         .join(groups.groupBy("ep").agg(piece("frame", "kind").alias("groups")), "ep", "full")
     )
 
+    by_task = slugs is not None
+    extra = extra.join(slugs, "ep", "full") if slugs is not None else extra
+
     def arms(x) -> frozenset:
         return frozenset(a for a in G.ARMS if x[a])
 
@@ -647,7 +657,7 @@ def assign_coarse(frames: DataFrame, events: DataFrame, steps: DataFrame, merge_
                 parts = [Piece(int(s["start"]), int(s["end"]), arms(s)) for s in (row.segments if row.segments is not None else ())]
                 grips = [Piece(int(g["start"]), int(g["end"]), arms(g), g["kind"], int(g["frame"])) for g in (row.groups if row.groups is not None else ())]
                 grips.sort(key=lambda g: (g.start, g.frame, sorted(g.arms)))
-                out += rows_of(row.ep, coarse_spans(steps_in(row), parts, grips, len(states), states, merge_text))
+                out += rows_of(row.ep, coarse_spans(steps_in(row), parts, grips, len(states), states, merge_text and not (by_task and row.slug in unmerged)))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     kind = frames.schema["ep"].dataType.simpleString()

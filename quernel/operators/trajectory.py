@@ -39,10 +39,10 @@ def with_steps(frames: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("was")
 
 
-def progress(frames: DataFrame, spans: DataFrame) -> DataFrame:
-    """(ep, idx, f, progress) of the frames inside each span (ep, idx, start, end, left, right: the arms that act).
+def progress_parts(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """(ep, idx, f, start, end, path, turn, grip, timed, progress) of the frames inside each span (ep, idx, start, end, left, right: the arms that act).
 
-    The mean over path, turn and grip, each as a share of its whole in the span, of those that move enough; by time
+    Path, turn and grip are shares of their whole in the span, null where it is too small. Progress is the mean of those that move enough, by time
     where none does; 0 up to the start and 1 from the end on.
     """
     keys = ["ep", "idx"]
@@ -52,12 +52,17 @@ def progress(frames: DataFrame, spans: DataFrame) -> DataFrame:
     for name, least in (("path", LEAST_PATH), ("turn", F.radians(F.lit(LEAST_TURN_DEGREES))), ("grip", LEAST_GRIP)):
         step = sum((F.when(F.col(arm), F.abs(f"{arm}_{name}")).otherwise(0.0) for arm in ("right",)), F.when(F.col("left"), F.abs(f"left_{name}")).otherwise(0.0))
         so_far, total = F.sum(step).over(order), F.sum(step).over(whole)
-        parts.append(F.when(total >= least, F.least(F.lit(1.0), F.greatest(F.lit(0.0), so_far / total))))
-    shares = moved.withColumn("shares", F.filter(F.array(*parts), lambda x: x.isNotNull()))
+        parts.append(F.when(total >= least, F.least(F.lit(1.0), F.greatest(F.lit(0.0), so_far / total))).alias(name))
     timed = (F.col("f") - F.col("start")) / F.greatest(F.lit(1), F.col("end") - F.col("start"))
-    mean = F.when(F.size("shares") > 0, F.aggregate("shares", F.lit(0.0), lambda a, x: a + x) / F.size("shares")).otherwise(timed)
-    value = F.when(F.col("f") <= F.col("start"), 0.0).when(F.col("f") >= F.col("end"), 1.0).otherwise(mean)
-    return shares.select("ep", "idx", "f", "start", "end", value.alias("progress"))
+    shares = moved.select("ep", "idx", "f", "start", "end", *parts, timed.alias("timed"))
+    known = F.filter(F.array("path", "turn", "grip"), lambda x: x.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(F.col("timed"))
+    return shares.withColumn("progress", F.when(F.col("f") <= F.col("start"), 0.0).when(F.col("f") >= F.col("end"), 1.0).otherwise(mean))
+
+
+def progress(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """(ep, idx, f, start, end, progress) of the frames inside each span."""
+    return progress_parts(frames, spans).select("ep", "idx", "f", "start", "end", "progress")
 
 
 def done_frames(rows: DataFrame, threshold: float = DONE) -> DataFrame:

@@ -380,3 +380,32 @@ def first_issue(spark, sf_dir):
 def issue_counts(spark, sf_dir):
     """How often each rule is broken."""
     return quality.issues(*annotated(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(50)
+
+
+@query(f"""WITH {FI}, m AS (SELECT ep, idx, start, "end", max("end") OVER (PARTITION BY ep) AS last, lag(idx) OVER w AS bi, lag("end") OVER w AS be FROM fi WINDOW w AS (PARTITION BY ep ORDER BY idx)),
+a AS (SELECT ep, idx, start, "end", unnest(range(start, "end" + 1)) AS f FROM m WHERE start <= "end"), n AS (SELECT ep, idx, bi, last, unnest(list_distinct([be - 1, be, start, start + 1, start + 2])) AS f FROM m WHERE bi IS NOT NULL)
+SELECT ep, f, idx, (f >= "end" - 1)::INT::DOUBLE AS done, round(CASE WHEN f >= "end" - 1 THEN 1.0 ELSE (f - start) / greatest(1, "end" - start) END, 6) AS progress, 'active' AS grp FROM a
+UNION ALL SELECT ep, f, bi, 1.0, 1.0, 'prev_done_probe' FROM n WHERE f BETWEEN 0 AND last UNION ALL SELECT ep, f, idx, 0.0, 0.0, 'current_not_done_probe' FROM n WHERE f BETWEEN 0 AND last""")
+def timed_samples(spark, sf_dir):
+    """Frames labelled by time alone, with probes around the boundaries."""
+    rows = samples.timed_rows(filled_spans(spark, sf_dir), probes=True)
+    return rows.withColumn("progress", F.round("progress", 6)).withColumnRenamed("group", "grp")
+
+
+@query(f"""WITH {PR}, b AS (SELECT ep, 0 AS idx, max(f) FILTER (progress + 1e-9 < 0.995) AS bad, max(f) AS last, min(f) AS first, count(*) FILTER (progress + 1e-9 >= 0.995) AS total FROM pr GROUP BY ep)
+SELECT ep, idx, last - coalesce(bad, first - 1) AS tail, total, least(3, last - first + 1) AS fixed FROM b""")
+def done_frames_by_span(spark, sf_dir):
+    """How many frames of each episode are done at its end and in all."""
+    curve = W.running_progress(trajectories(spark, sf_dir), 5.0).select("ep", F.lit(0).alias("idx"), "f", "progress")
+    return samples.done_runs(curve, 0.995)
+
+
+@query()
+def annotated_episodes(spark, sf_dir):
+    """Annotations of all episodes: the task goes by the episode's number, the rest comes from frames."""
+    from quernel.operators import annotate, tasks
+
+    rows = arm_frames(spark, sf_dir)
+    slug = F.element_at(F.array(*map(F.lit, tasks.TASKS)), (F.col("ep") % len(tasks.TASKS) + 1).cast("int"))
+    episodes = rows.select("ep").distinct().select("ep", slug.alias("slug"), F.lit("Do the task, from left to right.").alias("goal"), F.create_map(F.lit("{a}"), F.lit("left")).alias("info"))
+    return annotate.annotate(episodes, rows).select("ep", "task_slug", "num_frames", F.size("subtasks").alias("n_spans"), F.size("events").alias("n_events"))
