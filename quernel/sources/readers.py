@@ -151,3 +151,36 @@ def require(rows: DataFrame, schema: T.StructType) -> DataFrame:
     if lacks:
         raise ValueError(f"columns are missing: {lacks}")
     return rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
+
+
+VIDEO_QUESTION = "videoID string, duration string, domain string, sub_category string, question string, options array<string>, answer string, question_id string"
+PROBLEM = "question_id string, question string, starter_code string, input_output string, images array<string>"
+
+
+def video_questions(spark: SparkSession, path: str, duration: str | None = None) -> DataFrame:
+    """Questions about videos as Parquet, of one duration or all; the filter and the columns reach the scan."""
+    rows = spark.read.parquet(path)
+    named = [f.name for f in T._parse_datatype_string(VIDEO_QUESTION).fields if f.name in rows.columns]
+    out = rows.select(*named)
+    return out if duration is None else out.filter(F.col("duration") == duration)
+
+
+def problems(spark: SparkSession, path: str, schema: str = PROBLEM) -> DataFrame:
+    """Programming problems as (packed) JSON lines; images that are not base64 fall away."""
+    decoded = F.filter(F.transform("images", lambda i: F.try_to_binary(i, F.lit("base64"))), lambda b: b.isNotNull() & (F.octet_length(b) > 0))
+    return lines(spark, path, schema, strict=False).withColumn("images", decoded)
+
+
+def checked_file(path: str, digest: str) -> bool:
+    """Whether a file is there and has an MD5 digest. Nothing is fetched: a file that is not the right one has to be put there."""
+    import hashlib
+    from pathlib import Path
+
+    file = Path(path)
+    if not file.is_file():
+        return False
+    found = hashlib.md5(usedforsecurity=False)
+    with file.open("rb") as data:
+        while block := data.read(1 << 20):
+            found.update(block)
+    return found.hexdigest() == digest

@@ -73,3 +73,53 @@ def write_spreadsheet(rows: DataFrame, path: str, sheet: str = "results", most:
             for line in chain([rows.columns], ([r[c] for c in rows.columns] for r in rows.toLocalIterator())):
                 part.write(f'<row>{"".join(map(cell, line))}</row>'.encode())
             part.write(b"</sheetData></worksheet>")
+
+
+def write_detections(rows: DataFrame, path: str) -> None:
+    """Detection results as JSON lines, a box a line, in parallel; ``document`` makes one array of a small result."""
+    rows.select(F.to_json(F.struct("image_id", "bbox", "score", "category_id")).alias("value")).write.text(path)
+
+
+def write_manifest(rows: DataFrame, settings: dict, order: list[str], name: str = "samples") -> DataFrame:
+    """One row: settings and the exact list of samples as a JSON object. A manifest is of one evaluation, so it is short."""
+    listed = document(rows, order).select("value")
+    head = json.dumps(settings, ensure_ascii=False)[:-1]
+    return listed.select(F.concat(F.lit(head + (", " if settings else "") + json.dumps(name) + ": "), "value", F.lit("}")).alias("value"))
+
+
+def write_issues(issues: DataFrame, path: str) -> None:
+    """An issue log, one JSON object a line, null fields kept."""
+    write_lines(issues, path)
+
+
+def image_files(rows: DataFrame, folder: str, image: str = "image", name: str = "index") -> DataFrame:
+    """Images in base64 as (path, data), to be written as files: one image is ``<name>.jpg``, several are ``<name>_<k>.jpg``."""
+    kind = rows.schema[image].dataType.simpleString()
+    listed = F.col(image) if kind.startswith("array") else F.array(image)
+    many = F.size(listed) > 1
+    each = rows.select(F.col(name).cast("string").alias("_n"), many.alias("_m"), F.posexplode(listed).alias("_k", "_d"))
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), "_n", F.when(F.col("_m"), F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(""), F.lit(".jpg"))
+    return each.select(path.alias("path"), F.try_to_binary(F.regexp_replace("_d", "^data:[^,]*,", ""), F.lit("base64")).alias("data")).filter("data is not null")
+
+
+def write_images(files: DataFrame) -> DataFrame:
+    """Write (path, data) where no file is there yet, from the tasks, to a store that all machines see; gives path and whether it was written."""
+
+    def put(batches):
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            written = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist()):
+                store, base = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                there = store.get_file_info(base).type != pafs.FileType.NotFound
+                if not there:
+                    store.create_dir(base.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(base, compression=None) as out:
+                        out.write(data)
+                written.append(not there)
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "written": pa.array(written, pa.bool_())})
+
+    import pyarrow as pa
+
+    return files.mapInArrow(put, "path string, written boolean")
