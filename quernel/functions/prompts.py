@@ -69,3 +69,57 @@ def scored(rows: DataFrame, options: Column, seed: int = 0) -> DataFrame:
             "extraction_success": F.coalesce(F.col("_f") != "Z", F.lit(False)),
         }
     ).withColumn("hit", (F.col("extracted_answer").eqNullSafe(F.col("answer"))).cast("int")).drop("_o", "_f")
+
+
+#: What the planner and the status estimator of a robot are told, and how views and states are named.
+PLANNER = (
+    "You are a robot task planner. Given the global task, the completed subtasks, and {}, plan the remaining subtasks from the current state. "
+    "Output a JSON array with only subtask_index and subtask_goal."
+)
+ESTIMATOR = (
+    "You are a robot execution status estimator. Given the global task, the completed subtasks, the current subtask, the robot state values, and {}, predict the requested status values "
+    "using the query tokens. Do not generate a natural-language answer."
+)
+VIEW_NAMES = {"main": "<main>", "left_wrist": "<left wrist>", "right_wrist": "<right wrist>"}
+STATE = "Robot state: the gripper values of left and right arms are currently %.3f and %.3f, while the z values of left and right arms are %.3f and %.3f, respectively.\n"
+
+
+def robot_parts(goal: Column, completed: Column, frames: Column, views: list[str], current: Column | None = None, state: Column | None = None, queries: list[str] | None = None) -> Column:
+    """The user's content parts: task, what is done, the span and state at hand, the views of each frame (oldest first), and query tokens.
+
+    ``completed``: an array of (subtask_index, subtask_goal); an image's value is ``<view>@<frame>``; ``state``: the two grippers and heights. A null state says nothing.
+    """
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    said = lambda *texts: part("text", F.concat(*texts))
+    head = [said(F.lit("Global task: "), goal, F.lit("\nCompleted subtasks: "), F.to_json(completed), F.lit("\n"))]
+    if current is not None:
+        head.append(said(F.lit("Current subtask: "), current, F.lit("\n")))
+    if state is not None:
+        head.append(part("text", F.when(state.isNotNull(), F.format_string(STATE, *(state[c] for c in ("left_grip", "right_grip", "left_z", "right_z"))))))
+    label, many = "Image observation" if len(views) == 1 else "Image observations", F.size(frames) > 1
+    head.append(part("text", F.when(many, F.lit(f"Historical {label.lower()} (oldest to newest):\n")).otherwise(F.lit(f"{label}:\n"))))
+
+    def seen(frame: Column, k: Column) -> Column:
+        time = part("text", F.when(many, F.format_string("<time %d frame %d>\n", (k + 1).cast("int"), frame.cast("int"))))
+        return F.array(time, *(p for v in views for p in (part("text", F.lit(VIEW_NAMES[v] + " ")), part("image", F.concat(F.lit(v + "@"), frame.cast("string"))), part("text", F.lit("\n")))))
+
+    tail = F.array(part("text", F.lit("".join(queries)))) if queries else F.array().cast("array<struct<type:string,value:string>>")
+    return F.filter(F.concat(F.array(*head), F.flatten(F.transform(frames, seen)), tail), lambda p: p["value"].isNotNull())
+
+
+def robot_system(views: list[str], plan: bool) -> str:
+    return (PLANNER if plan else ESTIMATOR).format("image observation" if len(views) == 1 else "multi-view image observations")
+
+
+def robot_prompt(rows: DataFrame, views: list[str], queries: list[str]) -> DataFrame:
+    """Samples with ``system``, ``parts`` and ``answer``: plans answer with the goals ahead, status frames with query tokens alone (a null answer).
+
+    Columns kind (plan or frame), goal, goals (array), idx, plan_start, frames (array) and state; a plan begins at plan_start, a status at idx.
+    """
+    plan = F.col("kind") == "plan"
+    at = F.when(plan, F.col("plan_start")).otherwise(F.col("idx")).cast("int")
+    numbered = F.transform("goals", lambda g, k: F.struct(k.alias("subtask_index"), g.alias("subtask_goal")))
+    done, ahead = F.slice(numbered, 1, at), F.slice(numbered, at + 1, F.greatest(F.lit(0), F.size("goals") - at))
+    of_plan = robot_parts(F.col("goal"), done, F.col("frames"), views)
+    of_status = robot_parts(F.col("goal"), done, F.col("frames"), views, F.get("goals", at), F.col("state"), queries)
+    return rows.withColumns({"system": F.when(plan, robot_system(views, True)).otherwise(robot_system(views, False)), "parts": F.when(plan, of_plan).otherwise(of_status), "answer": F.when(plan, F.to_json(ahead))})

@@ -155,13 +155,6 @@ def json_or_null(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
-def canonical(text: Column) -> Column:
-    """Compact JSON where a text is JSON, else the text with its blanks collapsed."""
-    bare = F.trim(text)
-    parsed = F.try_parse_json(bare)
-    return F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(F.array_join(tokens(bare), " "))
-
-
 def without_image_marks(text: Column) -> Column:
     """No reference tags, and no boxes with what is in them (to the end, where one is not closed)."""
     return F.regexp_replace(F.regexp_replace(text, "</?ref>", ""), "<box>.*?(?:</box>|$)", "")

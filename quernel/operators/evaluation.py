@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.functions import jsonx
 from quernel.functions import names as N
 from quernel.functions import text as T
 
@@ -46,7 +47,7 @@ def plan_samples(samples: DataFrame, all_states: bool = False, span: int = 0) ->
 
 def exact_rate(rows: DataFrame, said: str, wanted: str, task: str) -> DataFrame:
     """How many rows and tasks there are, and the share of rows whose texts are the same when normalised."""
-    same = F.coalesce(T.canonical(F.col(said)) == T.canonical(F.col(wanted)), F.lit(False))
+    same = F.coalesce(jsonx.canonical(F.col(said)) == jsonx.canonical(F.col(wanted)), F.lit(False))
     return rows.agg(F.count("*").alias("n"), F.count_distinct(task).alias("tasks"), (F.coalesce(F.sum(same.cast("long")), F.lit(0)) / F.greatest(F.lit(1), F.count("*"))).alias("exact"))
 
 

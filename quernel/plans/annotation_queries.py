@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import goals as G
+from quernel.functions import jsonx
 from quernel.functions import media as M
 from quernel.functions import names as N
 from quernel.functions import text as T
@@ -128,7 +129,7 @@ def bleu_windows(spark, sf_dir):
 SELECT count(*) AS n, count(DISTINCT role) AS tasks, round(count(*) FILTER (t = trim(t) AND length(t) % 2 = 0) / count(*), 6) AS exact FROM c""")
 def exact_match_rate(spark, sf_dir):
     """The share of texts that are the wanted ones when normalised; texts of an odd length are wanted to be longer."""
-    text = T.canonical(F.col("text"))
+    text = jsonx.canonical(F.col("text"))
     wanted = F.when(F.length(text) % 2 == 0, F.concat(F.lit("  "), F.col("text"))).otherwise(F.concat("text", F.lit(" more")))
     rows = read(spark, sf_dir, "conversations").withColumn("wanted", wanted)
     return E.exact_rate(rows, "text", "wanted", "role").withColumn("exact", F.round("exact", 6))

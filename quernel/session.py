@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,3 +51,15 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(target)
     context._quernel_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines see: ``spark.checkpoint.dir``, or a temporary one on one machine alone."""
+    key = "spark.checkpoint.dir"
+    where = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError(f"set {key} to a folder that all machines see")
+        where = "file://" + tempfile.mkdtemp(prefix="quernel-shared-")
+        spark.conf.set(key, where)
+    return f"{where.rstrip('/')}/quernel/{name}-{uuid.uuid4().hex}"

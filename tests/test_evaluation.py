@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.functions import jsonx
 from quernel.functions import media as M
 from quernel.functions import names as N
 from quernel.functions import text as T
@@ -74,7 +75,7 @@ def test_texts(spark):
     lit = F.lit
     marked = "one\n\n```python\na = b < 3\n```\nend"
     r = one(
-        spark, T.canonical(lit(' {"b": 1,  "a": [1, 2]} ')).alias("json"), T.canonical(lit(" some \n text ")).alias("plain"), T.without_image_marks(lit("a<ref>b</ref><box>(1,2)</box>c<box>open")).alias("marks"), T.as_html(lit(marked)).alias("html"),
+        spark, jsonx.canonical(lit(' {"b": 1,  "a": [1, 2]} ')).alias("json"), jsonx.canonical(lit(" some \n text ")).alias("plain"), T.without_image_marks(lit("a<ref>b</ref><box>(1,2)</box>c<box>open")).alias("marks"), T.as_html(lit(marked)).alias("html"),
         T.same_output(F.array(lit(" a"), lit("b ")), lit("a\nb")).alias("same"), T.same_output(F.array(lit("a")), lit("b")).alias("other"), T.interleaved(lit("see ![image](x.png) and ![image](y)"), F.array(lit("i0"), lit("i1"))).alias("parts"),
         T.window_scores(F.array(lit("Move  it"), lit("x")), F.array(lit("move it"), lit("y")), 1).alias("w1"), T.window_scores(F.array(lit("a b")), F.array().cast("array<string>"), 3).alias("w3"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quernel.functions import geometry as G
 from quernel.functions import text as T
 from quernel.operators import scoring, series
-from quernel.plans import annotation_queries  # noqa: F401
+from quernel.plans import annotation_queries, io_queries  # noqa: F401
 from quernel.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
