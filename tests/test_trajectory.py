@@ -144,3 +144,25 @@ def test_streams(spark, tmp_path):
     assert [(r.kind, r.change) for r in run(twins.signal_events(source, 0.5, 4.0), "signal_twin")] == [("open", 9.0), ("close", -5.0), ("open", 4.0)]
     assert [r.n for r in run(twins.segments(source), "segment_twin")] == [9]
     assert [r.n for r in run(twins.counts(source), "count_twin")] == [9]
+
+
+def test_streams_end(spark, tmp_path):
+    import os
+
+    (tmp_path / "in").mkdir()
+    batches = [[(0, f"2024-01-01T00:00:{s:02d}", float(3 * s)) for s in range(4)], [(1, "2024-01-02T00:00:00", 0.0)], [(1, "2024-01-03T00:00:00", 0.0)]]
+    for k, rows in enumerate(batches):
+        path = tmp_path / "in" / f"{k}.json"
+        path.write_text("\n".join(json.dumps({"ep": e, "ts": t, "v": v}) for e, t, v in rows))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    source = spark.readStream.schema("ep long, ts timestamp, v double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+    def run(df, name):
+        stream = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        stream.awaitTermination(120)
+        return spark.table(name).collect()
+
+    # the run under way is given once the episode has ended
+    assert [(r.ep, r.kind, r.change) for r in run(twins.signal_events(source, 0.5, 4.0, quiet=1000), "ended_twin")] == [(0, "open", 9.0)]
+    got = sorted((r.ep, r.ts, r.window) for r in run(twins.memory(source, 3, 2), "memory_twin"))
+    assert [w for e, _, w in got if e == 0] == [[0.0, 0.0, 0.0], [0.0, 0.0, 3.0], [0.0, 0.0, 6.0], [0.0, 3.0, 9.0]]
