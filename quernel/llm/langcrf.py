@@ -43,14 +43,16 @@ SAMPLED_BYTES = 8_000_000
 PASSAGE = 16_384
 LENGTH = 32
 WORD_BYTES = 64
-BLOCK = 512
+#: Words of a block; more where there are many languages, as the product of a block's steps costs their cube.
+BLOCK = 128
+FEW = 16
 SLOTS = 1 << 16
 SIZES = (2, 3, 4)
 LEAST_SEEN = 3
 EPOCHS = 4
 RATE = 0.3
 #: Bytes of a slice, and of a slice times its languages.
-BATCH = 256_000
+BATCH = 400_000
 SCORED = 4_000_000
 UNKNOWN = "und"
 
@@ -187,15 +189,16 @@ class Chain:
         self.emitted = shifted(scores).astype(np.float32)
         self.step = np.exp(moves - moves.max()).astype(np.float32)
         self.labels = scores.shape[1]
-        counts = -(-np.diff(cuts) // BLOCK)
+        block = BLOCK if self.labels <= FEW else 8 * BLOCK
+        counts = -(-np.diff(cuts) // block)
         #: Blocks by their number within the text: texts that have one, and where it is among all blocks.
         self.firsts = np.cumsum(counts) - counts
         self.counts = counts
         self.text = np.repeat(np.arange(len(counts)), counts)
         number = np.arange(int(counts.sum())) - np.repeat(self.firsts, counts)
         self.opens = number == 0
-        self.begins = np.repeat(cuts[:-1], counts) + BLOCK * number
-        self.sizes = np.minimum(np.repeat(cuts[1:], counts) - self.begins, BLOCK)
+        self.begins = np.repeat(cuts[:-1], counts) + block * number
+        self.sizes = np.minimum(np.repeat(cuts[1:], counts) - self.begins, block)
 
     def steps(self, blocks: np.ndarray):
         """The given blocks, longest first, and for each step how many have a word there."""
