@@ -214,7 +214,7 @@ def shard_at(path: str) -> Shard:
     return shard
 
 
-def probe_batches(batches: Iterator[pa.RecordBatch], folder: str, names: dict[int, str], bits: int, shortest: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def probe_batches(batches: Iterator[pa.RecordBatch], folder: str, names: dict[int, str], bits: int, least: int, shortest: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Probe each document's keys and drop the lines that another document keeps."""
     holds("linededup", _SHARDS)
     for batch in (part for whole in batches for part in batches_of(whole, "text", 16_000_000)):
@@ -234,7 +234,8 @@ def probe_batches(batches: Iterator[pa.RecordBatch], folder: str, names: dict[in
             if number not in names:
                 continue
             mine = np.flatnonzero(shards == number)
-            there, _, keepers = shard_at(f"{folder}/{names[number]}").probe(h[mine, 0], h[mine, 1])
+            there, counts, keepers = shard_at(f"{folder}/{names[number]}").probe(h[mine, 0], h[mine, 1])
+            there &= counts >= least
             for k, keeper in zip(mine[there].tolist(), keepers[there].tolist()):
                 row, line = places[k]
                 if (NOBODY if ids[row] is None else ids[row]) != keeper:
@@ -265,4 +266,4 @@ def dedup_lines(docs: DataFrame, least: int = 5, shortest: int = 40, shard_keys:
     # one short row for each SHARD_KEYS keys
     names = {r.shard: r.name for r in manifest.collect()}
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-    return source.mapInArrow(task(probe_batches, folder, names, bits, shortest, with_text), schema)
+    return source.mapInArrow(task(probe_batches, folder, names, bits, least, shortest, with_text), schema)
