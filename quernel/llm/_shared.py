@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (as in tests on one machine)
-    is a temporary folder made and set.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and there is one machine alone (a local master, as in tests)
+    is a temporary folder made and set. On a cluster other machines could not read it, so the setting is asked for.
     """
     where = spark.sparkContext.getConf().get(CHECKPOINT) or spark.conf.get(CHECKPOINT, None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT} to a folder that all machines see")
         where = "file://" + tempfile.mkdtemp(prefix="quernel-shared-")
         spark.conf.set(CHECKPOINT, where)
     return where.rstrip("/")
