@@ -719,6 +719,72 @@ def test_sequences_hold_all_words():
 # ---- All
 
 
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quernel.llm import _shared
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    for master, fails in (("yarn", True), ("spark://h:1", True), ("local-cluster[2,1,1024]", True), ("local[8]", False), ("local", False)):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: nothing), conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None))
+        if fails:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                _shared.shared_dir(session)
+        else:
+            assert _shared.shared_dir(session).startswith("file:/")
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    """Texts of 300 kB with and without blanks, and clashing columns."""
+    line = "A line that is repeated in all of these documents, of more than forty characters."
+    body = "\n".join(" ".join(words(40, k)) for k in range(900))
+    rows = [(k, f"{line}\n{body}\n{line}\n{'x' * 300_000}" if k < 2 else line, "en") for k in range(6)]
+    return spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, lang string, n_lines int, digest string").repartition(2)
+
+
+def test_long_texts(spark, long):
+    rows = {r.doc_id: r.text for r in long.collect()}
+    tokenizer = records.encoder(entries.tokenizer_path())
+    encoded = records.read_records(records.write_records(long, entries.tokenizer_path()), with_ids=True).collect()
+    assert all(r.ids == [*np.frombuffer(tokenizer.text(rows[r.doc_id]), "<u4").tolist(), 1] for r in encoded)
+    dropped = {r["doc_id"]: r for r in collect(linededup.dedup_lines(long))}
+    assert [dropped[k]["n_dropped"] for k in range(6)] == [2, 2, 1, 1, 1, 0] and dropped[0]["n_lines"] == 903
+    near = {r["doc_id"]: r for r in collect(bottomk.near_duplicates(long))}
+    assert near[1]["component_id"] == 0 and near[5]["component_id"] == 2 and near[0]["n_shingles"] == brute_components([(0, rows[0])], 5, 80)[0][0]
+    benchmark = spark.createDataFrame([(7, " ".join(words(40, 899)[-12:]))], "item_id long, text string")
+    hits = {r["doc_id"]: r for r in collect(decontam.scan(long, benchmark))}
+    assert hits[0]["n_hit"] == 12 and hits[0]["items"] == ["7"] and hits[5]["n_hit"] == 0
+    assert rows[0][hits[0]["spans"][0]["begin"] : hits[0]["spans"][0]["end"]] == " ".join(words(40, 899)[-12:])
+    media = {r["doc_id"]: r for r in collect(isomedia.digests(isomedia.store(long)))}
+    assert all(media[k]["n_bytes"] == len(rows[k].encode()) for k in rows)
+    scores = collect(resample.resample(long, spark.createDataFrame([(0, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")))
+    assert len(scores) == 6 and all(r["log_weight"] is not None for r in scores)
+    assert mixing.mix(long.withColumn("source", long.lang)).count() == 6
+
+
+def test_null_ids_of_media_and_pages(spark, docs):
+    rows = collect(isomedia.digests(isomedia.store(docs)))
+    assert len(rows) == docs.count() and sum(r["doc_id"] is None for r in rows) == 2
+    pages = docs.selectExpr("doc_id as page_id", "lang as url", "text as html", "n as offset", "id as archive", "source as digest")
+    folder, manifest = warc.write_archives(pages)
+    got = collect(warc.read_archives(folder, warc.merge_index(spark, folder, manifest)))
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r.page_id) for r in pages.collect())
+
+
+def test_stages_take_any_table(spark, docs):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    shape = entries.table(spark, sf_dir, "documents")
+    odd = docs.select("doc_id", "text", "lang", "source", docs.n.alias("n_chars"))
+    for table in (shape.filter("false"), odd, odd.filter("doc_id is null"), odd.withColumn("text", docs.text.substr(0, 0)), odd.withColumnRenamed("n_chars", "c0")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, sf_dir)
+            assert name == "token_records" or out.columns == table.columns
+            assert out.count() <= 3 * table.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
