@@ -9,10 +9,13 @@ from __future__ import annotations
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bottomk, langcrf, resample
+from quernel.llm._shared import utf8
 from quernel.llm.entries import table
 
 
@@ -31,27 +34,36 @@ def languages(spark: SparkSession, sf_dir: str) -> float:
     return round(found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0], 4)
 
 
-def all_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of all documents whose full sets are similar, by counting shared shingles: for small tables."""
-    from quernel.llm._shared import words_of
-
-    size = F.size("w")
-    runs = F.when(size >= words, F.transform(F.sequence(F.lit(1), size - words + 1), lambda k: F.array_join(F.slice("w", k, words), " "))).when(size > 0, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))
-    sets = docs.select("doc_id", words_of(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(runs).alias("s"))
-    each = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("v"))
-    b = each.withColumnsRenamed({"doc_id": "b", "n": "m"})
-    met = each.join(b, "v").filter(F.col("doc_id") < F.col("b")).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"))
-    return met.filter(100 * F.col("c") >= percent * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b")
+def all_links(texts: list[str | None], words: int, percent: int) -> list[tuple[int, int]]:
+    """All pairs of distinct sets that are similar, by the places of a text of each: each set against all sets of fitting sizes.
+
+    Bitmaps pass over most pairs (the bits that differ are never more than the values), full sets decide. For tables that fit in memory.
+    """
+    sets = [bottomk.shingle_sets(*utf8(pa.array([t], pa.string())), words)[0] for t in texts]
+    first = {digest: k for k in range(len(sets) - 1, -1, -1) if (digest := bottomk.digest_of(sets[k])) is not None}
+    order = sorted(first.values(), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in order])
+    bits = np.stack([bottomk.bitmap(sets[k]) for k in order]) if order else np.zeros((0, 16), np.int64)
+    out = []
+    for i in range(len(order)):
+        end = int(np.searchsorted(sizes, sizes[i] * 100 / percent, side="right"))
+        apart = np.bitwise_count(bits[i] ^ bits[i + 1 : end]).sum(1)
+        least = np.ceil((sizes[i] + sizes[i + 1 : end]) * percent / (100 + percent) - 1e-9)
+        for j in (np.flatnonzero(apart <= sizes[i] + sizes[i + 1 : end] - 2 * least) + i + 1).tolist():
+            both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                out.append((order[i], order[j]))
+    return out
 
 
 def recall(spark: SparkSession, sf_dir: str, words: int = 3, similarity: float = 0.85) -> tuple[int, float]:
-    """How many similar pairs there are, and the share of them that are in one component."""
+    """How many similar pairs of distinct sets there are, and the share of them that are in one component."""
     docs = table(spark, sf_dir, "documents")
-    found = bottomk.near_duplicates(docs, words, similarity).select("doc_id", "component_id")
-    links = all_links(docs, words, round(100 * similarity))
-    both = links.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
-    n, met = both.agg(F.count("*"), F.avg((F.col("x") == F.col("y")).cast("int"))).first()
-    return n, round(met or 1.0, 6)
+    component = {r.doc_id: r.component_id for r in bottomk.near_duplicates(docs, words, similarity).select("doc_id", "component_id").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    links = all_links([r.text for r in rows], words, round(100 * similarity))
+    met = sum(component[rows[a].doc_id] == component[rows[b].doc_id] for a, b in links)
+    return len(links), met / max(1, len(links))
 
 
 if __name__ == "__main__":

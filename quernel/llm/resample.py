@@ -3,8 +3,8 @@
 Target text (labelled good and not toxic) and raw text (all documents) each get a generative model: a multinomial over hashed
 n-grams (a run of letters and digits or of signs, or a pair of neighbours), from the counts of the n-grams, with ``ALPHA`` added to
 each bucket of the raw model and the same share of its total to each of the target's. A document's log weight is the log of
-the ratio of its likelihoods, ``sum(count * log(target share / raw share))`` over all its n-grams. A text itself is taken off
-both models before it is scored: the models would else favour the texts that they were made from.
+the ratio of its likelihoods, ``sum(count * log(target share / raw share))`` over all its n-grams. A text of the target is taken off
+the target's model before it is scored: that model would else favour the texts that it was made from. The raw model is that of all texts.
 
 Adding Gumbel noise to the log weights and taking the ``k`` largest keys draws ``k`` documents without replacement, with chances in the
 ratio of the weights; by default ``k`` is the target's share of the labelled documents, times all documents.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import BLANKS, batches_of, holds, scratch, task, utf8, written
 
 BITS = 18
-ALPHA = 1.0
+ALPHA = 20.0
 SEED = 17
 BATCH = 500_000
 BROADCAST_ROWS = 2_000_000
@@ -102,13 +102,12 @@ class Models:
         pairs, counts = np.unique((rows << (BITS + 1) | buckets)[buckets >= 0], return_counts=True)
         rows, found = pairs >> (BITS + 1), pairs & ((2 << BITS) - 1)
         lengths = np.bincount(rows, counts, size)
-        # what is left of both models without the text itself
-        raw_size, target_size = self.sizes[0] - lengths, self.sizes[1] - lengths * wanted
-        share = np.divide(target_size, raw_size, out=np.zeros(size), where=raw_size > 0)
+        # the target's model without the text itself
+        share = (self.sizes[1] - lengths * wanted) / max(1.0, self.sizes[0])
         per_row = ALPHA * share[rows]
         own = counts * wanted[rows]
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratios = np.log((self.target[found] - own + per_row) / (self.raw[found] - counts + ALPHA) / share[rows])
+            ratios = np.log((self.target[found] - own + per_row) / (self.raw[found] + ALPHA) / share[rows])
         sums = np.bincount(rows, np.where(share[rows] > 0, counts * ratios, 0.0), size)
         return np.where(lengths > 0, sums, np.nan)
 
