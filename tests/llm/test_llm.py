@@ -385,10 +385,11 @@ def test_log_weights_are_ratios_of_likelihoods(spark):
         if not bag:
             assert got[k]["log_weight"] is None
             continue
-        raw = [g for j, b in enumerate(bags) if j != k for g in b]
+        raw = [g for b in bags for g in b]
         like = [g for j in target if j != k for g in bags[j]]
         share = len(like) / len(raw)
-        want = sum(np.log((like.count(g) + share) / len(like) / ((raw.count(g) + 1) / len(raw))) for g in bag)
+        alpha = resample.ALPHA
+        want = sum(np.log((like.count(g) + alpha * share) / len(like) / ((raw.count(g) + alpha) / len(raw))) for g in bag)
         assert got[k]["log_weight"] == pytest.approx(want), texts[k]
     noise = [r["key"] - r["log_weight"] for r in got.values() if r["log_weight"] is not None]
     assert -3 < min(noise) and 0 < np.mean(noise) < 1.2
