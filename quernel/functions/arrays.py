@@ -29,6 +29,13 @@ def expanded(values: Column, wanted: int, by: list[int]) -> Column:
     return F.when(at >= 0, put).otherwise(values)
 
 
+def one_vote(values: Column, wanted: int, votes: list[int], *key: str, seed: int = 0) -> Column:
+    """The last equal element replaced by one of several, chosen by a hash of the key."""
+    at = last_place(values, wanted)
+    chosen = F.element_at(F.array(*map(F.lit, votes)), (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(len(votes))) + 1).cast("int"))
+    return F.transform(values, lambda x, k: F.when(k == at, chosen).otherwise(x))
+
+
 def observation(left: Column, left_grip: Column, right: Column, right_grip: Column) -> Column:
     """16 numbers of a state from two poses of seven and two grippers, with unit quaternions (identity where they vanish)."""
 

@@ -128,6 +128,12 @@ def pinhole(point: tuple[Column, Column, Column], fx: float, fy: float, cx: floa
     return F.when(z > 0, F.struct((x / z * fx + cx).alias("u"), (y / z * fy + cy).alias("v")))
 
 
+def box_in_pixels(box: Column, width: Column, height: Column, seen_width: Column, seen_height: Column, relative: bool = False) -> Column:
+    """A predicted box in pixels of the image: from the size that the model saw, or from thousandths."""
+    w, h = (width / 1000, height / 1000) if relative else (width / seen_width, height / seen_height)
+    return F.array(box[0] * w, box[1] * h, box[2] * w, box[3] * h)
+
+
 def camera(width: Column, height: Column, fov: float) -> Column:
     half = 2 * F.tan(F.radians(F.lit(fov)) / 2)
     return F.struct(F.bround(width / half, 2).alias("fx"), F.bround(height / half, 2).alias("fy"), F.bround(width / 2, 2).alias("cx"), F.bround(height / 2, 2).alias("cy"))

@@ -34,6 +34,35 @@ def per_group(rows: DataFrame, group: str, order: list[Column], each: int, total
     return kept if total is None else kept.orderBy(*order).limit(total)
 
 
+def error_score(kind: Column, prob: Column) -> Column:
+    """How bad an error is: the probability of a false positive, what lacks to it for a false negative."""
+    return F.when(kind == "fp", prob).when(kind == "fn", 1 - prob)
+
+
+def episode_errors(rows: DataFrame, episode: list[str], selection: str, seed: int, number: str, each: str | None = None, limit: int | None = None) -> DataFrame:
+    """The worst error of each episode (columns kind, score), ranked: worst first, in a seeded order, or by number; at most ``limit`` of all or of each group.
+
+    ``rank`` counts from 1 on. Episodes of one score are in the order of their numbers.
+    """
+    best = best_of(rows.filter(F.col("kind").isNotNull()), episode, "score", number)
+    orders = {"worst": [F.desc("score"), F.col(number)], "random": [F.xxhash64(F.lit(seed), *episode), F.col(number)]}
+    order = orders.get(selection, [F.col(number)])
+    if each is None:
+        kept = best.orderBy(*order)
+        return kept if limit is None else kept.limit(limit)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(each).orderBy(*order)))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def one_episode_a_task(samples: DataFrame, task: str, episode: str, seed: int, tasks: int | None = None) -> DataFrame:
+    """All samples of one episode of each task, drawn by a hash; at most so many tasks, in a seeded order."""
+    episodes = samples.select(task, episode).distinct()
+    drawn = episodes.groupBy(task).agg(F.min(F.struct(F.xxhash64(F.lit(seed), task, episode).alias("h"), F.col(episode).alias("e")))["e"].alias(episode))
+    if tasks is not None:
+        drawn = drawn.orderBy(F.xxhash64(F.lit(seed), task), task).limit(tasks)
+    return samples.join(drawn, [task, episode], "left_semi")
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int, shuffle: bool = True) -> DataFrame:
     """n rows by hash (or by key); all rows for n of 0 or less."""
     return rows if n <= 0 else rows.orderBy(shuffled(key, seed) if shuffle else F.col(key), key).limit(n)

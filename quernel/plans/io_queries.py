@@ -233,3 +233,26 @@ def robot_prompts(spark, sf_dir):
     )
     out = prompts.robot_prompt(rows, ["main", "left_wrist"], ["<q>"])
     return out.select("ep", "f", F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("content"), "answer", F.regexp_extract("system", "(planner|estimator)", 1).alias("told"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity / 640 * 1920, 6) AS x, round(l_quantity * 2 / 480 * 1080, 6) AS y, round(l_quantity / 1000 * 1920, 6) AS x_rel FROM lineitem""")
+def predicted_boxes(spark, sf_dir):
+    """Predicted boxes in pixels, from the seen size and from thousandths."""
+    q, n = F.col("l_quantity"), F.lit
+    box = F.array(q, q * 2, q + 1, q * 2 + 1)
+    seen = G.box_in_pixels(box, n(1920), n(1080), n(640), n(480))
+    rel = G.box_in_pixels(box, n(1920), n(1080), n(640), n(480), relative=True)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(seen[0], 6).alias("x"), F.round(seen[1], 6).alias("y"), F.round(rel[0], 6).alias("x_rel"))
+
+
+@query("""WITH x AS (SELECT source, lang, doc_id, CASE WHEN quality < 0.5 AND n_chars > 1500 THEN 'fp' WHEN quality >= 0.5 AND n_chars <= 1500 THEN 'fn' END AS kind, n_chars % 97 / 97.0 AS p FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT source, lang, doc_id, kind, round(CASE WHEN kind = 'fp' THEN p ELSE 1 - p END, 9) AS score FROM x WHERE kind IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS k FROM s),
+r AS (SELECT source, lang, doc_id, kind, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM b WHERE k = 1) SELECT * FROM r WHERE rank <= 3""")
+def worst_episodes(spark, sf_dir):
+    """The three worst episodes of each group by their worst errors; an episode is a source and language here."""
+    from quernel.operators import sampling
+    from quernel.plans.queries import judged
+
+    kind = sampling.error_type(F.col("quality"), F.col("pred"), 0.5)
+    rows = judged(spark, sf_dir).select("source", "lang", "doc_id", kind.alias("kind"), F.round(sampling.error_score(kind, F.col("n_chars") % 97 / 97), 9).alias("score"))
+    return sampling.episode_errors(rows, ["source", "lang"], "worst", 0, "doc_id", each="lang", limit=3)

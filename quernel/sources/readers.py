@@ -184,3 +184,15 @@ def checked_file(path: str, digest: str) -> bool:
         while block := data.read(1 << 20):
             found.update(block)
     return found.hexdigest() == digest
+
+
+#: The MD5 digests of benchmark tables.
+DIGESTS = {"MathVision": "93f6de14f7916e598aa1b7165589831e", "MathVision_MINI": "060fe4fa5d868987ce179307bd5f8a33", "RealWorldQA": "92321028d2bc29040284b6674721e48f"}
+
+
+def benchmark(spark: SparkSession, folder: str, name: str, digests: dict[str, str] = DIGESTS) -> DataFrame:
+    """A benchmark's table by name, from ``<folder>/<name>.tsv``; one whose digest is known must have it."""
+    path = f"{folder.rstrip('/')}/{name}.tsv"
+    if name in digests and not checked_file(path.removeprefix("file://"), digests[name]):
+        raise ValueError(f"{path} is not there, or is not the table that is meant")
+    return question_table(spark, path)

@@ -39,6 +39,23 @@ def write_frames(rows: DataFrame, path: str) -> None:
     sized.write.parquet(path)
 
 
+#: The columns of converted episodes.
+FRAME_COLUMNS = ("observation.state", "action", "timestamp", "frame_index", "episode_index", "index", "task_index")
+
+
+def validated(rows: DataFrame, columns: tuple[str, ...] = FRAME_COLUMNS, vectors: tuple[str, ...] = ("observation.state", "action")) -> None:
+    """Written frames are read back and judged: all columns, some rows, 16 numbers in each vector of each row; raises otherwise."""
+    lacks = [c for c in columns if c not in rows.columns]
+    if lacks:
+        raise ValueError(f"columns are missing: {lacks}")
+    wrong = F.lit(False)
+    for c in vectors:
+        wrong = wrong | F.coalesce(F.size(F.col(f"`{c}`")) != 16, F.lit(True))
+    count, bad = rows.agg(F.count("*"), F.count_if(wrong)).first()
+    if not count or bad:
+        raise ValueError("no rows were written" if not count else f"{bad} rows have vectors that are not of 16 numbers")
+
+
 def unwritten(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose output is not there yet."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -135,3 +135,33 @@ def test_files(spark, tmp_path):
     assert sorted(r.path.rpartition("/")[2] for r in files.collect()) == ["7_0.jpg", "7_1.jpg", "8.jpg"]
     assert [r.written for r in sinks.write_images(files).collect()] == [True] * 3 and [r.written for r in sinks.write_images(files).collect()] == [False] * 3
     assert (tmp_path / "img" / "8.jpg").read_bytes() == b"abc"
+
+
+def test_tables_and_frames_are_checked(spark, tmp_path):
+    (tmp_path / "tiny.tsv").write_text("index\tquestion\tA\n1\tq\tx\n")
+    digest = __import__("hashlib").md5((tmp_path / "tiny.tsv").read_bytes()).hexdigest()
+    assert readers.benchmark(spark, str(tmp_path), "tiny", {"tiny": digest}).first()["index"] == 1 and readers.benchmark(spark, str(tmp_path), "tiny", {}).count() == 1
+    with pytest.raises(ValueError, match="not the table"):
+        readers.benchmark(spark, str(tmp_path), "tiny", {"tiny": "0"})
+    frame = spark.range(2).select(F.array_repeat(F.lit(0.0), 16).alias("observation.state"), F.array_repeat(F.lit(0.0), 16).alias("action"), F.lit(0.0).alias("timestamp"), *(F.lit(0).alias(c) for c in ("frame_index", "episode_index", "index", "task_index")))
+    sinks.validated(frame)
+    for wrong, says in ((frame.filter("false"), "no rows"), (frame.drop("action"), "missing"), (frame.withColumn("action", F.array(F.lit(1.0))), "2 rows")):
+        with pytest.raises(ValueError, match=says):
+            sinks.validated(wrong)
+
+
+def test_choices_of_episodes(spark):
+    from quernel.functions import arrays
+    from quernel.operators import sampling
+
+    rows = spark.createDataFrame([(e, n, "fp" if n % 2 else "fn", n / 10) for e in range(3) for n in range(4 * e, 4 * e + 4)], "e int, n int, kind string, prob double")
+    scored = rows.withColumn("score", sampling.error_score(F.col("kind"), F.col("prob")))
+    assert [r.e for r in sampling.episode_errors(scored, ["e"], "worst", 0, "n", limit=2).collect()] == [2, 0]
+    assert [r.n for r in sampling.episode_errors(scored, ["e"], "number", 0, "n").collect()] == [0, 7, 11]
+    assert sorted(r.e for r in sampling.episode_errors(scored, ["e"], "random", 5, "n").collect()) == [0, 1, 2]
+    samples = spark.createDataFrame([(f"t{e % 2}", e, k) for e in range(6) for k in range(3)], "task string, e int, k int")
+    drawn = sampling.one_episode_a_task(samples, "task", "e", 3).collect()
+    assert len(drawn) == 6 and len({r.e for r in drawn}) == 2 and sampling.one_episode_a_task(samples, "task", "e", 3, tasks=1).count() == 3
+    ids = F.array(*map(F.lit, [5, 7, 5]))
+    got = {tuple(r.x) for r in spark.range(40).select(arrays.one_vote(ids, 5, [1, 2], "id").alias("x")).collect()}
+    assert got == {(5, 7, 1), (5, 7, 2)} and spark.range(1).select(arrays.one_vote(ids, 4, [1], "id").alias("x")).first().x == [5, 7, 5]
