@@ -8,12 +8,11 @@ from pathlib import Path
 
 #: The sections whose values other values can name, and how settings of training are called in evaluation.
 SECTIONS = ("model", "data", "training")
-EVALUATION = {
-    ("model", "model_name_or_path"): "base_model", ("data", "robotwin_data_root"): "data_root", ("data", "robotwin_anno_root"): "anno_root", ("data", "robotwin_anno_dir"): "anno_dir", ("data", "robotwin_views"): "views",
-    ("data", "robotwin_memory_frames"): "memory_frames", ("data", "robotwin_memory_frame_stride"): "memory_frame_stride", ("data", "robotwin_test_ratio"): "test_ratio", ("data", "robotwin_q2_frame_stride"): "q2_frame_stride",
-    ("data", "robotwin_boundary_extra_frames"): "boundary_extra_frames", ("training", "model_max_length"): "model_max_length", ("training", "voting_done"): "voting_done", ("training", "done_vote_count"): "done_vote_count",
-}
-BUCKET, IF_THERE = (("data", "robotwin_q2_progress_bucket_size"), "q2_progress_bucket_size"), "_if_exists"
+RENAMED = {("model", "model_name_or_path"): "base_model"}
+#: Settings of the data that evaluation takes without the prefix that names the data set (up to the first underscore).
+UNPREFIXED = ("data_root", "anno_root", "anno_dir", "views", "memory_frames", "memory_frame_stride", "test_ratio", "q2_frame_stride", "boundary_extra_frames")
+TRAINING = ("model_max_length", "voting_done", "done_vote_count")
+BUCKET, IF_THERE = "q2_progress_bucket_size", "_if_exists"
 
 
 def sections(config: dict) -> dict:
@@ -53,8 +52,11 @@ def training_arguments(config: dict) -> list[str]:
 def evaluation_values(config: dict, task: str) -> dict:
     """The values that an evaluation takes: from training by other names, then the evaluation's own, those of q2 for its kin, and the task's."""
     context = sections(config)
-    known = EVALUATION | (dict([BUCKET]) if task.startswith("q2") else {})
-    out = {name: config[section][key] for (section, key), name in known.items() if key in (config.get(section) or {})}
+    held = lambda section: config.get(section) or {}
+    out = {name: held(section)[key] for (section, key), name in RENAMED.items() if key in held(section)}
+    wanted = (*UNPREFIXED, BUCKET) if task.startswith("q2") else UNPREFIXED
+    out |= {bare: value for key, value in held("data").items() if (bare := key.partition("_")[2]) in wanted}
+    out |= {key: held("training")[key] for key in TRAINING if key in held("training")}
     own = config.get("eval", {})
     own = own if isinstance(own, dict) else {}
     out |= {k: v for k, v in own.items() if k not in ("q1", "q2") and not isinstance(v, dict)}

@@ -103,9 +103,9 @@ def test_tools_and_outputs(spark):
 
 def test_configurations(tmp_path, monkeypatch):
     monkeypatch.setenv("QUERNEL_ROOT", "/r")
-    known = {"model": {"model_name_or_path": "m"}, "data": {"robotwin_views": "main", "robotwin_q2_progress_bucket_size": 0.1, "path_if_exists": str(tmp_path), "gone_if_exists": "/none"}, "training": {"output_dir": "$QUERNEL_ROOT/{robotwin_views}", "bf16": True, "no": None, "odd": "{unknown}"}}
+    known = {"model": {"model_name_or_path": "m"}, "data": {"robot_views": "main", "robot_q2_progress_bucket_size": 0.1, "path_if_exists": str(tmp_path), "gone_if_exists": "/none"}, "training": {"output_dir": "$QUERNEL_ROOT/{robot_views}", "bf16": True, "no": None, "odd": "{unknown}"}}
     assert config.training_arguments(known) == [
-        "--model_name_or_path", "m", "--robotwin_views", "main", "--robotwin_q2_progress_bucket_size", "0.1", "--path", str(tmp_path), "--output_dir", "/r/main", "--bf16", "True", "--odd", "{unknown}",
+        "--model_name_or_path", "m", "--robot_views", "main", "--robot_q2_progress_bucket_size", "0.1", "--path", str(tmp_path), "--output_dir", "/r/main", "--bf16", "True", "--odd", "{unknown}",
     ]
     known["eval"] = {"seed": 1, "q1": {"seed": 2}, "q2": {"batch": 3, "seed": 4}, "q2_vis": {"seed": 5}}
     assert config.evaluation_values(known, "q1") == {"base_model": "m", "views": "main", "seed": 2}
