@@ -25,23 +25,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def bound(value: Column, body) -> Column:
+    """A value computed once and used several times in a column: functions of arrays are else computed for each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def option_letter(answer: Column, options: Column) -> Column:
     """The one option letter that stands alone in an answer; Z for a refusal; null if none or several do.
 
     'A' is not believed in answers of more than three tokens, where it may be an article.
     """
-    plain = tokens(F.translate(answer, SEPARATORS, " " * len(SEPARATORS)))
-    found = F.array_intersect(F.array_distinct(plain), F.map_keys(options))
-    letter = F.element_at(found, 1)
     refused = F.lit(False)
     for phrase in REFUSALS:
         refused = refused | F.contains(answer, F.lit(phrase))
-    return (
-        F.when(F.contains(answer, F.lit(FAILED)), F.lit(None).cast("string"))
-        .when(refused, F.lit("Z"))
-        .when((F.size(found) == 1) & ~(F.array_contains(plain, "A") & (F.size(plain) > 3)), letter)
-        .when((F.size(found) == 0) & F.array_contains(plain, "Z"), F.lit("Z"))
-    )
+
+    def picked(plain: Column) -> Column:
+        found = lambda f: (
+            F.when((F.size(f) == 1) & ~(F.array_contains(plain, "A") & (F.size(plain) > 3)), F.get(f, F.lit(0)))
+            .when((F.size(f) == 0) & F.array_contains(plain, "Z"), F.lit("Z"))
+        )
+        return bound(F.array_intersect(F.array_distinct(plain), F.map_keys(options)), found)
+
+    letter = bound(tokens(F.translate(answer, SEPARATORS, " " * len(SEPARATORS))), picked)
+    return F.when(F.contains(answer, F.lit(FAILED)), F.lit(None).cast("string")).when(refused, F.lit("Z")).otherwise(letter)
 
 
 def option_text(answer: Column, options: Column) -> Column:

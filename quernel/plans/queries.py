@@ -128,7 +128,8 @@ SELECT conv_id, turn, letter, CASE WHEN len(held) = 1 THEN held[1][1] END AS by_
 def option_extract(spark, sf_dir):
     options = F.create_map(*(F.lit(x) for pair in zip("ABCDE", ("del", "nicht", "pour", "which", "para")) for x in pair))
     text = F.col("text")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.option_letter(text, options).alias("letter"), T.option_text(text, options).alias("by_text"), T.infer_option(text, options).alias("picked"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.option_letter(text, options).alias("letter"), T.option_text(text, options).alias("by_text"))
+    return rows.withColumn("picked", F.coalesce("letter", "by_text"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, n_chars, regexp_extract(source, '([0-9]+)$', 1) AS digits, substr(source, 1, 3 + doc_id % 4) AS said FROM documents)
