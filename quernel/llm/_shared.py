@@ -50,6 +50,11 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, rows: int, each: int) -> int:
+    """How many files hold so many rows, ``each`` in a file or so: two a core at least, so that all cores work."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def task(function, *args, **kwargs):
     """A function of batches for mapInArrow. Only its arguments travel; the function is imported by the worker."""
 

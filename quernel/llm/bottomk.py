@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import BLANKS, batches_of, holds, remove, task, utf8, written
+from quernel.llm._shared import BLANKS, batches_of, files_for, holds, remove, task, utf8, written
 
 K = 64
 FINE = 512
@@ -51,8 +51,8 @@ BROADCAST_ROWS = 2_000_000
 LOSS = 1e-12
 #: Members of a list up to which its pairs are not held against those of other lists.
 SHORT = 32
-#: Rows of a file of links or labels.
-FILE_ROWS = 1_000_000
+#: Documents that a file of any table stands for. Small tables in many partitions are put together to few files.
+FILE_DOCUMENTS = 100_000
 #: Bits of the bitmap of a whole set.
 BITMAP = 1024
 #: Bytes of texts that are hashed at a time; a longer text is hashed in pieces cut at blanks.
@@ -204,12 +204,13 @@ class NearDuplicates:
         #: Tables that are removed before the result is given.
         self.paths: list[str] = []
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.digests = written(self.docs.mapInArrow(task(sketch_batches, words, k), DIGESTS), "sketches")
+        self.files = files_for(docs.sparkSession, self.docs.select("doc_id").count(), FILE_DOCUMENTS)
+        self.digests = written(self.docs.mapInArrow(task(sketch_batches, words, k), DIGESTS).coalesce(self.files), "sketches")
         known = self.digests.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
         # equal sets have equal sketches and sizes
         classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         self.repeats = known.count() > known.select("doc_id").distinct().count()
-        self.classes = written(classes.withColumn("rep", self.number(classes)), "classes")
+        self.classes = written(classes.withColumn("rep", self.number(classes)).coalesce(self.files), "classes")
 
     def number(self, classes: DataFrame) -> F.Column:
         """The number of a class. No two have the same: a seed under which digests collide is passed over."""
@@ -220,6 +221,10 @@ class NearDuplicates:
             seed += 1
         return F.xxhash64(F.lit(seed), "digest")
 
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        """A table for this run alone."""
+        return written(rows.coalesce(self.files), name, self.paths)
+
     def postings(self, classes: DataFrame, k: int) -> DataFrame:
         """(value, rep, n, place): each class under the rarest values of its sketch that a similar one must share."""
         values = classes.select("rep", "n", F.explode("sketch").alias("value"))
@@ -231,9 +236,9 @@ class NearDuplicates:
         alone = size - F.size("values")
         length = F.greatest(F.lit(0), size - least + 1 - alone).cast("int")
         prefix = listed.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("values", 1, length)).alias("at", "v"))
-        prefix = written(prefix.select(F.col("v.value").alias("value"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "postings", self.paths)
+        prefix = self.write(prefix.select(F.col("v.value").alias("value"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "postings")
         busy = prefix.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
-        return written(prefix.join(busy, "value", "left_semi"), "lists", self.paths)
+        return self.write(prefix.join(busy, "value", "left_semi"), "lists")
 
     def texts(self, reps: DataFrame) -> DataFrame:
         """(rep, text): a text of each of some classes."""
@@ -248,10 +253,10 @@ class NearDuplicates:
 
     def fine(self) -> DataFrame:
         """The classes that small sketches leave with a possible partner, with sketches of FINE values and bitmaps."""
-        survivors = written(self.postings(self.classes, self.k).select("rep").distinct(), "survivors", self.paths)
+        survivors = self.write(self.postings(self.classes, self.k).select("rep").distinct(), "survivors")
         texts = self.texts(survivors).withColumnRenamed("rep", "doc_id")
         again = texts.mapInArrow(task(sketch_batches, self.words, FINE, True), FINE_SKETCHES)
-        return written(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bits"), "fine", self.paths)
+        return self.write(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bits"), "fine")
 
     def possible(self, n_a: str, place_a: str, n_b: str, place_b: str):
         """Whether two sets whose first shared value has these places can be similar enough."""
@@ -277,18 +282,18 @@ class NearDuplicates:
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, self.k)
         shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         least = F.least(F.lit(least_shared(self.k, self.similarity)), F.ceil(F.size(union) * self.percent / 100 - 1e-9))
-        likely = written(both.filter(shared >= least).select("a", "b"), "likely", self.paths)
-        wanted = written(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "wanted", self.paths)
-        texts = written(self.texts(wanted), "texts", self.paths)
+        likely = self.write(both.filter(shared >= least).select("a", "b"), "likely")
+        wanted = self.write(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "wanted")
+        texts = self.write(self.texts(wanted), "texts")
         with_b = likely.join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b")
         full = with_b.join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
-        return written(full.select("a", "b", "text_a", "text_b").mapInArrow(task(verify_batches, self.words, self.percent), "a long, b long"), "links", self.paths)
+        return self.write(full.select("a", "b", "text_a", "text_b").mapInArrow(task(verify_batches, self.words, self.percent), "a long, b long"), "links")
 
     def open_lists(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """The lists whose members are in more than one component, with the members' components."""
         marked = lists.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_lists = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("value")
-        return written(marked.join(mixed_lists, "value", "left_semi"), "open", self.paths)
+        return self.write(marked.join(mixed_lists, "value", "left_semi"), "open")
 
     def star(self, lists: DataFrame, drawn: bool) -> DataFrame:
         """Pairs of each list's centre with its other members. ``drawn``: the centre differs from list to list."""
@@ -300,14 +305,14 @@ class NearDuplicates:
     def rest(self, lists: DataFrame, fine: DataFrame) -> DataFrame:
         """The pairs of members of a list that are in different components and may be similar enough."""
         sizes = lists.groupBy("value").agg((F.count("*") > SHORT).alias("long"))
-        sized = written(lists.join(sizes, "value"), "sized", self.paths)
+        sized = self.write(lists.join(sizes, "value"), "sized")
         # a member's long lists in the common order, each with those before it: at most as many as the prefix is long
         steps = sized.filter("long").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all"))
         steps = steps.select("rep", F.posexplode("all").alias("at", "v"), F.transform("all", lambda x: x["value"]).alias("values"))
         before = steps.select("rep", F.col("v.value").alias("value"), F.slice("values", F.lit(1), F.col("at")).alias("before"))
         none = F.array().cast("array<long>")
         whole = sized.join(before, ["rep", "value"], "left").join(fine.select("rep", "bits"), "rep").withColumn("before", F.coalesce("before", none))
-        whole = written(whole, "rest", self.paths)
+        whole = self.write(whole, "rest")
         width = math.log(100 / self.percent) * (1 + 1e-9)
         step = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
         named = lambda x: {"rep": f"{x}", "n": f"n_{x}", "component": f"c_{x}", "place": f"p_{x}", "bits": f"bits_{x}", "before": f"before_{x}"}
@@ -329,7 +334,7 @@ class NearDuplicates:
         lists = self.postings(fine, FINE)
         links = self.shared_ids() if self.repeats else None
         if links is not None:
-            labels = connected(links)
+            labels = connected(links, self.files)
         for round_ in range(3):
             open_ = self.open_lists(lists, labels)
             if open_.isEmpty():
@@ -337,7 +342,7 @@ class NearDuplicates:
             pairs = self.rest(open_, fine) if round_ == 2 else self.star(open_, drawn=round_ == 1)
             found = self.links(pairs)
             links = found if links is None else links.union(found)
-            labels = connected(links)
+            labels = connected(links, self.files)
             lists = open_.drop("component")
         remove(spark, self.paths)
         return labels
@@ -346,7 +351,7 @@ class NearDuplicates:
         """Links (a, b) between the classes of the texts of one document."""
         known = self.digests.filter(F.col("doc_id").isNotNull()).select("doc_id", "digest").distinct().join(self.classes.select("digest", "rep"), "digest")
         first = known.groupBy("doc_id").agg(F.min("rep").alias("a"))
-        return written(known.join(first, "doc_id").filter(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct(), "shared-ids", self.paths)
+        return self.write(known.join(first, "doc_id").filter(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct(), "shared-ids")
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row."""
@@ -364,18 +369,17 @@ class NearDuplicates:
         return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, files: int = 1) -> DataFrame:
     """(rep, component): the smallest number reachable over links (a, b).
 
     Each round every node's parent becomes the least label among it and its neighbours, then parents are followed;
     rounds go on until no label changes. Labels meet in sums of parts, so a node with very many links is no hot spot. A round
-    writes one table, in files of about ``FILE_ROWS`` rows.
+    writes one table, in so many ``files`` at most.
     """
     spark = links.sparkSession
     paths: list[str] = []
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    ends = written(both, "ends", paths)
-    files = max(1, -(-ends.count() // FILE_ROWS))
+    ends = written(both.coalesce(files), "ends", paths)
     labels = written(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "rep").coalesce(files), "labels", last := [])
     while True:
         own: list[str] = []

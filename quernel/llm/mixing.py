@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import words_of, written
+from quernel.llm._shared import files_for, words_of, written
 
 BITS = 60
 STEP = 12
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Rows of a file of sizes.
+FILE_ROWS = 1_000_000
 
 
 def unit(column: Column) -> Column:
@@ -95,7 +97,8 @@ def planned(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, t
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), unit(F.col(id_col)).alias("unit")
     )
-    sized = written(sized, "mix-sizes")
+    spark = docs.sparkSession
+    sized = written(sized.coalesce(files_for(spark, docs.select(id_col).count(), FILE_ROWS)), "mix-sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = written(targets(sums, weights, most), "mix-targets")
     copies = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long")
