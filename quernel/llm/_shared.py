@@ -50,6 +50,11 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """The table, marked for broadcasting if it has been counted to be of ``limit`` rows at most; else as it is, so that a join shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def files_for(spark: SparkSession, rows: int, each: int) -> int:
     """How many files hold so many rows, ``each`` in a file or so: two a core at least, so that all cores work."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))

@@ -97,6 +97,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langcrf.identify(docs, langcrf.train(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ in their terms, and the terms that mark each source."""
+    from quernel.llm import divergence
+
+    return divergence.divergence(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_line_dedup": op2_line_dedup,
@@ -108,6 +115,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -179,7 +187,25 @@ SELECT doc_id, lang, source, n_chars, CAST('0x' || substr(md5(coalesce(CAST(doc_
        CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
 """
 
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, {LOWER.format("coalesce(text, '')")} AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT x.*, 1 + 1000000000 * (x.n + 2) // (sum(x.n) OVER (PARTITION BY x.lang, x.source) + 2 * v.v) AS p, 1 + 1000000000 * (x.lang_n + 2) // (v.total + 2 * v.v) AS q FROM x JOIN v ON v.lang = x.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
 SQL = {
+    "op11_source_divergence": DIVERGENCE_SQL,
     "op3_near_duplicates": NEAR_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
     "op4_compaction": COMPACTION_SQL,
