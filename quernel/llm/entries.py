@@ -104,6 +104,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"), least=10, top=10)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of two public tokenizers over all texts, and count which ids stand for which."""
+    import public_tokenizers
+
+    from quernel.llm import alignment
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_line_dedup": op2_line_dedup,
@@ -116,6 +125,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 BLANKS = r"[\x20\x09-\x0D]"
