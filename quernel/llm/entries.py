@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.llm import outliers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -113,6 +115,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then outliers of each language and source by robust Mahalanobis distances."""
+    return outliers.outliers(table(spark, sf_dir, "documents")).drop("distance2")
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_line_dedup": op2_line_dedup,
@@ -126,6 +133,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -214,7 +222,20 @@ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
 """
 
+STATISTICS_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANKS}+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+wins AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS v FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r)
+SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+FROM d JOIN l USING (r) LEFT JOIN covered USING (r)
+"""
+
 SQL = {
+    "op13_quality_rules": outliers.oracle(STATISTICS_SQL),
     "op11_source_divergence": DIVERGENCE_SQL,
     "op3_near_duplicates": NEAR_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
