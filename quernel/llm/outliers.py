@@ -110,7 +110,7 @@ def distance(upper: tuple[int, ...] = ()) -> dict[str, str]:
     return out | {"d2": " + ".join(f"z{i} * z{i}" for i in DIMENSIONS)}
 
 
-def start(deviation: str = "median") -> dict[str, str]:
+def start() -> dict[str, str]:
     """A diagonal scatter of medians (m) and median absolute deviations (a) in the form of ``centre``."""
     return {f"l{i}{j}": f"greatest(1.4826e0 * a{i}, {FLOORS[i - 1]}.0e0)" if i == j else "0.0e0" for i in DIMENSIONS for j in DIMENSIONS if j <= i}
 
