@@ -91,7 +91,7 @@ def test_statistics_of_odd_texts(spark):
 
 @pytest.mark.parametrize("least", [1, 50, 10_000])
 def test_verdicts_as_numpy_gives_them(spark, least):
-    rows = made(700, 1) + [(1000 + k, t, None, None, "odd") for k, t in enumerate(ODD_TEXTS)] + [(5, "x", "en", "hot", "short")] * 2
+    rows = made(700, 1) + [(1000 + k, t, None, None, "odd") for k, t in enumerate(ODD_TEXTS)] + [(2000, "x", "en", "hot", "short")] * 2
     want = Counter(zip((r[0] for r in rows), plain_kept([(r[2], r[3], plain_statistics(r[1])) for r in rows], least)))
     got = found(spark, rows, least=least)
     assert Counter((r["doc_id"], r["kept"]) for r in got) == want
