@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quernel.llm._shared import batches_of, holds, small_side, task, utf8, written
 
 #: Bytes of text whose segments are encoded and aligned together.
-SLICE = 8_000_000
+SLICE = 6_000_000
 #: Rows of a result's batch at most.
 ROWS = 2_000
 #: Parts of a pair's first sum.
@@ -49,6 +49,8 @@ class Side:
 
     def __init__(self, pieces: list[bytes]):
         self.lengths = np.array([len(x) for x in pieces], np.int64)
+        if not self.lengths.all():
+            raise ValueError("an id stands for no byte")
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
         self.names = [b"%d" % k for k in range(len(pieces))]
@@ -116,8 +118,9 @@ class Aligned:
 
     def __init__(self, both: Tokenizers, raw: np.ndarray, cuts: np.ndarray):
         places = cut_places(raw)
-        last = np.isin(places + 1, cuts)  # a blank that ends a text stays with what is before
-        starts = np.union1d(places[~last], cuts[:-1])
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[cuts] = True
+        starts = np.sort(np.concatenate([places[~edge[places + 1] & ~edge[places]], cuts[:-1]]))  # a blank that ends a text stays with what is before
         segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
         self.segment = segments.indices.to_numpy().astype(np.int64)
         self.first = np.searchsorted(starts, cuts)
@@ -135,7 +138,7 @@ class Aligned:
         a_ids, b_ids = a_ids[np.repeat(right, n_a)], b_ids[np.repeat(right, n_b)]
         n_a, n_b = n_a * right, n_b * right
         a_ends, b_ends = np.cumsum(both.a_side.lengths[a_ids]), np.cumsum(both.b_side.lengths[b_ids])
-        common = np.intersect1d(a_ends, b_ends)
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)  # no token is empty
         a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
         own = np.searchsorted(np.cumsum(sizes * right), common)  # the segment of each group
         a_from, b_from = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)

@@ -4,15 +4,15 @@ A line's key is the line without blanks at its ends, ASCII letters small; keys s
 points don't count. Two passes read the texts:
 
 1. Each document sends two hashes of 64 bits for each distinct key. They are counted (partial sums first), with the
-   largest doc_id that holds the key. Hashes found in at least ``least`` documents are stored.
+   largest doc_id that holds the key. All of them are stored.
 2. The stored hashes are dealt into shards by their top bits. A shard is a minimal perfect hash (levels of bit
    arrays: at each level the hashes that are alone on their bit stay, the others go on) which
-   gives each hash a slot in arrays of fingerprints (the second hash), counts and keeping doc_ids. Hashes
-   below ``least`` can drop no line and so need no slot: the fingerprint refuses them.
+   gives each hash a slot in arrays of fingerprints (the second hash), counts and keeping doc_ids.
 3. Each document probes the arrays for all its lines, with no join and no shuffle of lines. Lines whose key
-   is there are dropped unless the document is the keeper.
+   has a count of at least ``least`` are dropped unless the document is the keeper.
 
-A worker loads shards as its batches need them and holds at most ``CACHE`` bytes of them.
+A worker loads shards as its batches need them and holds at most ``CACHE`` bytes of them. Where all shards fit, texts are probed in
+windows of ``BATCH`` bytes; where they don't, in windows of ``WINDOW`` bytes, shard after shard, so that a shard is read once a window.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as documents of their own and
 keep or drop alike; a row whose doc_id is null never keeps a line that another document holds (if all holders
@@ -38,6 +38,10 @@ from quernel.llm._shared import batches_of, holds, scratch, task, written
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 500_000
 CACHE = 256_000_000
+BATCH = 16_000_000
+WINDOW = 128_000_000
+#: Bytes of a shard's arrays for each key, about: fingerprint, count, keeper and the table.
+KEY_BYTES = 21
 #: Bits of a level for each hash that is left.
 ROOM = 1.5
 NOBODY = -(2**63)
@@ -62,7 +66,7 @@ def halves(key: bytes) -> tuple[int, int]:
 
 def hash_batches(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
     """doc_id and the two hashes of each distinct key of each document."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         docs: list = []
         found: list[tuple[int, int]] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -214,10 +218,23 @@ def shard_at(path: str) -> Shard:
     return shard
 
 
-def probe_batches(batches: Iterator[pa.RecordBatch], folder: str, names: dict[int, str], bits: int, least: int, shortest: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts have about ``size`` bytes: large ones are cut, small ones put together."""
+    held, total = [], 0
+    for part in (x for whole in batches for x in batches_of(whole, "text", size)):
+        held.append(part)
+        total += part.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def probe_batches(batches: Iterator[pa.RecordBatch], folder: str, names: dict[int, str], bits: int, least: int, shortest: int, with_text: bool, window: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Probe each document's keys and drop the lines that another document keeps."""
     holds("linededup", _SHARDS)
-    for batch in (part for whole in batches for part in batches_of(whole, "text", 16_000_000)):
+    for batch in windows(batches, window):
         ids = batch.column("doc_id").to_pylist()
         lines, places, pairs = [], [], []
         for row, text in enumerate(batch.column("text")):
@@ -256,14 +273,15 @@ def dedup_lines(docs: DataFrame, least: int = 5, shortest: int = 40, shard_keys:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hashes = source.mapInArrow(task(hash_batches, shortest), "doc_id long, h1 long, h2 long")
     counted = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(NOBODY)).alias("keeper"))
-    common = written(counted.filter(F.col("n_docs") >= least), "lines")
-    total = common.count()
+    lines = written(counted, "lines")
+    total = lines.count()
     bits = max(0, (-(-total // shard_keys) - 1).bit_length())
     folder = scratch(spark, "line-shards")
     number = F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0).cast("long")
-    dealt = common.withColumn("shard", number).repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard")
+    dealt = lines.withColumn("shard", number).repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard")
     manifest = written(dealt.mapInArrow(task(build_shards, folder), "shard long, name string, keys long"), "line-manifest")
     # one short row for each SHARD_KEYS keys
     names = {r.shard: r.name for r in manifest.collect()}
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-    return source.mapInArrow(task(probe_batches, folder, names, bits, least, shortest, with_text), schema)
+    window = BATCH if total * KEY_BYTES <= CACHE else WINDOW
+    return source.mapInArrow(task(probe_batches, folder, names, bits, least, shortest, with_text, window), schema)
