@@ -1,121 +1,39 @@
-"""Whether two answers are the same number or text: arithmetic in plain signs and in LaTeX."""
+"""Whether two answers are the same number, formula or text."""
 
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernel.functions import algebra
+
 #: Fixed value: numbers that differ by less are the same.
 NEAR = 1e-6
-#: LaTeX words that mean a sign or nothing.
-SIGNS = {r"\cdot": "*", r"\times": "*", r"\div": "/", r"\pi": "pi", r"\left": "", r"\right": "", r"\dfrac": r"\frac", r"\tfrac": r"\frac", r"\,": "", r"\ ": "", r"\!": "", "$": "", "{": "(", "}": ")", "[": "(", "]": ")", "**": "^"}
-TOKEN = re.compile(r"\s*(\d+\.?\d*(?:e[+-]?\d+)?|\.\d+|\\?[a-z]+|[-+*/^(),])", re.IGNORECASE)
-
-
-class Reader:
-    """Reads sums of products of powers; raises ValueError for anything else."""
-
-    def __init__(self, text: str):
-        for word, sign in SIGNS.items():
-            text = text.replace(word, sign)
-        self.tokens, at = [], 0
-        text = text.strip()
-        while at < len(text):
-            found = TOKEN.match(text, at)
-            if not found:
-                raise ValueError(text)
-            self.tokens.append(found[1].lower())
-            at = found.end()
-        self.at = 0
-
-    def next(self) -> str:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ""
-
-    def take(self, sign: str) -> bool:
-        self.at += (there := self.next() == sign)
-        return there
-
-    def need(self, sign: str) -> None:
-        if not self.take(sign):
-            raise ValueError(sign)
-
-    def whole(self) -> float:
-        value = self.sum()
-        if self.next() or not self.tokens:
-            raise ValueError(self.next())
-        return value
-
-    def sum(self) -> float:
-        value = self.product()
-        while self.next() in ("+", "-"):
-            value += self.product() if self.take("+") else -self.product() if self.take("-") else 0
-        return value
-
-    def product(self) -> float:
-        value = self.signed()
-        while True:
-            if self.take("*"):
-                value *= self.signed()
-            elif self.take("/"):
-                value /= self.signed()
-            elif self.next() == "(" or self.next() in ("pi", "\\frac", "\\sqrt", "sqrt"):
-                value *= self.power()
-            else:
-                return value
-
-    def signed(self) -> float:
-        return -self.signed() if self.take("-") else self.signed() if self.take("+") else self.power()
-
-    def power(self) -> float:
-        base = self.unit()
-        return base ** self.signed() if self.take("^") else base
-
-    def group(self) -> float:
-        self.need("(")
-        value = self.sum()
-        self.need(")")
-        return value
-
-    def unit(self) -> float:
-        word = self.next()
-        if word == "(":
-            return self.group()
-        self.at += 1
-        if word == "pi":
-            return math.pi
-        if word == "e":
-            return math.e
-        if word == "\\frac":
-            return self.group() / self.group()
-        if word in ("\\sqrt", "sqrt"):
-            first = self.group()
-            return self.group() ** (1 / first) if self.next() == "(" and word[0] == "\\" else math.sqrt(first)
-        return float(word)
 
 
 def value_of(text: str) -> float | None:
     """The number that a text stands for, None if it is no arithmetic."""
+    tree = algebra.tree_of(text)
+    if tree is None or algebra.symbols(tree):
+        return None
     try:
-        value = Reader(text).whole()
-        return float(value) if not isinstance(value, complex) and math.isfinite(value) else None
+        value = complex(algebra.number(tree, {}))
     except (ValueError, ZeroDivisionError, OverflowError, RecursionError):
         return None
+    return value.real if abs(value.imag) < 1e-12 and math.isfinite(value.real) else None
 
 
 def same_of(said: str | None, gold: str | None) -> bool:
+    """Answers are compared in small letters, so symbols are."""
     a, b = str(said).lower().strip(), str(gold).lower().strip()
-    if a == b:
-        return True
-    x, y = value_of(a), value_of(b)
-    return x is not None and y is not None and abs(x - y) < NEAR
+    return a == b or algebra.same_formulas(a, b)
 
 
 def same(said: Column, gold: Column) -> Column:
-    """Whether two answers are equal as texts or as numbers. Equal texts and plain numbers stay in the JVM's reach; the rest is read batch by batch."""
+    """Whether two answers are equal as texts, numbers or formulas. Equal texts and plain numbers are decided in the JVM; only the other pairs are read, each distinct text once a worker."""
     strip = lambda c: F.lower(F.trim(c))
 
     @F.pandas_udf("boolean")
@@ -123,7 +41,10 @@ def same(said: Column, gold: Column) -> Column:
         return pd.Series([None if x is None or y is None else same_of(x, y) for x, y in zip(a, b)], dtype=object)
 
     plain = F.abs(said.try_cast("double") - gold.try_cast("double")) < NEAR
-    return F.when(strip(said) == strip(gold), F.lit(True)).when(plain.isNotNull(), plain).otherwise(F.coalesce(read(said, gold), F.lit(False)))
+    decided = F.when(strip(said) == strip(gold), F.lit(True)).when(plain.isNotNull(), plain)
+    # decided pairs go to the function as nulls, which it does not read
+    asked = [F.when(decided.isNull(), c) for c in (said, gold)]
+    return F.coalesce(decided, read(*asked), F.lit(False))
 
 
 def checked(prediction: Column, answer: Column, options: Column, prefetch: bool = False) -> Column:

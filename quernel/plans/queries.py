@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import geometry as G
+from quernel.functions import mathx as M
 from quernel.functions import text as T
 from quernel.operators import prep
 from quernel.operators import scoring as S
@@ -143,6 +144,29 @@ def numeric_answer_equal(spark, sf_dir):
     return docs.select("doc_id", number.alias("number"), same.alias("same"), F.expr("try_cast(said AS double) IS NOT NULL").alias("numeric"))
 
 
+# Pairs of formulas that are the same where d is 0: products, quotients, roots and fractions.
+FORMULAS = [
+    (r"concat(a, '(x+', b, ')')", r"concat(a, 'x+', a * b + d)"),
+    (r"concat('\\frac{x^2-', b * b, '}{x-', b, '}')", r"concat('x+', b + d)"),
+    (r"concat('\\sqrt{', a * a * b, '}y')", r"concat(a + d, '\\sqrt{', b, '}y')"),
+    (r"concat('\\dfrac{', a, '}{', b, '}')", r"concat(a + d, '/', b)"),
+    (r"concat('(x+', a, ')^2')", r"concat('x^2+', 2 * a, 'x+', a * a + d)"),
+    (r"concat('z\\sqrt[3]{', a * a * a * b, '}')", r"concat(a + d, '\\sqrt[3]{', b, '} z')"),
+    (r"concat('\\frac{', a, 'w}{\\sqrt{', b, '}}')", r"concat('\\frac{', a + d, '\\sqrt{', b, '}}{', b, '}w')"),
+    (r"concat('2^{', 60 + a, '}+', 1 + d)", r"concat('1+2^{', 60 + a, '}')"),
+]
+PAIRED = " ".join(f"WHEN {k} THEN {{{k}}}" for k in range(len(FORMULAS)))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_partkey % {len(FORMULAS)} AS kind, CAST(p_size AS BIGINT) AS a, p_partkey % 7 + 2 AS b, (p_partkey // {len(FORMULAS)}) % 2 AS d FROM part)
+SELECT p_partkey, CASE kind {PAIRED.format(*(x.replace(chr(92) * 2, chr(92)) for x, _ in FORMULAS))} END AS said, CASE kind {PAIRED.format(*(y.replace(chr(92) * 2, chr(92)) for _, y in FORMULAS))} END AS gold, d = 0 AS same FROM n""")
+def same_formulas(spark, sf_dir):
+    """Answers that are formulas of symbols, roots and large numbers, compared exactly."""
+    numbers = read(spark, sf_dir, "part").selectExpr("p_partkey", f"p_partkey % {len(FORMULAS)} AS kind", "CAST(p_size AS LONG) AS a", "p_partkey % 7 + 2 AS b", f"(p_partkey div {len(FORMULAS)}) % 2 AS d")
+    pairs = numbers.selectExpr("p_partkey", *(f"CASE kind {PAIRED.format(*(pair[k] for pair in FORMULAS))} END AS {name}" for k, name in enumerate(("said", "gold"))))
+    return pairs.select("p_partkey", "said", "gold", M.same(F.col("said"), F.col("gold")).alias("same"))
+
+
 @query(r"""SELECT page_id, trim(list_extract(string_split(html, '</p>'), -1)) AS answer, length(replace(replace(html, '```json', ''), '```', '')) AS n_plain,
 trim(list_extract(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), -1)) AS last_item, left(coalesce(nullif(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'item'), 40) AS file FROM pages""")
 def strip_reasoning_fences(spark, sf_dir):
