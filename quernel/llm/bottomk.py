@@ -3,23 +3,26 @@
 A document's set holds the distinct ``words``-word shingles of its words (ASCII letters small), as 64-bit hashes; its sketch
 is the ``k`` smallest of them. All work is on distinct sets: documents with equal sets are one class.
 
-1. Inverted lists. Two sets with Jaccard similarity of at least ``similarity`` share at least ``o`` retained values, for sets
-   no larger than ``k`` surely, and for larger ones but for a chance below ``LOSS`` a pair. So, with each
-   sketch in one common order, rare values first, both have a shared value among their first ``size - o + 1``
-   (a prefix filter): only these enter lists, and a passage that a third of all documents share
-   stays out of the lists of documents that have enough else. At the first value that two sets share, neither may be
-   so far down its order that too few values are left (a positional filter). Small sketches find the
-   documents that can have a partner at all; only these get sketches of ``FINE`` values, on which the lists are built.
-2. Stars. A list never gives all its pairs. First each list links its members to its first one; then, where members
+1. Screen. Inverted lists of retained values find the sets that can have a partner at all. Two sets with Jaccard similarity of at
+   least ``similarity`` share at least ``o`` retained values, for sets no larger than ``k`` surely, and for larger ones but for a chance
+   below ``LOSS`` a pair. So, with each sketch in one common order, rare values first, both have a shared value
+   among their first ``size - o + 1`` (a prefix filter): only these enter lists, and a passage that a third
+   of all documents share stays out of the lists of documents that have enough else.
+2. Lists. Sets that pass retain all their values. Of a pair, the smaller set of n values has the first shared value among its first
+   ``n - overlap(n, n) + 1``, the larger one among its first ``n - ceil(similarity * n) + 1``: a list counts only if a member of the first kind is
+   in it. Values that no other set has come first in the order, so members of a group that all lie just under the threshold, each with
+   some words of its own, meet in no list: their prefixes are used up. (With sketches of 512 values, whose bounds must allow for chance, every pair
+   of such a group was a candidate.) At the first value that two sets share, neither may be so far down
+   its order that too few values are left (a positional filter).
+3. Stars. A list never gives all its pairs. First each list links its members to its first one; then, where members
    of a list are still in different components, to another one drawn for each list. Components are joined after each round.
-3. The rest. Members of a list that are still in different components are candidates only if their sizes, their places in the
-   list and the bitmaps of their whole sets allow the similarity: the bits that differ between two parity
-   bitmaps are never more than the values that differ between the sets. In lists of more than ``SHORT`` members a pair
-   is taken at the first such list it shares alone, so near copies, which share most of their lists, are
-   not met again in each; in shorter lists a member meets ``SHORT`` others at most. No link between components is lost.
+4. The rest. Members of a list that are still in different components are candidates if one of them is of the first kind, and their sizes, their places in the
+   list and the bitmaps of their sets allow the similarity: the bits that differ between two parity
+   bitmaps are never more than the values that differ between the sets. Lists of more than ``SPLIT`` members are split by
+   salts, so none is one task's. No link between components is lost.
 
 Candidates are kept if the sketch of their union (its ``k`` smallest values, and how many of these both have) allows the
-similarity; then the full sets, made again from the texts, decide: ``100 * intersection >= percent * union``.
+similarity; then the full sets decide: ``100 * intersection >= percent * union``.
 
 Components spread the smallest doc_id over links by repeated joins, each round written to the shared folder.
 No step gathers links, components or sketches on the driver. Tables that the result does not read are removed.
@@ -44,13 +47,12 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import BLANKS, batches_of, files_for, holds, remove, task, utf8, written
 
 K = 64
-FINE = 512
 #: A table of ids is broadcast up to so many rows (16 bytes each); beyond it, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: The chance that a pair of the least similarity is not seen in the lists.
 LOSS = 1e-12
-#: Members of a list up to which its pairs are not held against those of other lists.
-SHORT = 32
+#: Members of a list that meet in one part of it.
+SPLIT = 512
 #: Documents that a file of any table stands for. Small tables in many partitions are put together to few files.
 FILE_DOCUMENTS = 100_000
 #: Bits of the bitmap of a whole set.
@@ -58,7 +60,7 @@ BITMAP = 1024
 #: Bytes of texts that are hashed at a time; a longer text is hashed in pieces cut at blanks.
 BATCH = 400_000
 DIGESTS = "doc_id long, n_shingles long, digest binary, sketch array<long>"
-FINE_SKETCHES = f"{DIGESTS}, bits array<long>"
+WHOLE_SETS = f"{DIGESTS}, bits array<long>"
 
 FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 SOLID = ~np.isin(np.arange(256), BLANKS)
@@ -154,7 +156,7 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def sketch_batches(batches: Iterator[pa.RecordBatch], words: int, k: int, bits: bool = False) -> Iterator[pa.RecordBatch]:
+def sketch_batches(batches: Iterator[pa.RecordBatch], words: int, k: int | None, bits: bool = False) -> Iterator[pa.RecordBatch]:
     holds("bottomk")
     for batch in (part for whole in batches for part in batches_of(whole, "text", BATCH)):
         sets = shingle_sets(*utf8(batch.column("text")), words)
@@ -177,21 +179,6 @@ def digest_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "digest"])
 
 
-def verify_batches(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those whose full sets are similar enough. Rows in a row share their first text."""
-    last, left = None, np.zeros(0, np.uint64)
-    for batch in (part for whole in batches for part in batches_of(whole, "text_b", BATCH)):
-        keep = []
-        rights = shingle_sets(*utf8(batch.column("text_b")), words)
-        for a, text, right in zip(batch.column("a").to_pylist(), batch.column("text_a"), rights):
-            if a != last:
-                column = pa.array([text.as_py()], pa.string())
-                last, left = a, shingle_sets(*utf8(column), words)[0]
-            shared = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(left) + len(right) - shared) and shared > 0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 class NearDuplicates:
     """One run over a table of documents.
 
@@ -225,21 +212,35 @@ class NearDuplicates:
         """A table for this run alone."""
         return written(rows.coalesce(self.files), name, self.paths)
 
-    def postings(self, classes: DataFrame, k: int) -> DataFrame:
-        """(value, rep, n, place): each class under the rarest values of its sketch that a similar one must share."""
+    def prefixes(self, classes: DataFrame, size: F.Column, longest: F.Column, shorter: F.Column) -> DataFrame:
+        """(value, rep, n, place, first): each class under the rarest values of its sketch that a similar one may share first.
+
+        ``longest`` is how many there are beside any partner, ``shorter`` how many beside larger ones (``first`` tells which these are).
+        """
         values = classes.select("rep", "n", F.explode("sketch").alias("value"))
         shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
         listed = values.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-        size = F.least(F.col("n"), F.lit(k))
-        least = F.greatest(F.lit(1), F.least(F.lit(least_shared(k, self.similarity)), F.ceil(F.col("n") * self.percent / 100 - 1e-9)))
         # the values that no other class has come first in the common order
         alone = size - F.size("values")
-        length = F.greatest(F.lit(0), size - least + 1 - alone).cast("int")
-        prefix = listed.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("values", 1, length)).alias("at", "v"))
-        prefix = self.write(prefix.select(F.col("v.value").alias("value"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "postings")
-        busy = prefix.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
+        cut = F.slice("values", 1, F.greatest(F.lit(0), longest - alone).cast("int"))
+        prefix = listed.select("rep", "n", alone.alias("alone"), shorter.alias("shorter"), F.posexplode(cut).alias("at", "v"))
+        place = F.col("alone") + F.col("at")
+        prefix = self.write(prefix.select(F.col("v.value").alias("value"), "rep", "n", place.alias("place"), (place < F.col("shorter")).alias("first")), "postings")
+        busy = prefix.groupBy("value").agg(F.count("*").alias("members"), F.max("first").alias("some")).filter("members > 1 AND some").select("value")
         return self.write(prefix.join(busy, "value", "left_semi"), "lists")
 
+    def screen(self) -> DataFrame:
+        """The classes that their sketches leave with a possible partner."""
+        size = F.least(F.col("n"), F.lit(self.k))
+        least = F.greatest(F.lit(1), F.least(F.lit(least_shared(self.k, self.similarity)), F.ceil(F.col("n") * self.percent / 100 - 1e-9)))
+        length = size - least + 1
+        return self.write(self.prefixes(self.classes, size, length, length).select("rep").distinct(), "survivors")
+
+    def lists(self, sets: DataFrame) -> DataFrame:
+        """The inverted lists of whole sets."""
+        n = F.col("n")
+        return self.prefixes(sets, n, n - F.ceil(n * self.percent / 100 - 1e-9) + 1, n - self.overlap(n, n) + 1)
+
     def texts(self, reps: DataFrame) -> DataFrame:
         """(rep, text): a text of each of some classes."""
         short = F.broadcast if reps.count() <= BROADCAST_ROWS else lambda ids: ids
@@ -251,20 +252,16 @@ class NearDuplicates:
         marked = met.mapInArrow(task(digest_batches, self.words), "doc_id long, text string, digest binary")
         return marked.join(members.withColumnRenamed("least", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "text")
 
-    def fine(self) -> DataFrame:
-        """The classes that small sketches leave with a possible partner, with sketches of FINE values and bitmaps."""
-        survivors = self.write(self.postings(self.classes, self.k).select("rep").distinct(), "survivors")
-        texts = self.texts(survivors).withColumnRenamed("rep", "doc_id")
-        again = texts.mapInArrow(task(sketch_batches, self.words, FINE, True), FINE_SKETCHES)
-        return self.write(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bits"), "fine")
+    def sets(self) -> DataFrame:
+        """The classes that pass the screen, with all their values (in the order of sketches) and bitmaps."""
+        texts = self.texts(self.screen()).withColumnRenamed("rep", "doc_id")
+        again = texts.mapInArrow(task(sketch_batches, self.words, None, True), WHOLE_SETS)
+        return self.write(again.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bits"), "sets")
 
     def possible(self, n_a: str, place_a: str, n_b: str, place_b: str):
         """Whether two sets whose first shared value has these places can be similar enough."""
-        k = F.lit(FINE)
         a, b = F.col(n_a), F.col(n_b)
-        least = F.when((a <= k) & (b <= k), self.overlap(a, b)).otherwise(F.lit(least_shared(FINE, self.similarity)))
-        left = F.least(F.least(a, k) - F.col(place_a), F.least(b, k) - F.col(place_b))
-        return self.sized(n_a, n_b) & (left >= least)
+        return self.sized(n_a, n_b) & (F.least(a - F.col(place_a), b - F.col(place_b)) >= self.overlap(a, b))
 
     def overlap(self, a: F.Column, b: F.Column) -> F.Column:
         """How many values similar sets of two sizes share at least."""
@@ -274,20 +271,19 @@ class NearDuplicates:
         """Whether two sizes allow the similarity."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those that the sketches of their unions and then the full sets confirm."""
-        sketches = self.classes.select("rep", "sketch")
+        sketches = sets.select("rep", F.slice("sketch", 1, self.k).alias("sketch"))
         with_a = pairs.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "s_a"}), "a")
         both = with_a.join(sketches.withColumnsRenamed({"rep": "b", "sketch": "s_b"}), "b")
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, self.k)
         shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         least = F.least(F.lit(least_shared(self.k, self.similarity)), F.ceil(F.size(union) * self.percent / 100 - 1e-9))
         likely = self.write(both.filter(shared >= least).select("a", "b"), "likely")
-        wanted = self.write(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "wanted")
-        texts = self.write(self.texts(wanted), "texts")
-        with_b = likely.join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b")
-        full = with_b.join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
-        return self.write(full.select("a", "b", "text_a", "text_b").mapInArrow(task(verify_batches, self.words, self.percent), "a long, b long"), "links")
+        whole = sets.select("rep", "sketch")
+        full = likely.join(whole.withColumnsRenamed({"rep": "a", "sketch": "s_a"}), "a").join(whole.withColumnsRenamed({"rep": "b", "sketch": "s_b"}), "b")
+        full = full.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
+        return self.write(full.filter((F.col("both") > 0) & (100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both")))).select("a", "b"), "links")
 
     def open_lists(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """The lists whose members are in more than one component, with the members' components."""
@@ -302,36 +298,29 @@ class NearDuplicates:
         joined = lists.join(centres, "value").filter((F.col("c.rep") != F.col("rep")) & (F.col("c.component") != F.col("component")) & self.possible("c.n", "c.place", "n", "place"))
         return joined.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
 
-    def rest(self, lists: DataFrame, fine: DataFrame) -> DataFrame:
+    def rest(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs of members of a list that are in different components and may be similar enough."""
-        sizes = lists.groupBy("value").agg((F.count("*") > SHORT).alias("long"))
-        sized = self.write(lists.join(sizes, "value"), "sized")
-        # a member's long lists in the common order, each with those before it: at most as many as the prefix is long
-        steps = sized.filter("long").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all"))
-        steps = steps.select("rep", F.posexplode("all").alias("at", "v"), F.transform("all", lambda x: x["value"]).alias("values"))
-        before = steps.select("rep", F.col("v.value").alias("value"), F.slice("values", F.lit(1), F.col("at")).alias("before"))
-        none = F.array().cast("array<long>")
-        whole = sized.join(before, ["rep", "value"], "left").join(fine.select("rep", "bits"), "rep").withColumn("before", F.coalesce("before", none))
-        whole = self.write(whole, "rest")
+        parts = lists.groupBy("value").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+        whole = self.write(lists.join(parts, "value").join(sets.select("rep", "bits"), "rep"), "rest")
         width = math.log(100 / self.percent) * (1 + 1e-9)
         step = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-        named = lambda x: {"rep": f"{x}", "n": f"n_{x}", "component": f"c_{x}", "place": f"p_{x}", "bits": f"bits_{x}", "before": f"before_{x}"}
-        left = whole.drop("long").withColumn("step", step).withColumnsRenamed(named("a"))
+        named = lambda x: {"rep": f"{x}", "n": f"n_{x}", "component": f"c_{x}", "place": f"p_{x}", "bits": f"bits_{x}"}
+        # the smaller set is in one part of a list, the larger one in all
+        left = whole.filter("first").drop("first").withColumn("step", step).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts").withColumnsRenamed(named("a"))
         # the larger of two similar sets is in the same step or the next one
-        right = whole.drop("long").withColumn("step", F.explode(F.array(step - 1, step))).withColumnsRenamed(named("b"))
+        right = whole.withColumn("step", F.explode(F.array(step - 1, step))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "first").withColumnsRenamed(named("b"))
         differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP // 64)), F.lit(0))
         fit = differ <= F.col("n_a") + F.col("n_b") - 2 * self.overlap(F.col("n_a"), F.col("n_b"))
-        first = ~F.arrays_overlap("before_a", "before_b")
         once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-        met = left.join(right, ["value", "step"]).filter(once & (F.col("c_a") != F.col("c_b")) & self.possible("n_a", "p_a", "n_b", "p_b") & fit & first)
+        met = left.join(right, ["value", "step", "part"]).filter(once & (F.col("c_a") != F.col("c_b")) & self.possible("n_a", "p_a", "n_b", "p_b") & fit)
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """(rep, component) of the classes that have links; a component is its smallest class number."""
         spark = self.docs.sparkSession
         labels = spark.createDataFrame([], "rep long, component long")
-        fine = self.fine()
-        lists = self.postings(fine, FINE)
+        sets = self.sets()
+        lists = self.lists(sets)
         links = self.shared_ids() if self.repeats else None
         if links is not None:
             labels = connected(links, self.files)
@@ -339,8 +328,8 @@ class NearDuplicates:
             open_ = self.open_lists(lists, labels)
             if open_.isEmpty():
                 break
-            pairs = self.rest(open_, fine) if round_ == 2 else self.star(open_, drawn=round_ == 1)
-            found = self.links(pairs)
+            pairs = self.rest(open_, sets) if round_ == 2 else self.star(open_, drawn=round_ == 1)
+            found = self.links(pairs, sets)
             links = found if links is None else links.union(found)
             labels = connected(links, self.files)
             lists = open_.drop("component")
