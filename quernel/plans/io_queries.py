@@ -11,7 +11,7 @@ from quernel.operators import trajectory
 from quernel.plans.annotation_queries import annotated
 from quernel.plans.queries import AF, FR, arm_frames, query, read
 from quernel.session import scratch
-from quernel.sources import readers, sinks
+from quernel.sources import formats, readers, sinks
 
 # ---- Layouts
 
@@ -24,6 +24,27 @@ def json_lines(spark, sf_dir):
     return readers.lines(spark, path, "conv_id long, turn long, role string, text string")
 
 
+@query("SELECT s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier")
+def sheet_rows(spark, sf_dir):
+    """Suppliers as a spreadsheet for each nation, written by tasks, and all sheets back."""
+    folder = scratch(spark, "sheets")
+    rows = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
+    sinks.write_spreadsheets(rows.withColumn("nation", F.col("s_nationkey")), "nation", folder, "s_suppkey")
+    return formats.register(spark).read.format("quernel_sheet").schema("s_suppkey long, s_name string, s_acctbal double, s_nationkey long").load(folder)
+
+
+@query("""WITH p AS (SELECT page_id // 64 AS ep, html, row_number() OVER (PARTITION BY page_id // 64 ORDER BY page_id) - 1 AS frame_index FROM pages)
+SELECT ep, frame_index, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS frame_sha256 FROM p WHERE frame_index >= 16 OR frame_index = 3""")
+def stored_frames(spark, sf_dir):
+    """Pages as the frames of HDF5 files, 64 a file, in chunks; frames from 16 on and number 3 are read back by ranged reads."""
+    folder = scratch(spark, "frames")
+    pages = read(spark, sf_dir, "pages").select((F.col("page_id") - F.pmod("page_id", F.lit(64))).alias("first"), "page_id", F.col("html").cast("binary").alias("html"))
+    sinks.write_frame_files(pages.withColumn("ep", (F.col("first") / 64).cast("long")), "ep", "page_id", "html", folder, chunk=8, deflate=True)
+    asked = formats.frames(spark, folder, "frame_index >= 16", splitBytes=str(1 << 20)).unionByName(formats.frames(spark, folder, "frame_index = 3"))
+    ep = F.regexp_extract("path", r"([0-9]+)\.hdf5$", 1).cast("long")
+    return asked.select(ep.alias("ep"), "frame_index", F.octet_length("frame").cast("long").alias("n_bytes"), F.sha2("frame", 256).alias("frame_sha256"))
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
 def json_document(spark, sf_dir):
     """Customers as one JSON array and back."""

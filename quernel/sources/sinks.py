@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zipfile
+import zlib
+from collections.abc import Callable, Iterable
 from itertools import chain
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +66,20 @@ def unwritten(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_spreadsheet(rows: DataFrame, path: str, sheet: str = "results", most: int = 1_000_000) -> None:
-    """A small result as XLSX with inline strings, on the driver, row by row; refused beyond what a sheet can hold."""
-    if rows.count() > most:
-        raise ValueError("too many rows for a sheet")
+#: What a sheet can hold, with its head.
+SHEET_ROWS = 1_048_576
+
+
+def spreadsheet(out, columns: list[str], rows: Iterable[Iterable], sheet: str = "results") -> None:
+    """Write an XLSX with inline strings to a stream, row by row."""
 
     def cell(value) -> str:
         if value is None:
             return "<c/>"
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return f"<c><v>{value}</v></c>"
+        if isinstance(value, bool):
+            return f'<c t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, (int, float)):
+            return f"<c><v>{value!r}</v></c>"
         text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, default=str)
         clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
@@ -80,18 +89,74 @@ def write_spreadsheet(rows: DataFrame, path: str, sheet: str = "results", most:
     packages = "http://schemas.openxmlformats.org/package/2006"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        out.writestr("[Content_Types].xml", f'{head}<Types xmlns="{packages}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>')
-        out.writestr("_rels/.rels", f'{head}<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        out.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        out.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        with out.open("xl/worksheets/sheet1.xml", "w") as part:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{packages}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>')
+        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        with book.open("xl/worksheets/sheet1.xml", "w") as part:
             part.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-            for line in chain([rows.columns], ([r[c] for c in rows.columns] for r in rows.toLocalIterator())):
+            for line in chain([columns], rows):
                 part.write(f'<row>{"".join(map(cell, line))}</row>'.encode())
             part.write(b"</sheetData></worksheet>")
 
 
+def write_spreadsheet(rows: DataFrame, path: str, sheet: str = "results", most: int = SHEET_ROWS - 1) -> None:
+    """A small result as one XLSX, on the driver, row by row; refused beyond what a sheet can hold."""
+    if rows.count() > most:
+        raise ValueError("too many rows for a sheet")
+    spreadsheet(path, rows.columns, ([r[c] for c in rows.columns] for r in rows.toLocalIterator()), sheet)
+
+
+def put_file(folder: str, name: str, write: Callable) -> str:
+    """A file in a folder that all machines see: written beside its name and moved there, so that a task that is done again does no harm."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    beside = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(beside) as out:
+        write(out)
+    store.move(beside, f"{base}/{name}")
+    return f"{folder}/{name}"
+
+
+def file_for_each(rows: DataFrame, by: str, folder: str, ending: str, write: Callable) -> DataFrame:
+    """A file for each value of a column, written where its rows are: (group, path, n), written at once. A value's rows are one task's, so they must fit in it."""
+
+    def one(table: pa.Table) -> pa.Table:
+        group = str(table.column(by)[0].as_py())
+        plain = re.sub(r"[^A-Za-z0-9_.-]", "_", group)[:100]
+        name = plain if plain == group else f"{plain}-{zlib.crc32(group.encode()):08x}"
+        path = put_file(folder, f"{name}.{ending}", lambda out: write(out, group, table))
+        return pa.table({"group": [group], "path": [path], "n": pa.array([len(table)], pa.int64())})
+
+    rows.groupBy(by).applyInArrow(one, "group string, path string, n long").write.parquet(f"{folder}/_written")
+    return rows.sparkSession.read.parquet(f"{folder}/_written")
+
+
+def write_spreadsheets(rows: DataFrame, by: str, folder: str, order: str | None = None) -> DataFrame:
+    """A sheet for each value of a column, named by it, with the other columns."""
+
+    def write(out, group: str, table: pa.Table) -> None:
+        if len(table) >= SHEET_ROWS:
+            raise ValueError("too many rows for a sheet")
+        table = (table.sort_by(order) if order else table).drop_columns([by])
+        spreadsheet(out, table.column_names, (row for batch in table.to_batches(5000) for row in zip(*(c.to_pylist() for c in batch.columns))), group)
+
+    return file_for_each(rows, by, folder, "xlsx", write)
+
+
+def write_frame_files(rows: DataFrame, by: str, order: str, frame: str, folder: str, chunk: int = 16, deflate: bool = False) -> DataFrame:
+    """An HDF5 file of frames for each value of a column, the frames in the order of another one."""
+
+    def write(out, group: str, table: pa.Table) -> None:
+        from quernel.sources import hdf5
+
+        frames = table.sort_by(order).column(frame).to_pylist()
+        out.write(hdf5.write([x if isinstance(x, bytes) else (x or "").encode() for x in frames], chunk, deflate))
+
+    return file_for_each(rows.select(by, order, frame), by, folder, "hdf5", write)
+
+
 def write_detections(rows: DataFrame, path: str) -> None:
     """Detection results as JSON lines, a box a line, in parallel; ``document`` makes one array of a small result."""
     rows.select(F.to_json(F.struct("image_id", "bbox", "score", "category_id")).alias("value")).write.text(path)
