@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import arrays, jsonx, prompts
 from quernel.functions import geometry as G
+from quernel.functions import images as I
 from quernel.operators import benchmarks as B
 from quernel.operators import trajectory
 from quernel.plans.annotation_queries import annotated
@@ -45,6 +46,19 @@ def stored_frames(spark, sf_dir):
     return asked.select(ep.alias("ep"), "frame_index", F.octet_length("frame").cast("long").alias("n_bytes"), F.sha2("frame", 256).alias("frame_sha256"))
 
 
+@query("""WITH p AS (SELECT page_id, encode(html) AS b, octet_length(encode(html)) AS n FROM pages), s AS (SELECT *, (n + 95) // 96 AS height FROM p),
+r AS (SELECT *, greatest(28, CAST(round_even(CAST(height AS DOUBLE) / 28, 0) * 28 AS BIGINT)) AS rh FROM s)
+SELECT page_id, CAST(height AS INT) AS height, 32 AS width, sha256(b) AS pixels_sha256, CAST(CASE WHEN rh * 28 > 50176 THEN greatest(28, floor(height / sqrt(height * 32 / 50176) / 28) * 28) WHEN rh * 28 < 3136 THEN ceil(height * sqrt(3136 / (height * 32)) / 28) * 28 ELSE rh END
+ * CASE WHEN rh * 28 > 50176 THEN greatest(28, floor(32 / sqrt(height * 32 / 50176) / 28) * 28) WHEN rh * 28 < 3136 THEN ceil(32 * sqrt(3136 / (height * 32)) / 28) * 28 ELSE 28 END * 3 AS BIGINT) AS input_bytes FROM r""")
+def decoded_images(spark, sf_dir):
+    """Pages as the pixels of PNG files, decoded again, and resampled to what a model takes."""
+    data = F.col("html").cast("binary")
+    size = F.ceil(F.octet_length("html") / 96).cast("int")
+    files = read(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("n"), I.written_png(size, F.lit(32), data).alias("file"))
+    pixels = files.select("page_id", "n", I.rgb(F.col("file")).alias("p"), I.model_input(F.col("file"), 28, 3136, 50176).alias("m"))
+    return pixels.select("page_id", "p.height", "p.width", F.sha2(F.substring("p.rgb", F.lit(1), F.col("n")), 256).alias("pixels_sha256"), F.octet_length("m.rgb").cast("long").alias("input_bytes"))
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
 def json_document(spark, sf_dir):
     """Customers as one JSON array and back."""
