@@ -11,9 +11,9 @@ from quernel.functions import media as M
 from quernel.functions import names as N
 from quernel.functions import text as T
 from quernel.operators import evaluation as E
-from quernel.operators import prep, quality, sampling, samples, spans, trajectory
+from quernel.operators import batching, prep, quality, sampling, samples, spans, trajectory
 from quernel.operators import series as W
-from quernel.plans.queries import FI, FR, JU, PR, arm_frames, arm_spans, bleu_sql, edits_sql, judged, query, read, trajectories
+from quernel.plans.queries import FI, FR, JU, PR, WC, arm_frames, arm_spans, bleu_sql, edits_sql, judged, query, read, token_lengths, trajectories
 from quernel.plans.queries import spans as filled_spans
 
 # ---- Goals
@@ -259,6 +259,33 @@ def answer_labels(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("ids").alias("n"), F.size(F.filter(labels, lambda x: x != prep.IGNORED)).alias("n_labelled"))
 
 
+@query(f"""WITH w AS (SELECT conv_id, 21 + sum({WC})::BIGINT AS n_tokens FROM conversations GROUP BY conv_id) SELECT conv_id, n_tokens, true AS fits, true AS near_the_bound FROM w""")
+def pack_patterns(spark, sf_dir):
+    """All conversations in bins of 2048 tokens, by patterns of lengths: each once, no bin too full, and at most 1 % more bins than the sum of tokens needs (and one)."""
+    lengths = token_lengths(spark, sf_dir).select("conv_id", "n_tokens")
+    bins = batching.packed_by_patterns(lengths, "conv_id", "n_tokens", 2048)
+    filled = bins.groupBy("bin").agg(F.sum("n_tokens").alias("filled"), F.count("*").alias("n"))
+    least, made = filled.agg(F.ceil(F.sum(F.least(F.col("filled"), F.lit(2048))) / 2048), F.count("*")).first()
+    return bins.join(filled, "bin").select("conv_id", "n_tokens", ((F.col("filled") <= 2048) | (F.col("n") == 1)).alias("fits"), F.lit(made <= (least or 0) * 1.01 + 1).alias("near_the_bound"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, list_transform(list_filter(regexp_split_to_array(string_agg(text, ' ' ORDER BY turn), '[ \t\n\r\f\v]+'), lambda w: w <> ''), lambda w: length(w)) AS ids FROM conversations GROUP BY conv_id),
+n AS (SELECT conv_id, ids[1:300] AS ids, CAST(greatest(floor(pow(2.0, ceil(log2(greatest(len(ids[1:300]), 1)) * 4 - 1e-9) / 4) + 1e-9), 1) AS BIGINT) AS top FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY conv_id) - 1 AS rank FROM n), b AS (SELECT *, rank // greatest(1, 4096 // top) AS batch_at FROM r)
+SELECT top AS batch_top, batch_at, CAST(max(len(ids)) AS INT) AS width, CAST(count(*) AS INT) AS n_rows, array_to_string(list(conv_id ORDER BY conv_id), ',') AS members, CAST(sum(len(ids)) AS BIGINT) AS n_real,
+CAST(sum(list_sum(ids)) AS BIGINT) AS id_sum, array_to_string(list(coalesce(len(ids) - nullif(list_position(list_reverse(ids), 3), 0), -1) ORDER BY conv_id), ',') AS places FROM b GROUP BY top, batch_at""")
+def collated_batches(spark, sf_dir):
+    """Conversations as batches of at most 4096 tokens with filling; a word's length is its id, 0 fills, and 3 is a query."""
+    told = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("told"))
+    ids = F.transform(T.tokens(F.array_join("told", " ")), lambda w: F.length(w))
+    count = F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = told.select("conv_id", ids.alias("ids")).select("conv_id", "ids", F.col("ids").alias("labels"), F.array(count, count, count).alias("positions"))
+    batches = batching.collated(rows, "conv_id", 4096, 0, 300, {"answer": 3})
+    total = lambda column: F.aggregate(F.flatten(column), F.lit(0).cast("long"), lambda a, x: a + x)
+    real = F.size(F.filter(F.flatten("attention_mask"), lambda x: x)).cast("long")
+    return batches.select("batch_top", "batch_at", "width", F.size("keys").alias("n_rows"), F.array_join("keys", ",").alias("members"), real.alias("n_real"), total("input_ids").alias("id_sum"), F.array_join("answer_place", ",").alias("places"))
+
+
 ITEMS = """it AS (SELECT conv_id, replace(replace(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), 'la', '<image>'), 'der', '<video>') AS asked, replace(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), 'und', '<image>') AS answered, count(*) AS n FROM conversations GROUP BY conv_id),
 ct AS (SELECT conv_id, (length(coalesce(asked, '')) - length(replace(coalesce(asked, ''), '<image>', ''))) // 7 AS im, (length(coalesce(asked, '')) - length(replace(coalesce(asked, ''), '<video>', ''))) // 7 AS vm, n % 4 AS ni, n % 2 AS nv, contains(coalesce(answered, ''), '<image>') OR contains(coalesce(answered, ''), '<video>') AS stray FROM it)"""
 
