@@ -12,7 +12,11 @@ left out (documents are drawn by a hash of the id). Of a text of more than ``PAS
 drawn, at a hashed place. Sequences of up to ``LENGTH`` words are cut from
 the texts, so that every word of them is in one, and half of them are put together from stretches in different
 languages, so that switches have been seen. Texts of a few words (or of one) are
-short sequences; a table of nothing else is trained on as any other. The weights climb the likelihood by adaptive gradient steps.
+short sequences; a table of nothing else is trained on as any other. The weights climb the likelihood by adaptive gradient steps, which touch the weights of
+what a step has seen alone.
+
+More than ``FANOUT`` languages are a tree: a chain over groups of languages (neighbours by name) decides for a group, and the group's own chain, with tables that
+are the smaller the more languages there are, for the language. So memory and time are bounded, however many values the column has, and each of them can be predicted.
 
 Prediction works on whole texts of any length and reads nothing but the text. Words run in blocks of ``BLOCK`` side by side: the
 product of a block's steps carries messages over it. A text longer than a slice is scored slice by slice, with the messages carried from
@@ -47,6 +51,10 @@ WORD_BYTES = 64
 BLOCK = 128
 FEW = 16
 SLOTS = 1 << 16
+#: Languages of a chain; more are a tree of so many groups a node (a chain costs the square of its labels). Slots of a chain below the root, at least.
+FANOUT = 64
+WAYS = 24
+FEWEST_SLOTS = 1 << 10
 SIZES = (2, 3, 4)
 LEAST_SEEN = 3
 EPOCHS = 4
@@ -114,7 +122,7 @@ class Words:
     def __len__(self) -> int:
         return len(self.sizes)
 
-    def grams(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def grams(self, room: int = SLOTS) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each n: the hashed n-gram that begins at each place, and whether it lies within one word and its edges."""
         count = int(self.heads[-1] + self.sizes[-1] + 1) if len(self) else 0
         codes = ODD[self.line]
@@ -131,7 +139,7 @@ class Words:
             if n == 2:
                 ok = inner[:count] | inner[1 : count + 1]
             h >>= np.uint64(40)
-            slots.append(h.astype(np.int32) & np.int32(SLOTS - 1))
+            slots.append(h.astype(np.int32) & np.int32(room - 1))
             valid.append(ok)
         return slots, valid
 
@@ -147,10 +155,11 @@ class Words:
 
 
 class Model:
-    """The weights: n-grams (one table for each n, a row a slot), lexicon, starts and transitions."""
+    """The weights: n-grams (one table for each n, a row a slot), lexicon, starts and transitions. In a tree, ``children`` has the models of labels that are groups."""
 
-    def __init__(self, labels: list[str], grams: np.ndarray, lexicon: np.ndarray, entries: np.ndarray, moves: np.ndarray):
-        self.labels, self.grams, self.lexicon, self.entries, self.moves = labels, grams, lexicon, entries, moves
+    def __init__(self, labels: list[str], grams: np.ndarray, lexicon: np.ndarray, entries: np.ndarray, moves: np.ndarray, children: dict[int, Model] | None = None):
+        self.labels, self.grams, self.lexicon, self.entries, self.moves, self.children = labels, grams, lexicon, entries, moves, children or {}
+        self.room = grams.shape[1] - 1
 
     def entry(self, keys: np.ndarray) -> np.ndarray:
         """The place of each word in the lexicon; the last place is for words that are not there."""
@@ -161,21 +170,22 @@ class Model:
         """Each word's score for each label."""
         if not len(words):
             return np.zeros((0, len(self.labels)), np.float32)
-        slots, valid = words.grams()
+        slots, valid = words.grams(self.room)
         total = self.entries[self.entry(words.keys())]
         for table, slot, ok in zip(self.grams, slots, valid):
-            total += np.add.reduceat(table[np.where(ok, slot, SLOTS)], words.heads, axis=0)
+            total += np.add.reduceat(table[np.where(ok, slot, self.room)], words.heads, axis=0)
         return total
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, labels=np.array(self.labels), grams=self.grams, lexicon=self.lexicon, entries=self.entries, moves=self.moves)
+        np.savez(out, labels=np.array(self.labels), grams=self.grams, lexicon=self.lexicon, entries=self.entries, moves=self.moves, **{f"child{k}": np.frombuffer(m.dump(), np.uint8) for k, m in self.children.items()})
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Model:
         with np.load(io.BytesIO(data)) as x:
-            return cls(x["labels"].tolist(), x["grams"], x["lexicon"], x["entries"], x["moves"])
+            children = {int(name[5:]): cls.load(x[name].tobytes()) for name in x.files if name.startswith("child")}
+            return cls(x["labels"].tolist(), x["grams"], x["lexicon"], x["entries"], x["moves"], children)
 
 
 def shifted(scores: np.ndarray) -> np.ndarray:
@@ -352,23 +362,59 @@ def climb(weights: np.ndarray, square: np.ndarray, step: np.ndarray) -> None:
     weights += (RATE * step / np.sqrt(square)).astype(weights.dtype)
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
+class Touched:
+    """The rows of a table of weights that a step has seen: the others gain nothing."""
+
+    def __init__(self, table: np.ndarray, square: np.ndarray, slot: np.ndarray):
+        self.table, self.square = table, square
+        there = np.bincount(slot, minlength=len(table)) > 0
+        self.rows = np.flatnonzero(there)
+        self.place = (np.cumsum(there) - 1)[slot]
+        self.weights, self.squares = np.asfortranarray(table[self.rows]), np.asfortranarray(square[self.rows])
+
+    def climb(self, label: int, gains: np.ndarray) -> None:
+        """A step of one label's weights by the gains of all occurrences."""
+        climb(self.weights[:, label], self.squares[:, label], np.bincount(self.place, weights=gains, minlength=len(self.rows)))
+
+    def back(self) -> None:
+        self.table[self.rows], self.square[self.rows] = self.weights, self.squares
+
+
+def fit(texts: list[str], langs: list[str], seed: int = 1, room: int | None = None) -> Model:
     """Learn a model from texts, each in one language."""
+    labels = sorted(set(langs))
+    if len(labels) <= FANOUT:
+        return fit_chain(texts, langs, seed, room or SLOTS)
+    top = room or SLOTS
+    room = room or max(FEWEST_SLOTS, 1 << (SLOTS * FANOUT // len(labels)).bit_length() - 1)
+    groups = [list(x) for x in np.array_split(np.array(labels, dtype=object), WAYS)]
+    of = {lang: k for k, group in enumerate(groups) for lang in group}
+    names = [f"{group[0]}\0{k:06d}" for k, group in enumerate(groups)]  # in the order of the groups
+    root = fit_chain(texts, [names[of[x]] for x in langs], seed, top)
+    for k in range(len(groups)):
+        own = [j for j, x in enumerate(langs) if of[x] == k]
+        root.children[k] = fit([texts[j] for j in own], [langs[j] for j in own], seed, room)
+    return root
+
+
+def fit_chain(texts: list[str], langs: list[str], seed: int, room: int) -> Model:
+    """Learn one chain."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
+    number = {x: k for k, x in enumerate(labels)}
     raw, ends = utf8(pa.array(texts, pa.string()))
     words = Words(raw, ends)
-    of_text = np.array([labels.index(x) for x in langs], np.int64)
+    of_text = np.array([number[x] for x in langs], np.int64)
     gold = np.repeat(of_text, np.diff(words.cuts))
     keys = words.keys()
     seen, counts = np.unique(keys, return_counts=True)
     lexicon = seen[counts >= LEAST_SEEN]
-    model = Model(labels, np.zeros((len(SIZES), SLOTS + 1, len(labels)), np.float32), lexicon, np.zeros((len(lexicon) + 1, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
+    model = Model(labels, np.zeros((len(SIZES), room + 1, len(labels)), np.float32), lexicon, np.zeros((len(lexicon) + 1, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
     if not len(words):
         return model
     entry = model.entry(keys)
-    slots, valid = words.grams()
-    slots = [np.where(ok, s, np.int32(SLOTS)) for s, ok in zip(slots, valid)]
+    slots, valid = words.grams(room)
+    slots = [np.where(ok, s, np.int32(room)) for s, ok in zip(slots, valid)]
     spans = np.append(words.heads, len(slots[0]))
     squares = [np.full_like(model.grams, 1e-2), np.full_like(model.entries, 1e-2), np.full_like(model.moves, 1.0)]
     for _ in range(EPOCHS):
@@ -385,14 +431,18 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
             padded[live] = scores
             gain, move = chain_gradient(padded, gold[part], live, model.moves)
             gain = gain[live]
+            tables = [Touched(table, square, slot) for table, square, slot in zip(model.grams, squares[0], own)]
+            words_seen = Touched(model.entries, squares[1], entry[flat])
             # label by label: what is held besides the model does not grow with the labels
             for k in range(len(labels)):
                 spread = np.repeat(gain[:, k], sizes)
-                for table, square, slot in zip(model.grams, squares[0], own):
-                    climb(table[:, k], square[:, k], np.bincount(slot, weights=spread, minlength=SLOTS + 1))
-                climb(model.entries[:, k], squares[1][:, k], np.bincount(entry[flat], weights=gain[:, k], minlength=len(model.entries)))
+                for touched in tables:
+                    touched.climb(k, spread)
+                words_seen.climb(k, gain[:, k])
+            for touched in (*tables, words_seen):
+                touched.back()
             climb(model.moves, squares[2], move)
-            model.grams[:, SLOTS] = 0
+            model.grams[:, room] = 0
     model.entries[-1] = 0
     return model
 
@@ -508,7 +558,14 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         some[k] = any(map(str.isalpha, column[k].as_py()))
     best = sums.argmax(1)
     scores = np.where(some, np.clip(sums[np.arange(len(best)), best] / np.maximum(counts, 1), 0, 1), 0.0)
-    return [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())], scores
+    names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())]
+    for child in np.unique(best[some]).tolist() if model.children else []:
+        rows = np.flatnonzero(some & (best == child))
+        found, shares = predict(model.children[child], column.take(pa.array(rows)))
+        scores[rows] *= shares
+        for k, name in zip(rows.tolist(), found):
+            names[k] = name
+    return names, scores
 
 
 def predict_batches(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -535,6 +592,10 @@ def label_words(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     marginals = sums_of_marginals(model.scores(words), words.cuts, model.moves, each=True)
     points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
     best = marginals.argmax(1)
+    if model.children:
+        # each word is labelled by the chain of its group, which runs over the whole text
+        below = {k: label_words(model.children[k], text) for k in np.unique(best).tolist()}
+        return [(*below[k][at][:3], below[k][at][3] * float(m[k])) for at, (k, m) in enumerate(zip(best.tolist(), marginals))]
     return [(int(points[a]), int(points[b]), model.labels[k], float(m[k])) for a, b, k, m in zip(words.begins, words.stops, best, marginals)]
 
 

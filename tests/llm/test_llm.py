@@ -817,3 +817,55 @@ def test_against_sql(spark, duck, name):
     assert sorted(got.columns) == columns
     as_rows = lambda df: sorted(tuple("null" if v is None or v is pd.NA or v != v else str(float(v)) if isinstance(v, (int, float, np.number)) else str(v) for v in row) for row in df[columns].itertuples(index=False))
     assert as_rows(got) == as_rows(want)
+
+
+def letters_of(label, words, seed):
+    """A text of a language that has six letters of its own."""
+    own = random.Random(label).sample("abcdefghijklmnopqrstuvwxyz", 6)
+    rng = random.Random(f"{label}-{seed}")
+    return " ".join("".join(rng.choices(own, k=rng.randint(3, 8))) for _ in range(words))
+
+
+def test_many_languages_are_a_tree(monkeypatch):
+    labels = [f"l{k:03d}" for k in range(100)]
+    texts = [letters_of(x, 60, j) for x in labels for j in range(2)]
+    model = langcrf.fit(texts, [x for x in labels for _ in range(2)])
+    assert len(model.labels) == langcrf.WAYS and sum(len(m.labels) for m in model.children.values()) == 100
+    again = langcrf.Model.load(model.dump())
+    held = pa.array([letters_of(x, 60, 9) for x in labels] + ["12 34", None])
+    found, scores = langcrf.predict(again, held)
+    assert np.mean([a == b for a, b in zip(found, labels)]) > 0.9 and found[-2:] == ["und", "und"] and ((scores >= 0) & (scores <= 1)).all()
+    assert all(name in labels for _, _, name, _ in langcrf.label_words(again, letters_of("l007", 30, 3)))
+    # deeper trees of the same labels
+    monkeypatch.setattr(langcrf, "FANOUT", 8)
+    monkeypatch.setattr(langcrf, "WAYS", 4)
+    deep = langcrf.fit(texts, [x for x in labels for _ in range(2)])
+    assert any(m.children for m in deep.children.values())
+    found, _ = langcrf.predict(deep, held)
+    assert np.mean([a == b for a, b in zip(found, labels)]) > 0.8
+
+
+def test_a_step_changes_what_it_has_seen_as_a_whole_step_would():
+    rng = np.random.default_rng(2)
+    table, square = rng.normal(size=(50, 3)).astype(np.float32), np.full((50, 3), 1e-2, np.float32)
+    whole, squares = table.copy(), square.copy()
+    slot, gains = rng.integers(0, 30, 200), rng.normal(size=(200, 3))
+    touched = langcrf.Touched(table, square, slot)
+    for k in range(3):
+        touched.climb(k, gains[:, k])
+        langcrf.climb(whole[:, k], squares[:, k], np.bincount(slot, weights=gains[:, k], minlength=50))
+    touched.back()
+    assert (table == whole).all() and (square == squares).all()
+
+
+def test_a_column_of_junk_languages_trains_in_bounds():
+    import tracemalloc
+
+    labels = [f"junk{k}" for k in range(600)]
+    texts = [letters_of(x, 12, 0) for x in labels]
+    tracemalloc.start()
+    model = langcrf.fit(texts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400_000_000 and len(model.dump()) < 150_000_000
+    assert set(langcrf.predict(model, pa.array(texts))[0]) <= set(labels)
