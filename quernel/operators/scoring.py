@@ -57,7 +57,8 @@ def average_precision(detections: DataFrame, truths: DataFrame, thresholds: tupl
 
     ``detections``: image, category, box, score; ``truths``: image, category, box. Boxes are matched greedily in order of the
     score (then the box) within each image and category, which are small; the curve of a category is built from running sums
-    by score. Equal scores are taken in the order of image and box. A truth outside an area is not looked for there: a
+    by score, in two phases: detections are ranged over parts in that order, each part counts, and what the parts before it count is added. So
+    a category of any size, even one whose scores are all equal, is as many tasks as it needs. Equal scores are taken in the order of image and box. A truth outside an area is not looked for there: a
     detection takes it only if no other truth will do, and then counts neither way, nor does an unmatched detection of
     another area. A category without truths in an area has no AP there. All detections of an image are scored.
     """
@@ -70,9 +71,11 @@ def average_precision(detections: DataFrame, truths: DataFrame, thresholds: tupl
     both = pairs.join(truth, ["image", "category"], "left").select("image", "category", "found", F.coalesce("truth", F.array().cast("array<array<double>>")).alias("truth"))
     marked = both.mapInPandas(lambda frames: _matched(frames, thresholds, list(areas.values())), schema)
     # one window for all areas and thresholds: a detection's entries are true, false, or null where it does not count
-    upto = Window.partitionBy("category").orderBy(F.desc("score"), "image", "box", "place").rowsBetween(Window.unboundedPreceding, 0)
-    sums = [F.struct(F.lit(name).alias("area"), F.lit(t).alias("threshold"), F.col("hits")[k].alias("hit"), F.count_if(F.col("hits")[k]).over(upto).alias("tp"), F.count(F.col("hits")[k]).over(upto).alias("rank")) for k, (name, t) in enumerate(kinds)]
-    curve = marked.select("category", F.array(*sums).alias("k")).select("category", F.explode(F.filter("k", lambda x: x["hit"])).alias("k")).select("category", "k.*")
+    ranged, before = _in_parts(marked, len(kinds))
+    upto = Window.partitionBy("part", "category").orderBy(F.desc("score"), "image", "box", "place").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda count, name, k: (count(F.col("hits")[k]).over(upto) + F.col(name)[k]).alias(name)
+    sums = [F.struct(F.lit(name).alias("area"), F.lit(t).alias("threshold"), F.col("hits")[k].alias("hit"), so_far(F.count_if, "tp", k), so_far(F.count, "rank", k)) for k, (name, t) in enumerate(kinds)]
+    curve = ranged.join(before, ["part", "category"]).select("category", F.array(*sums).alias("k")).select("category", F.explode(F.filter("k", lambda x: x["hit"])).alias("k")).select("category", "k.*")
     size = _area(F.col("box"))
     within = F.filter(F.array(*(F.when(size.between(*ends), F.lit(name)) for name, ends in areas.items())), lambda x: x.isNotNull())
     totals = truths.select("category", F.explode(within).alias("area")).groupBy("category", "area").agg(F.count("*").alias("n"))
@@ -87,6 +90,22 @@ def average_precision(detections: DataFrame, truths: DataFrame, thresholds: tupl
     return at.groupBy("category", "area", "threshold").agg(F.round(F.sum("precision") / 101, 6).alias("ap"))
 
 
+def _in_parts(marked: DataFrame, kinds: int) -> tuple[DataFrame, DataFrame]:
+    """Detections in parts by category and order, and what the parts before count of each category: (part, category, tp, rank), a number for each kind."""
+    from pyspark.sql import Window
+
+    from quernel.session import scratch
+
+    spark = marked.sparkSession
+    path = scratch(spark, "detections")
+    marked.repartitionByRange(F.col("category"), F.desc("score"), F.col("image"), F.col("box"), F.col("place")).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    counted = ranged.groupBy("part", "category").agg(*(F.count_if(F.col("hits")[k]).alias(f"t{k}") for k in range(kinds)), *(F.count(F.col("hits")[k]).alias(f"r{k}") for k in range(kinds)))
+    earlier = Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda name: F.array(*(F.coalesce(F.sum(f"{name}{k}").over(earlier), F.lit(0)) for k in range(kinds)))
+    return ranged, counted.select("part", "category", total("t").alias("tp"), total("r").alias("rank"))
+
+
 def mean_precision(rows: DataFrame) -> DataFrame:
     """AP with its means by area: a null threshold is the mean over thresholds, a null category over categories."""
     sets = [["area", "category", "threshold"], ["area", "category"], ["area", "threshold"], ["area"]]

@@ -146,3 +146,21 @@ def test_detection_ap_scores_all_lines(spark, monkeypatch):
     queries.detection_ap(spark, str(DATA))
     lines = queries.read(spark, str(DATA), "lineitem").count()
     assert given["found"].count() == given["truths"].count() == lines
+
+
+def test_average_precision_of_a_category_in_many_parts(spark):
+    rng = np.random.default_rng(5)
+    boxes = [[float(x), float(y), float(x + w), float(y + h)] for x, y, w, h in rng.integers(1, 60, (400, 4))]
+    truths = spark.createDataFrame([(k % 50, 1, b) for k, b in enumerate(boxes[:200])], "image long, category long, box array<double>")
+    # most scores are equal
+    found = spark.createDataFrame([(k % 50, 1, [x + k % 3 for x in b], 1.0 if k % 4 else k / 400) for k, b in enumerate(boxes)], "image long, category long, box array<double>, score double")
+    results = []
+    for parts in ("1", "9"):
+        kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        marked = scoring.average_precision(found, truths)
+        results.append(sorted((r.area, r.threshold, r.ap) for r in marked.collect()))
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] and any(ap > 0 for *_, ap in results[0])
