@@ -149,13 +149,13 @@ def issue_report(spark, sf_dir):
     return E.issue_report(read(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), F.col("user_id").cast("string").alias("repo")))
 
 
-@query("""WITH x AS (SELECT vec_id, list_transform(embedding[1:6], lambda v: greatest(-2, least(1, floor(v * 8 + 0.5)))::INT) AS c FROM embeddings)
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(-2, least(1, floor(v * 8 + 0.5)))::INT) AS c FROM embeddings)
 SELECT vec_id, len(c) AS total, len(list_filter(c, lambda v: v = 1)) AS passed, len(list_filter(c, lambda v: v = 0)) AS failed, len(list_filter(c, lambda v: v = -1)) AS errors, len(list_filter(c, lambda v: v = -2)) AS timeouts,
-len(list_filter(c, lambda v: v = 1)) / 6 AS accuracy, len(list_filter(c, lambda v: v = 1)) = 6 AS all_passed FROM x""")
+len(list_filter(c, lambda v: v = 1)) / len(c) AS accuracy, len(list_filter(c, lambda v: v = 1)) = len(c) AS all_passed FROM x""")
 def tested_programs(spark, sf_dir):
     """Tallies of tests by their codes."""
     code = lambda v: F.greatest(F.lit(-2), F.least(F.lit(1), F.floor(v * 8 + 0.5))).cast("int")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 6), code).alias("codes"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", code).alias("codes"))
     return E.tested(rows)
 
 

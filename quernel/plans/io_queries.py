@@ -143,10 +143,10 @@ def sampling_rates(spark, sf_dir):
     return readers.sampling(rows.select(asked.alias("name")), rows.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("entry")))
 
 
-@query("SELECT page_id, octet_length(encode(left(html, 300))) AS n FROM pages")
+@query("SELECT page_id, octet_length(encode(html)) AS n FROM pages")
 def image_dump(spark, sf_dir):
-    """The first part of each page in base64, written as files from the tasks, and read back."""
-    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("index"), F.base64(F.encode(F.left("html", F.lit(300)), "UTF-8")).alias("image"))
+    """Each page in base64, written as files from the tasks, and read back."""
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("index"), F.base64(F.encode("html", "UTF-8")).alias("image"))
     folder = scratch(spark, "images")
     sinks.write_images(sinks.image_files(rows, folder)).write.format("noop").mode("overwrite").save()
     back = spark.read.format("binaryFile").load(folder)
@@ -186,20 +186,20 @@ def json_texts(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", jsonx.tool_call(called, "n int")["n"].alias("n"), jsonx.canonical(loose).alias("canonical"), B.tool_call(tool, B.PHONE)["action"].alias("action"))
 
 
-@query("""SELECT vec_id, list_sort(list_distinct(list_filter(list_transform(embedding[1:8], lambda x: floor(x * 40)::INT), lambda f: f >= 0 AND f < 10))) AS frames, len(list_filter(embedding[1:8], lambda x: x > 0)) % 2 + len(list_filter(embedding[1:8], lambda x: x > 0)) AS even FROM embeddings""".replace("AS frames", "::VARCHAR AS frames"))
+@query("""SELECT vec_id, list_sort(list_distinct(list_filter(list_transform(embedding, lambda x: floor(x * 40)::INT), lambda f: f >= 0 AND f < 10))) AS frames, len(list_filter(embedding, lambda x: x > 0)) % 2 + len(list_filter(embedding, lambda x: x > 0)) AS even FROM embeddings""".replace("AS frames", "::VARCHAR AS frames"))
 def frame_lists(spark, sf_dir):
     """Frames inside a video, each once and in order, and lists made even."""
-    numbers = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 40).cast("int"))
+    numbers = F.transform(F.col("embedding"), lambda x: F.floor(x * 40).cast("int"))
     clipped = arrays.clipped_frames(numbers, F.lit(10))
-    even = arrays.even_fill(F.filter(F.slice("embedding", 1, 8), lambda x: x > 0))
+    even = arrays.even_fill(F.filter(F.col("embedding"), lambda x: x > 0))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(clipped, ", "), F.lit("]")).alias("frames"), F.size(even).alias("even"))
 
 
-@query("""WITH x AS (SELECT vec_id, list_transform(embedding[1:12], lambda v: floor(v * 20)::INT) AS ids FROM embeddings), y AS (SELECT *, coalesce(list_max(list_filter(range(1, 13), lambda i: ids[i] = 0)), 0) - 1 AS pl FROM x)
-SELECT vec_id, pl::INT AS place, CASE WHEN pl < 0 THEN 12 ELSE 13 END AS n, list_sum(CASE WHEN pl < 0 THEN ids ELSE list_concat(ids[:pl], [100, 200], ids[pl + 2:]) END)::BIGINT AS total FROM y""")
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v * 20)::INT) AS ids FROM embeddings), y AS (SELECT *, coalesce(list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = 0)), 0) - 1 AS pl FROM x)
+SELECT vec_id, pl::INT AS place, (len(ids) + (pl >= 0)::INT)::INT AS n, list_sum(CASE WHEN pl < 0 THEN ids ELSE list_concat(ids[:pl], [100, 200], ids[pl + 2:]) END)::BIGINT AS total FROM y""")
 def vote_tokens(spark, sf_dir):
     """The last place of a token, and the token there replaced by two."""
-    ids = F.transform(F.slice("embedding", 1, 12), lambda v: F.floor(v * 20).cast("int"))
+    ids = F.transform("embedding", lambda v: F.floor(v * 20).cast("int"))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))
     out = arrays.expanded(F.col("ids"), 0, [100, 200])
     return rows.select("vec_id", arrays.last_place(F.col("ids"), 0).alias("place"), F.size(out).alias("n"), F.aggregate(out, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
