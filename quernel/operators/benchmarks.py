@@ -145,12 +145,12 @@ def detection_jobs(images: DataFrame, annotations: DataFrame, sets: DataFrame) -
     """A row for each image: its number, path, sizes before and after, prompt and gold boxes.
 
     ``images``: dataset, img_id, file_name, height, width; ``annotations``: dataset, img_id, category_id, bbox; ``sets``: dataset, folder, classes. Numbers follow
-    the data sets' names and the images' ids; sets are few, so their rows go to each task.
+    the data sets' names and the images' ids.
     """
     unit = FACTOR * FACTOR
     size = G.resized(F.col("height"), F.col("width"), FACTOR, unit * FEWEST_TOKENS, unit * MOST_TOKENS, long_side=LONG_SIDE)
     gold = annotations.groupBy("dataset", "img_id").agg(F.array_sort(F.collect_list(F.struct("category_id", "bbox"))).alias("annotation"))
-    known = images.join(F.broadcast(sets), "dataset").join(gold, ["dataset", "img_id"], "left").withColumn("r", size)
+    known = images.join(sets, "dataset").join(gold, ["dataset", "img_id"], "left").withColumn("r", size)
     return known.select(
         "dataset", "img_id", F.concat("folder", "file_name").alias("img_path"), F.col("height").alias("img_h"), F.col("width").alias("img_w"), F.col("r.height").alias("resized_h"), F.col("r.width").alias("resized_w"),
         detection_prompt(F.col("classes")).alias("prompt"), "annotation",

@@ -138,12 +138,22 @@ def detection_rows(images: DataFrame, categories: list[int]) -> DataFrame:
     return images.select("image_id", each).select("image_id", F.array(box[0], box[1], box[2] - box[0], box[3] - box[1]).alias("bbox"), F.col("x.scores").cast("double").alias("score"), F.element_at(ids, F.col("x.labels") + 1).alias("category_id"))
 
 
-def captioned(frames: DataFrame, results: DataFrame) -> DataFrame:
-    """For each frame caption the last result whose text holds it; null without one. ``results`` are one video's, so few: their list goes to each task."""
-    listed = results.agg(F.array_sort(F.collect_list(F.struct("pos", "text", "result"))).alias("found"))
-    both = frames.join(F.broadcast(listed))
-    hit = F.element_at(F.filter("found", lambda x: F.contains(x["text"], F.col("caption"))), -1)
-    return both.select(*frames.columns, F.when(F.exists("found", lambda x: F.contains(x["text"], F.col("caption"))), hit["result"]).alias("result"))
+#: Results of one video at most, where no column tells videos apart.
+LISTED = 10_000
+
+
+def captioned(frames: DataFrame, results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """For each frame caption the last result whose text holds it; null without one.
+
+    ``by`` has the columns that tell videos apart: each frame meets the list of its own video's results. Without them all results are one video's; more than ``LISTED`` are refused.
+    """
+    own = [F.lit(0).alias("_video")] if not by else [F.struct(*by).alias("_video")]
+    if not by and results.limit(LISTED + 1).count() > LISTED:
+        raise ValueError("too many results for one video; name the columns that tell videos apart")
+    listed = results.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "result"))).alias("found"))
+    both = frames.withColumn("_video", F.lit(0) if not by else F.struct(*by)).join(listed, "_video", "left")
+    holds = lambda x: F.contains(x["text"], F.col("caption"))
+    return both.select(*frames.columns, F.when(F.exists("found", holds), F.element_at(F.filter("found", holds), -1)["result"]).alias("result"))
 
 
 def seeded(rows: DataFrame, group: str, key: str, n: int, seed: int, first: bool = False) -> DataFrame:

@@ -110,19 +110,25 @@ def first_by_hash(rows: DataFrame, groups: list[str], hashed: Column, tie: str,
     return sure.select(*rows.columns).unionByName(last.select(*rows.columns))
 
 
+#: Groups whose tables of a few numbers each are broadcast; with more groups they are joined by shuffle.
+BROADCAST_GROUPS = 200_000
+
+
 def values_at(rows: DataFrame, group: str, value: str, places: dict[str, Column], bins: int = 4096) -> DataFrame:
     """For each group the values at some places of its rows in order of the value (0 is the first); a place is a column of ``n``.
 
     Values are counted by bins between the group's extremes; only the bins that hold a place are looked at value by value.
     """
+    few = rows.select(group).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    short = F.broadcast if few else lambda table: table
     bounds = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
     width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
     number = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_low")) / width * bins)).cast("long")
-    binned = rows.select(group, value).join(F.broadcast(bounds), group).withColumn("_bin", number)
+    binned = rows.select(group, value).join(short(bounds), group).withColumn("_bin", number)
     counted = binned.groupBy(group, "_bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy(group).orderBy("_bin")))
     asked = bounds.select(group, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), p.cast("long").alias("place")) for k, p in places.items()))).alias("a")).select(group, "a.*")
-    hits = counted.join(F.broadcast(asked), group).filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
+    hits = counted.join(short(asked), group).filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
     hits = hits.select(group, "_bin", "name", (F.col("place") - (F.col("upto") - F.col("c"))).alias("at"))
-    near = binned.join(F.broadcast(hits), [group, "_bin"]).groupBy(group, "name", "at", value).agg(F.count("*").alias("c"))
+    near = binned.join(short(hits), [group, "_bin"]).groupBy(group, "name", "at", value).agg(F.count("*").alias("c"))
     near = near.withColumn("upto", F.sum("c").over(Window.partitionBy(group, "name").orderBy(value))).filter(F.col("upto") > F.col("at"))
     return near.groupBy(group).agg(*(F.min(F.when(F.col("name") == k, F.col(value))).alias(k) for k in places))

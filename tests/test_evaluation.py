@@ -97,6 +97,8 @@ def test_tables(spark):
     results = spark.createDataFrame([(1, "a cat", "r1"), (2, "cat and dog", "r2")], "pos int, text string, result string")
     assert {r.f: r.result for r in E.captioned(frames, results).collect()} == {1: "r2", 2: "r2", 3: None}
     assert {r.f: r.result for r in E.captioned(frames, results.filter("false")).collect()} == {1: None, 2: None, 3: None}
+    of_videos = E.captioned(frames.withColumn("v", F.col("f") % 2), results.withColumn("v", F.lit(1)), ["v"])
+    assert {r.f: r.result for r in of_videos.collect()} == {1: "r2", 2: None, 3: None}
     samples = spark.createDataFrame([("frame", "undone", 0), ("plan", None, 1), ("plan", None, 0)], "kind string, group string, idx int")
     assert E.of_kind(samples, "plan").count() == 2 and E.of_kind(samples, group="undone").count() == 1 and E.of_kind(samples).count() == 3
     assert E.plan_samples(samples).count() == 2 and E.plan_samples(samples, True).count() == 3
