@@ -164,3 +164,43 @@ def test_average_precision_of_a_category_in_many_parts(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert results[0] == results[1] and any(ap > 0 for *_, ap in results[0])
+
+
+def test_average_precision_of_crowded_images(spark):
+    """Counted runs and near boxes give what one loop over all pairs gives; a crowd of 6,000 boxes on 6,000 is no square."""
+    import time
+
+    rng = np.random.default_rng(11)
+    made = lambda n: [[float(x), float(y), float(x + w), float(y + h)] for x, y, w, h in zip(*rng.integers(0, 40, (2, n)), *rng.integers(20, 60, (2, n)))]
+    truths, found = made(150) * 2, [(b, float(s)) for b, s in zip(made(200) * 3, rng.integers(0, 4, 600) / 4)]
+    areas = {"all": (0.0, 1e10), "small": (0.0, 1200.0), "large": (1200.0, 1e10), "none": (1e9, 1e10)}
+    iou = lambda a, b: (i := max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))) / (sum((c[2] - c[0]) * (c[3] - c[1]) for c in (a, b)) - i)
+    inside = lambda b, ends: ends[0] <= (b[2] - b[0]) * (b[3] - b[1]) <= ends[1]
+    want = {}
+    for area, ends in areas.items():
+        for t in (0.5, 0.8):
+            left, order, marks = sorted(truths), sorted(found, key=lambda f: (-f[1], f[0])), []
+            for box, _ in order:
+                fit = [(not inside(b, ends), -iou(box, b), k) for k, b in enumerate(left) if iou(box, b) >= t]
+                if fit:
+                    outside, _, k = min(fit)
+                    left.pop(k)
+                    marks += [] if outside else [True]
+                elif inside(box, ends):
+                    marks.append(False)
+            n, tp, best = sum(inside(b, ends) for b in truths), 0, [0.0] * 101
+            for rank, mark in enumerate(marks, 1):
+                tp += mark
+                if mark:
+                    top = int(tp / n * 100 + 1e-9)
+                    best[: top + 1] = [max(b, tp / rank) for b in best[: top + 1]]
+            if n:
+                want[area, t] = round(sum(best) / 101, 6)
+    rows = spark.createDataFrame([(3, 1, b) for b in truths], "image long, category long, box array<double>")
+    boxes = spark.createDataFrame([(3, 1, b, s) for b, s in found], "image long, category long, box array<double>, score double")
+    got = {(r.area, r.threshold): r.ap for r in scoring.average_precision(boxes, rows, (0.5, 0.8), areas).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(set(want.values())) > 4
+    crowd = spark.range(6000).selectExpr("1L AS image", "1L AS category", "array(id % 100 * 7D, id div 100 * 7D, id % 100 * 7D + 9, id div 100 * 7D + 9) AS box")
+    began = time.monotonic()
+    assert scoring.average_precision(crowd.selectExpr("*", "1D AS score"), crowd).filter("area = 'all' AND ap < 1").count() == 0
+    assert time.monotonic() - began < 20
