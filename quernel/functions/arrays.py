@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def scaled_down(values: Column, by: int, more: float = 0.0) -> Column:
+    """Each number times ``by``, and some more, rounded down. All is done in single precision, as the values are; a whole number would widen them."""
+    return F.transform(values.cast("array<float>"), lambda x: F.floor(x * F.lit(by).cast("float") + F.lit(more).cast("float")).cast("int"))
+
+
 def clipped_frames(frames: Column, n: Column) -> Column:
     """Sorted distinct frames inside a video."""
     return F.array_sort(F.array_distinct(F.filter(frames, lambda f: (f >= 0) & (f < n))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions import arrays
 from quernel.functions import goals as G
 from quernel.functions import jsonx
 from quernel.functions import media as M
@@ -154,8 +155,8 @@ SELECT vec_id, len(c) AS total, len(list_filter(c, lambda v: v = 1)) AS passed,
 len(list_filter(c, lambda v: v = 1)) / len(c) AS accuracy, len(list_filter(c, lambda v: v = 1)) = len(c) AS all_passed FROM x""")
 def tested_programs(spark, sf_dir):
     """Tallies of tests by their codes."""
-    code = lambda v: F.greatest(F.lit(-2), F.least(F.lit(1), F.floor(v * 8 + 0.5))).cast("int")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", code).alias("codes"))
+    codes = F.transform(arrays.scaled_down(F.col("embedding"), 8, 0.5), lambda c: F.greatest(F.lit(-2), F.least(F.lit(1), c)))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", codes.alias("codes"))
     return E.tested(rows)
 
 

@@ -189,8 +189,7 @@ def json_texts(spark, sf_dir):
 @query("""SELECT vec_id, list_sort(list_distinct(list_filter(list_transform(embedding, lambda x: floor(x * 40)::INT), lambda f: f >= 0 AND f < 10))) AS frames, len(list_filter(embedding, lambda x: x > 0)) % 2 + len(list_filter(embedding, lambda x: x > 0)) AS even FROM embeddings""".replace("AS frames", "::VARCHAR AS frames"))
 def frame_lists(spark, sf_dir):
     """Frames inside a video, each once and in order, and lists made even."""
-    numbers = F.transform(F.col("embedding"), lambda x: F.floor(x * 40).cast("int"))
-    clipped = arrays.clipped_frames(numbers, F.lit(10))
+    clipped = arrays.clipped_frames(arrays.scaled_down(F.col("embedding"), 40), F.lit(10))
     even = arrays.even_fill(F.filter(F.col("embedding"), lambda x: x > 0))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(clipped, ", "), F.lit("]")).alias("frames"), F.size(even).alias("even"))
 
@@ -199,8 +198,7 @@ def frame_lists(spark, sf_dir):
 SELECT vec_id, pl::INT AS place, (len(ids) + (pl >= 0)::INT)::INT AS n, list_sum(CASE WHEN pl < 0 THEN ids ELSE list_concat(ids[:pl], [100, 200], ids[pl + 2:]) END)::BIGINT AS total FROM y""")
 def vote_tokens(spark, sf_dir):
     """The last place of a token, and the token there replaced by two."""
-    ids = F.transform("embedding", lambda v: F.floor(v * 20).cast("int"))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", arrays.scaled_down(F.col("embedding"), 20).alias("ids"))
     out = arrays.expanded(F.col("ids"), 0, [100, 200])
     return rows.select("vec_id", arrays.last_place(F.col("ids"), 0).alias("place"), F.size(out).alias("n"), F.aggregate(out, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 

@@ -204,3 +204,18 @@ def test_average_precision_of_crowded_images(spark):
     began = time.monotonic()
     assert scoring.average_precision(crowd.selectExpr("*", "1D AS score"), crowd).filter("area = 'all' AND ap < 1").count() == 0
     assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("name", ["vote_tokens", "frame_lists", "tested_programs"])
+def test_numbers_of_single_precision_at_borders(spark, tmp_path, name):
+    """Numbers just below and above a border fall where the SQL, in single precision, puts them."""
+    import duckdb
+
+    from quernel.plans import annotation_queries, io_queries, queries  # noqa: F401
+
+    exact = np.array([k / n for n in (20, 40, 8) for k in range(-n, n)] + [(k - 0.5) / 8 for k in range(-8, 9)], np.float32)
+    rows = np.concatenate([exact, *(np.nextafter(exact, np.float32(x)) for x in (9, -9))])
+    rows = [np.random.default_rng(k).permutation(rows)[:9].tolist() for k in range(300)]
+    spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.sql(queries.SQL[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(map(str, want))
