@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import algebra
@@ -47,6 +47,14 @@ def same(said: Column, gold: Column) -> Column:
     return F.coalesce(decided, read(*asked), F.lit(False))
 
 
+def with_same(rows: DataFrame, said: str, gold: str, name: str) -> DataFrame:
+    """Rows with whether two answers are equal. Each distinct pair is read once, spread over all tasks however few files or rows hold it."""
+    pairs = rows.select(said, gold).distinct()
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    read = pairs.repartition(parts).select(F.col(said).alias("_said"), F.col(gold).alias("_gold"), same(F.col(said), F.col(gold)).alias(name))
+    return rows.join(read, F.col(said).eqNullSafe(F.col("_said")) & F.col(gold).eqNullSafe(F.col("_gold"))).drop("_said", "_gold")
+
+
 def checked(prediction: Column, answer: Column, options: Column, prefetch: bool = False) -> Column:
     """The check of an answer. With options the rules pick a letter (which ``prefetch`` gives as it is); an open answer is compared whole.
 
