@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,30 @@ def bound_media(items: DataFrame, key: str) -> DataFrame:
 def answer_labels(ids: Column, begin: int, end: int) -> Column:
     """Labels: the ids of answers, from two after each begin mark to one after the next end mark; all others are ignored.
 
-    An answer without an end stays ignored. The state of the scan is the end of the answer that a place is in.
+    An answer without an end stays ignored. All lists of a batch are one row of numbers, in which the next end is looked up, so the work is
+    in proportion to the ids.
     """
-    size = F.size(ids)
-    stop = lambda i: F.array_position(F.slice(ids, i + 1, F.greatest(F.lit(0), size - i)), end)
-    spans = F.filter(
-        F.transform(F.filter(F.transform(ids, lambda x, i: F.when(x == begin, i)), lambda i: i.isNotNull()), lambda i: F.struct((i + 2).alias("a"), (i + 2 + stop(i + 2).cast("int")).alias("b"), (stop(i + 2) > 0).alias("ok"))),
-        lambda s: s["ok"],
-    )
-    return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["a"]) & (i <= s["b"])), x).otherwise(F.lit(IGNORED)))
+
+    @F.arrow_udf("array<int>")
+    def labels(lists: pa.Array) -> pa.Array:
+        lists = lists.cast(pa.list_(pa.int32()))
+        ids, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.r_[0, np.cumsum(sizes)]
+        there = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        values = ids.fill_null(0).to_numpy()
+        begins, ends = (np.flatnonzero(there & (values == mark)) for mark in (begin, end))
+        stop = np.r_[ends, len(values)][np.searchsorted(ends, begins + 2)]
+        last = bounds[np.searchsorted(bounds, begins, "right")]
+        good = stop < last
+        marks = np.zeros(len(values) + 2, np.int64)
+        np.add.at(marks, begins[good] + 2, 1)
+        # one after the end, as long as the list goes
+        np.add.at(marks, np.minimum(stop[good] + 2, last[good]), -1)
+        inside = np.cumsum(marks)[: len(values)] > 0
+        out = pc.if_else(pa.array(inside), ids, pa.scalar(IGNORED, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), out, mask=lists.is_null() if lists.null_count else None)
+
+    return labels(ids)
 
 
 class Rooms:

@@ -166,3 +166,30 @@ def test_streams_end(spark, tmp_path):
     assert [(r.ep, r.kind, r.change) for r in run(twins.signal_events(source, 0.5, 4.0, quiet=1000), "ended_twin")] == [(0, "open", 9.0)]
     got = sorted((r.ep, r.ts, r.window) for r in run(twins.memory(source, 3, 2), "memory_twin"))
     assert [w for e, _, w in got if e == 0] == [[0.0, 0.0, 0.0], [0.0, 0.0, 3.0], [0.0, 0.0, 6.0], [0.0, 3.0, 9.0]]
+
+
+def test_labels_of_long_lists(spark):
+    """Lists of 20,000 ids with thousands of marks; a place that looks through all answers takes minutes."""
+    import time
+
+    rng = np.random.default_rng(4)
+    rows = [([int(x) for x in rng.choice([1, 2, 7, 8], n)],) for n in (20_000, 0, 3, 20_000)] + [(None,), ([7, 3, None, 8, 7],)]
+    df = spark.createDataFrame(rows, "ids array<int>").coalesce(1)
+    began = time.monotonic()
+    got = df.select("ids", prep.answer_labels(F.col("ids"), 7, 8).alias("l")).collect()
+    assert time.monotonic() - began < 60
+    assert got[4].l is None and got[5].l == [-100, -100, None, 8, -100]
+    for r in got[1:3]:
+        assert r.l == brute_labels(r.ids, 7, 8)
+    for r in (got[0], got[3]):
+        nxt, inside = len(r.ids), [False] * (len(r.ids) + 2)
+        ends = [0] * (len(r.ids) + 3)
+        for i in range(len(r.ids) + 2, -1, -1):
+            nxt = i if i < len(r.ids) and r.ids[i] == 8 else nxt
+            ends[i] = nxt
+        reach = -1
+        for i, x in enumerate(r.ids):
+            if i >= 2 and r.ids[i - 2] == 7 and ends[i] < len(r.ids):
+                reach = max(reach, ends[i] + 1)
+            inside[i] = i <= reach
+        assert r.l == [x if inside[i] else -100 for i, x in enumerate(r.ids)]
