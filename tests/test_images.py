@@ -120,3 +120,11 @@ def test_broken_files_are_none():
                 cut[rng.randrange(len(cut))] = rng.randrange(256)
         images.pixels_of(bytes(cut))
     assert images.pixels_of(file[:40]) is None and images.pixels_of(b"") is None
+
+
+def test_pixels_come_in_slices():
+    from quernel.functions import images
+
+    rows = [(1000, 1000, bytes(3_000_000)), None] * 12
+    sizes = [len(frame) for frame in images.sliced(iter(rows))]
+    assert sum(sizes) == 24 and max(sizes) <= 6 and list(images.sliced(iter([]))) == []
