@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,19 @@ def fenced(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("```")), inside).otherwise(bare)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is found once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def boxes(text: Column) -> Column:
     """Boxes of four numbers; an answer that is not a list, or has a broken element, has none at all."""
-    found = F.from_json(fenced(text), BOX)
-    broken = F.exists(found, lambda b: b.isNull() | b["bbox_2d"].isNull() | F.exists(b["bbox_2d"], lambda x: x.isNull()))
-    return F.when(found.isNull() | broken, F.array().cast(BOX)).otherwise(F.filter(found, lambda b: F.size(b["bbox_2d"]) == 4))
+
+    def good(found: Column) -> Column:
+        broken = F.exists(found, lambda b: b.isNull() | b["bbox_2d"].isNull() | F.exists(b["bbox_2d"], lambda x: x.isNull()))
+        return F.when(found.isNull() | broken, F.array().cast(BOX)).otherwise(F.filter(found, lambda b: F.size(b["bbox_2d"]) == 4))
+
+    return let(F.from_json(fenced(text), BOX), good)
 
 
 def points(text: Column) -> Column:
@@ -37,16 +47,20 @@ def boxes_3d(text: Column) -> Column:
     return F.filter(F.coalesce(F.from_json(listed, kind), F.array().cast(kind)), lambda b: F.size(b["bbox_3d"]) == 9)
 
 
+def parsed_or_null(text: Column) -> Column:
+    """Parsed JSON, null where a text is none. A text that does not begin as JSON does is not given to the parser, as each of its errors costs as much as many rows."""
+    return F.when(text.rlike(r'^[ \t\r\n]*[\[{"0-9tfn-]'), F.try_parse_json(text))
+
+
 def document(text: Column) -> Column:
     """A fenced or bare document: (json, error); where it does not parse, the raw text and true."""
     body = F.when(F.contains(text, F.lit("```")), fenced(text)).otherwise(F.trim(text))
-    parsed = F.try_parse_json(body)
-    return F.struct(F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(text).alias("json"), parsed.isNull().alias("error"))
+    return let(parsed_or_null(body), lambda parsed: F.struct(F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(text).alias("json"), parsed.isNull().alias("error")))
 
 
 def canonical(text: Column) -> Column:
     """Compact JSON with sorted keys if a text parses, else the text with blanks collapsed."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.coalesce(F.to_json(parsed_or_null(text)), F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def tool_call(text: Column, schema: str) -> Column:

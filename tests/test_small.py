@@ -24,6 +24,15 @@ def test_json_answers(spark):
     assert value(spark, jsonx.whole_number_keys(F.create_map(F.lit("4"), F.lit("x")))) == {4: "x"}
 
 
+def test_parsing_is_done_once(spark):
+    texts = ["{}", " [1]", '"x"', "-1", "0.5", "true", "false", "null", "nul", "-", "", "  ", "NaN", "Infinity", "+1", ".5", "'a'", "I see {1", "\ufeff1", "\n\t{\"a\": 1}", "// x", "{} x", "\u00a01"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", jsonx.parsed_or_null(F.col("t")).isNull().alias("a"), F.try_parse_json("t").isNull().alias("b")).collect()
+    assert [r.t for r in got if r.a != r.b] == []
+    plan = rows.select(jsonx.boxes(F.col("t")).alias("b"), jsonx.document(F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("parseJson") <= 1
+
+
 def test_arrays(spark):
     ids = F.array(*map(F.lit, [5, 7, 5, 9]))
     assert value(spark, arrays.last_place(ids, 5)) == 2 and value(spark, arrays.last_place(ids, 1)) == -1
