@@ -204,7 +204,10 @@ def interleaved(text: Column, images: Column) -> Column:
 def window_scores(wanted: Column, said: Column, most: int) -> Column:
     """Scores of the first goals: BLEU, edits, edits a token, and whether they are the same goals."""
     clean = lambda goals: F.transform(F.slice(goals, 1, most), lambda g: F.array_join(tokens(F.lower(F.coalesce(g, F.lit("")))), " "))
-    a, b = clean(wanted), clean(said)
-    ta, tb = goal_tokens(a), goal_tokens(b)
-    edits = token_distance(ta, tb)
-    return F.struct(bleu(ta, tb).alias("bleu"), edits.alias("edits"), (edits / F.greatest(F.lit(1), F.size(ta))).alias("share"), (a == b).alias("exact"))
+
+    def scored(x: Column) -> Column:
+        edits = token_distance(x["ta"], x["tb"])
+        return bound(edits, lambda e: F.struct(bleu(x["ta"], x["tb"]).alias("bleu"), e.alias("edits"), (e / F.greatest(F.lit(1), F.size(x["ta"]))).alias("share"), (x["a"] == x["b"]).alias("exact")))
+
+    cleaned = F.struct(clean(wanted).alias("a"), clean(said).alias("b"))
+    return bound(cleaned, lambda x: bound(F.struct(x["a"].alias("a"), x["b"].alias("b"), goal_tokens(x["a"]).alias("ta"), goal_tokens(x["b"]).alias("tb")), scored))

@@ -88,3 +88,12 @@ def test_prompts(spark):
     assert value(spark, prompts.answer_number(F.lit("C"))) == 2
     with pytest.raises(Exception, match="not an option"):
         value(spark, prompts.answer_number(F.lit("F")))
+
+
+def test_scores_of_windows_are_found_once(spark):
+    from quernel.functions import text as T
+
+    rows = spark.createDataFrame([(["Put it  down", None], ["put it down", "Go"]), ([], ["a"])], "a array<string>, b array<string>")
+    out = rows.select(T.window_scores(F.col("a"), F.col("b"), 2).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("levenshtein") == 1
+    assert [(r.s.edits, round(r.s.share, 6), r.s.exact) for r in out.collect()] == [(1, round(1 / 3, 6), False), (1, 1.0, False)]
