@@ -5,7 +5,7 @@ All windows are partitioned by the episode ``ep`` and ordered by the frame ``f``
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +59,31 @@ def monotone_runs(rows: DataFrame, still: float, least: float) -> DataFrame:
     return out.filter(F.abs("change") >= least).select("ep", "start", "end", F.floor((F.col("start") + F.col("end")) / 2).alias("mid"), F.round("change", 4).alias("change"), kind.alias("kind"))
 
 
-def spaced(events: DataFrame, gap: int) -> DataFrame:
-    """Events of an episode at least ``gap`` frames after the last one that was taken: each choice depends on the one before."""
+def plain(column: pa.Array) -> list:
+    """A column as Python values, whole numbers, flags and texts by way of numpy, which is faster."""
+    kind = column.type
+    quick = pa.types.is_string(kind) or (column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_boolean(kind)))
+    return column.to_numpy(zero_copy_only=False).tolist() if quick else column.to_pylist()
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], None
-        for row in pdf.sort_values(["mid", "start"]).itertuples(index=False):
-            if last is None or row.mid - last >= gap:
-                rows.append(row)
-                last = row.mid
-        return pd.DataFrame(rows, columns=pdf.columns)
 
-    return events.groupBy("ep").applyInPandas(pick, events.schema)
+def spaced(events: DataFrame, gap: int, keys: tuple[str, ...] = ("ep",)) -> DataFrame:
+    """Events of an episode at least ``gap`` frames after the last one that was taken: each choice depends on the one before.
+
+    A task reads its episodes in order in one pass and keeps the last taken event alone, however many and long they are. ``keys`` tell an episode.
+    """
+
+    def pick(batches):
+        was, last = None, None
+        for batch in batches:
+            taken = []
+            for k, (mid, *key) in enumerate(zip(*(plain(batch.column(c)) for c in ("mid", *keys)))):
+                if key != was or (None not in (mid, last) and mid - last >= gap):
+                    taken.append(k)
+                    was, last = key, mid
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    order = [F.col(c) for c in keys] + [F.col("mid").asc_nulls_last(), F.col("start").asc_nulls_last()]
+    return events.repartition(*keys).sortWithinPartitions(*order).mapInArrow(pick, events.schema)
 
 
 def first_sustained(rows: DataFrame, moving: Column, run: int) -> DataFrame:

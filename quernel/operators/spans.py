@@ -1,7 +1,7 @@
 """Spans of an episode from its steps, gripper events and motion: the fine and the coarse way.
 
-Where a span ends decides where the next one looks, and taken events are gone, so an episode is walked in order, in one group of
-``applyInPandas``; an episode has a bounded number of frames. All searches inside of it (runs of motion, of rest, of
+Where a span ends decides where the next one looks, and taken events are gone, so an episode is walked in order, as one row of a
+task's batches; an episode has a bounded number of frames. All searches inside of it (runs of motion, of rest, of
 rising) are sums over whole arrays. Many episodes are many groups: nothing larger than one episode meets in a task.
 
 Inputs by episode: ``frames`` (ep, f, state), ``events`` (ep, arm, kind, frame, start_frame, end_frame) and ``steps`` (ep, pos, text, kind,
@@ -11,16 +11,23 @@ arm, ends). Output: (ep, idx, goal, subtask_type, start, end, source, rule, gap_
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
+from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quernel.functions import goals as G
 from quernel.operators import trajectory
+from quernel.operators.series import plain
 
 #: Least steps of motion (by what is searched), of turns and of rising, lengths of runs, margins and paths.
 GRIP_MOVES, OTHER_MOVES, TURNS, RISES = 0.0005, 0.002, 0.01, 0.0005
@@ -45,6 +52,8 @@ ENDS = {
 ASIDE = {"place_dual_shoes": 0.015, "place_cans_plasticbox": 0.02}
 RETREAT = r"(?i)\b(?:lift|return|retract)\b(?:.+\bafter (?:releasing|pressing)\b|.+above the table\b)"
 SPAN = "ep {}, idx int, goal string, subtask_type string, start long, end long, source string, rule string, gap_fill string"
+#: Fixed value: episodes that a task has as Python objects at one time.
+EPISODES = 256
 STEP = "array<struct<text:string,kind:string,arm:string,ends:array<string>>>"
 
 
@@ -406,12 +415,24 @@ def goes_with(segment: frozenset, group: frozenset) -> bool:
     return bool(segment & group)
 
 
+@lru_cache(4096)
+def hint_of(step: Step) -> tuple[str, frozenset | None]:
+    """The action of a step as a hint, and the arms that it names, if it does."""
+    named = step.arm if step.arm in G.ARMS else G.arm_context_of(step.text)
+    action = {"handover": "handover", "open_move": "open_move", "close": "grasp", "open": "place"}.get(step.kind, "move")
+    return action, BOTH if uses_both(step) else frozenset([named]) if named in G.ARMS else None
+
+
 class CoarseWalk:
-    """A walk over the segments of motion of one episode, which end at gripper groups or where the arm changes."""
+    """A walk over the segments of motion of one episode, which end at gripper groups or where the arm changes.
+
+    Groups stand in order of their starts. Each question about free groups is one about frames, so it looks at the groups around these alone.
+    """
 
-    def __init__(self, steps: list[Step], segments: list[Piece], groups: list[Piece], frames: int, motion: Motion, merge_text: bool):
-        self.steps, self.segments, self.groups, self.frames, self.motion, self.merge_text = steps, segments, groups, frames, motion, merge_text
-        self.free = dict(enumerate(groups))
+    def __init__(self, steps: list[Step], segments: list[Piece], groups: list[Piece], frames: int, heights: dict[str, np.ndarray], merge_text: bool):
+        self.steps, self.segments, self.groups, self.frames, self.heights, self.merge_text = steps, segments, sorted(groups, key=lambda g: g.start), frames, heights, merge_text
+        self.free = dict(enumerate(self.groups))
+        self.starts, self.latest_ends = [g.start for g in self.groups], list(accumulate((g.end for g in self.groups), max))
         self.hint, self.emitted, self.last_kind = 0, -1, None
         self.out: list[dict] = []
         self.clear()
@@ -419,12 +440,13 @@ class CoarseWalk:
     def clear(self) -> None:
         self.start, self.end, self.arms, self.single = None, -1, frozenset(), None
 
+    def among(self, first: int, last: int) -> Iterable[tuple[int, Piece]]:
+        """The free groups of some places in order."""
+        return ((k, self.free[k]) for k in range(first, last) if k in self.free)
+
     def fits(self, step: Step, kind: str, arms: frozenset) -> bool:
         """Whether a step's hint can be the goal of a span."""
-        names = {"handover": "handover", "open_move": "open_move", "close": "grasp", "open": "place"}
-        action = names.get(step.kind, "move")
-        named = step.arm if step.arm in G.ARMS else G.arm_context_of(step.text)
-        context = BOTH if uses_both(step) else frozenset([named]) if named in G.ARMS else None
+        action, context = hint_of(step)
         if action == "handover" and kind.endswith("place"):
             return context is None or bool(context & arms)
         return action in kind and (context is None or context == arms)
@@ -451,8 +473,8 @@ class CoarseWalk:
         if len(arms) != 1:
             return text
         (arm,) = arms
-        if at is not None and text.lower().startswith("retract") and "above the table" in text and 0 <= at < self.motion.frames:
-            height = max(0, round((float(self.motion.height[arm][at]) - G.TABLE_HEIGHT) * 100))
+        if at is not None and text.lower().startswith("retract") and "above the table" in text and 0 <= at < len(self.heights.get(arm, ())):
+            height = max(0, round((float(self.heights[arm][at]) - G.TABLE_HEIGHT) * 100))
             text = re.sub(r"(?i)\bto (?:at least|about) \d+ cm above the table\b", f"to about {height} cm above the table", text)
         return G.with_arm_of(text, arm)
 
@@ -463,7 +485,7 @@ class CoarseWalk:
     def emit(self, end: int, group: Piece | None, arms: frozenset) -> None:
         """The span since the start, up to a gripper group or a change of the arm."""
         arms = group.arms if group and len(group.arms) == 1 else arms or self.arms
-        waiting = [k for k, g in self.free.items() if self.emitted < g.start <= self.start and arms & g.arms]
+        waiting = [k for k, g in self.among(bisect_right(self.starts, self.emitted), bisect_right(self.starts, self.start)) if arms & g.arms]
         start = min([self.start, *(self.free.pop(k).start for k in waiting)])
         what = "move" if group is None else "grasp" if group.kind == "close" else "place"
         kind = f"{'dual' if len(arms) == 2 else 'single'}_{what}"
@@ -479,7 +501,9 @@ class CoarseWalk:
         """A span of its own for a waiting release of this arm, where the other arm joins next."""
         if self.start is not None or after is None or not after.arms - segment.arms or len(segment.arms) != 1:
             return False
-        key = next((k for k, g in self.free.items() if g.kind == "open" and g.end > self.emitted and g.start <= segment.start and g.arms == segment.arms), None)
+        # all groups before the first of these have ended
+        near = self.among(bisect_right(self.latest_ends, self.emitted), bisect_right(self.starts, segment.start))
+        key = next((k for k, g in near if g.kind == "open" and g.end > self.emitted and g.arms == segment.arms), None)
         if key is None:
             return False
         group = self.free.pop(key)
@@ -505,7 +529,8 @@ class CoarseWalk:
             else:
                 self.end, self.arms, self.single = segment.end, self.arms | segment.arms, self.single or single
             until = after.start if after else self.frames
-            key = next((k for k, g in self.free.items() if self.start <= g.start < until and goes_with(self.arms, g.arms)), None)
+            near = self.among(bisect_left(self.starts, self.start), bisect_left(self.starts, until))
+            key = next((k for k, g in near if goes_with(self.arms, g.arms)), None)
             if key is not None:
                 group = self.free.pop(key)
                 self.emit(group.end, group, self.arms)
@@ -575,18 +600,21 @@ def coarse_spans(steps: list[Step], segments: list[Piece], groups: list[Piece],
     """The spans of one episode from its cut segments and its gripper groups; raises if it has no frames."""
     if frames <= 0:
         raise ValueError("an episode has no frames")
-    return CoarseWalk(steps, segments, groups, frames, Motion(states), merge_text).spans()
+    return CoarseWalk(steps, segments, groups, frames, {} if states is None else {arm: states[:, first + 2] for arm, first in trajectory.ARMS.items()}, merge_text).spans()
 
 
 # ---- Tables
 
 
+def told(steps: DataFrame) -> DataFrame:
+    return steps.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "arm", "ends"))).alias("steps"))
+
+
 def packed(frames: DataFrame, events: DataFrame, steps: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """One row for each episode with frames: its states in order, its events and its steps."""
     states = frames.groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "state"))), lambda x: x["state"]).alias("states"))
     taken = events.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("frame", "arm", "kind", F.coalesce("start_frame", "frame").cast("long").alias("start"), F.coalesce("end_frame", "frame").cast("long").alias("end")))).alias("events"))
-    told = steps.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "arm", "ends"))).alias("steps"))
-    out = states.join(taken, "ep", "left").join(told, "ep", "left")
+    out = states.join(taken, "ep", "left").join(told(steps), "ep", "left")
     return out if extra is None else out.join(extra, "ep", "left")
 
 
@@ -645,23 +673,41 @@ def assign_coarse(frames: DataFrame, events: DataFrame, steps: DataFrame, slugs:
 
     by_task = slugs is not None
     extra = extra.join(slugs, "ep", "full") if slugs is not None else extra
-
-    def arms(x) -> frozenset:
-        return frozenset(a for a in G.ARMS if x[a])
+    # of the states the goals tell heights alone
+    heights = F.struct("f", *(F.col("state")[first + 2].alias(arm) for arm, first in trajectory.ARMS.items()))
+    seen = frames.groupBy("ep").agg(F.array_sort(F.collect_list(heights)).alias("heights"))
+    kind = frames.schema["ep"].dataType.simpleString()
+    schema = to_arrow_schema(StructType.fromDDL(SPAN.format(kind)))
+    arms = {(left, right): frozenset(a for a, there in zip(G.ARMS, (left, right)) if there) for left in (True, False, None) for right in (True, False, None)}
 
     def walk(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                states = np.stack([np.asarray(s, float) for s in row.states])
-                parts = [Piece(int(s["start"]), int(s["end"]), arms(s)) for s in (row.segments if row.segments is not None else ())]
-                grips = [Piece(int(g["start"]), int(g["end"]), arms(g), g["kind"], int(g["frame"])) for g in (row.groups if row.groups is not None else ())]
-                grips.sort(key=lambda g: (g.start, g.frame, sorted(g.arms)))
-                out += rows_of(row.ep, coarse_spans(steps_in(row), parts, grips, len(states), states, merge_text and not (by_task and row.slug in unmerged)))
-            yield pd.DataFrame(out, columns=COLUMNS)
-
-    kind = frames.schema["ep"].dataType.simpleString()
-    return packed(frames, events, steps, extra).mapInPandas(walk, SPAN.format(kind))
+        for batch in batches:
+            for at in range(0, batch.num_rows, EPISODES):
+                part, out = batch.slice(at, EPISODES), []
+                seen, steps, segments, groups = (lists(part.column(c)) for c in ("heights", "steps", "segments", "groups"))
+                high = {arm: seen[1].field(arm).to_numpy(zero_copy_only=False) for arm in trajectory.ARMS}
+                steps_all = [Step(t, k or "final", a, tuple(e or ())) for t, k, a, e in zip(*fields(steps[1], "text", "kind", "arm", "ends"))]
+                parts_all = [Piece(a, b, arms[left, right]) for a, b, left, right in zip(*fields(segments[1], "start", "end", "left", "right"))]
+                grips_all = [Piece(a, b, arms[left, right], k, f) for a, b, left, right, k, f in zip(*fields(groups[1], "start", "end", "left", "right", "kind", "frame"))]
+                slugs = part.column("slug").to_pylist() if by_task else [None] * part.num_rows
+                for k, (ep, slug) in enumerate(zip(part.column("ep").to_pylist(), slugs)):
+                    rows, mine, parts, grips = (slice(*offsets[k : k + 2]) for offsets, _ in (seen, steps, segments, groups))
+                    sorted_grips = sorted(grips_all[grips], key=lambda g: (g.start, g.frame, sorted(g.arms)))
+                    merge = merge_text and not (by_task and slug in unmerged)
+                    out += rows_of(ep, CoarseWalk(steps_all[mine], parts_all[parts], sorted_grips, rows.stop - rows.start, {arm: z[rows] for arm, z in high.items()}, merge).spans())
+                yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*out), schema)], schema=schema)
+
+    return seen.join(told(steps), "ep", "left").join(extra, "ep", "left").mapInArrow(walk, SPAN.format(kind))
+
+
+def lists(column: pa.ListArray) -> tuple[list[int], pa.Array]:
+    """Where each list of a column begins and ends, and the items of all."""
+    offsets = column.offsets.to_numpy()
+    return (offsets - offsets[0]).tolist(), column.values.slice(offsets[0], offsets[-1] - offsets[0])
+
+
+def fields(items: pa.StructArray, *names: str) -> list[list]:
+    return [plain(items.field(name)) for name in names]
 
 
 def upcoming(points: DataFrame, events: DataFrame, kinds: list[str] | None = None, arms: list[str] | None = None) -> DataFrame:

@@ -6,19 +6,22 @@ Windows are partitioned by episode (and span) and ordered by frame.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quernel.functions import geometry as G
-from quernel.operators.series import inside, spaced
+from quernel.operators.series import inside, plain, spaced
 
-#: Where each arm's numbers begin, what counts as motion, and when a subtask is done.
+#: Where each arm's numbers begin, what counts as motion, when a subtask is done, and the frames of a stretch in which segments and groups meet.
 ARMS = {"left": 0, "right": 8}
 LEAST_PATH, LEAST_TURN_DEGREES, LEAST_GRIP = 0.01, 2.0, 0.05
 STEP_MOVES, STEP_TURNS = 0.0015, 0.01
 GRIP_STILL, GRIP_CHANGE, GRIP_GAP = 1e-4, 0.25, 3
 DONE = 0.995
+MEETING = 16
 
 
 def slots(arm: str, first: int, last: int, column: str = "state") -> list[Column]:
@@ -82,10 +85,9 @@ def gripper_events(frames: DataFrame) -> DataFrame:
     signed = arms.withColumn("sign", F.when(F.abs("d") > GRIP_STILL, F.signum("d").cast("int")).otherwise(0))
     runs = signed.withColumn("new", (F.col("sign") != F.coalesce(F.lag("sign").over(order), F.lit(9))).cast("int")).withColumn("run", F.sum("new").over(order))
     found = runs.filter("sign != 0").groupBy("ep", "arm", "run", "sign").agg((F.min("f") - 1).alias("start"), F.max("f").alias("end"), F.sum("d").alias("change")).filter(F.abs("change") >= GRIP_CHANGE)
-    key = F.struct("ep", "arm")
-    events = found.select(F.to_json(key).alias("ep"), "start", "end", F.floor((F.col("start") + F.col("end")) / 2).alias("mid"), "change", F.when(F.col("sign") > 0, "open").otherwise("close").alias("kind"))
-    kept = spaced(events, GRIP_GAP).withColumn("k", F.from_json("ep", f"ep {frames.schema['ep'].dataType.simpleString()}, arm string"))
-    return kept.select("k.ep", "k.arm", F.col("mid").alias("frame"), "kind", F.col("start").alias("start_frame"), F.col("end").alias("end_frame"))
+    kind = F.when(F.col("sign") > 0, "open").otherwise("close")
+    events = found.select("ep", "arm", "start", "end", F.floor((F.col("start") + F.col("end")) / 2).alias("mid"), kind.alias("kind"))
+    return spaced(events, GRIP_GAP, ("ep", "arm")).select("ep", "arm", F.col("mid").alias("frame"), "kind", F.col("start").alias("start_frame"), F.col("end").alias("end_frame"))
 
 
 def motion_segments(frames: DataFrame, idle: int = 2) -> DataFrame:
@@ -118,24 +120,39 @@ def motion_segments(frames: DataFrame, idle: int = 2) -> DataFrame:
 def gripper_groups(events: DataFrame, gap: int = 3) -> DataFrame:
     """(ep, start, end, frame, kind, left, right): events of one kind and different arms at most ``gap`` frames apart are one group.
 
-    Each event, in order, takes all free partners, so the choice depends on those before it; an episode has few events.
+    Each event, in order, takes all free partners, so the choice depends on those before it. A task reads its episodes in
+    order in one pass and holds the groups that may still grow alone.
     """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["frame", "arm", "kind"]).to_dict("records")
-        free, out = list(range(len(rows))), []
-        while free:
-            lead = rows[free.pop(0)]
-            mates = [k for k in free if rows[k]["kind"] == lead["kind"] and rows[k]["arm"] != lead["arm"] and abs(rows[k]["frame"] - lead["frame"]) <= gap]
-            free = [k for k in free if k not in mates]
-            every = [lead, *(rows[k] for k in mates)]
-            arms = {e["arm"] for e in every}
-            out.append((lead["ep"], min(e["start_frame"] for e in every), max(e["end_frame"] for e in every), min(e["frame"] for e in every), lead["kind"], "left" in arms, "right" in arms))
-        return pd.DataFrame(out, columns=["ep", "start", "end", "frame", "kind", "left", "right"])
-
-    kind = events.schema["ep"].dataType.simpleString()
-    whole = events.withColumn("start_frame", F.coalesce("start_frame", "frame")).withColumn("end_frame", F.coalesce("end_frame", "frame"))
-    return whole.groupBy("ep").applyInPandas(group, f"ep {kind}, start long, end long, frame long, kind string, left boolean, right boolean")
+    def table(groups: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g[k] for g in groups], field.type) for k, field in enumerate(schema)], schema=schema)
+
+    def grouped(batches):
+        # a group is a row of the result and the arm of its first event
+        was, growing = None, []
+        for batch in batches:
+            done = []
+            for ep, frame, arm, kind, start, end in zip(*(plain(batch.column(c)) for c in ("ep", "frame", "arm", "kind", "start_frame", "end_frame"))):
+                if ep != was:
+                    done += growing
+                    was, growing = ep, []
+                elif growing and frame - growing[0][3] > gap:
+                    done += [g for g in growing if frame - g[3] > gap]
+                    growing = [g for g in growing if frame - g[3] <= gap]
+                for lead in growing:
+                    if lead[4] == kind and lead[7] != arm:
+                        lead[1], lead[2] = min(lead[1], start), max(lead[2], end)
+                        lead[5], lead[6] = lead[5] or arm == "left", lead[6] or arm == "right"
+                        break
+                else:
+                    growing.append([ep, start, end, frame, kind, arm == "left", arm == "right", arm])
+            yield table(done)
+        yield table(growing)
+
+    names = f"ep {events.schema['ep'].dataType.simpleString()}, start long, end long, frame long, kind string, left boolean, right boolean"
+    whole = events.select("ep", "arm", "kind", "frame", F.coalesce("start_frame", "frame").alias("start_frame"), F.coalesce("end_frame", "frame").alias("end_frame"))
+    schema = to_arrow_schema(StructType.fromDDL(names))
+    return whole.repartition("ep").sortWithinPartitions("ep", "frame", "arm", "kind").mapInArrow(grouped, names)
 
 
 def compatible(a: str, b: str) -> Column:
@@ -147,18 +164,24 @@ def joined_segments(segments: DataFrame, groups: DataFrame) -> DataFrame:
     """Neighbouring segments with the same arms become one, unless a gripper group starts between them."""
     order = Window.partitionBy("ep").orderBy("start", "end")
     same = (F.col("left") == F.lag("left").over(order)) & (F.col("right") == F.lag("right").over(order))
-    numbered = segments.withColumn("before", F.lag("end").over(order)).withColumn("same", F.coalesce(same, F.lit(False)))
-    starts = groups.select("ep", F.col("start").alias("g"))
-    between = numbered.join(starts, (numbered.ep == starts.ep) & (F.col("g") > F.col("before")) & (F.col("g") < F.col("start")), "left_semi").select("ep", "start", "end", F.lit(True).alias("cut"))
-    marked = numbered.join(between, ["ep", "start", "end"], "left").withColumn("new", (~F.col("same") | F.coalesce("cut", F.lit(False))).cast("int"))
+    numbered = segments.select("ep", "start", "end", "left", "right", F.lag("end").over(order).alias("before"), F.coalesce(same, F.lit(False)).alias("same"), F.lit(None).cast("long").alias("group"))
+    # the last group that starts before a segment is between it and the one before, or none is
+    starts = groups.select("ep", F.col("start").cast("long").alias("start"), F.col("start").cast("long").alias("group"))
+    earlier = Window.partitionBy("ep").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    both = numbered.withColumn("start", F.col("start").cast("long")).unionByName(starts, allowMissingColumns=True).withColumn("last", F.max("group").over(earlier))
+    cut = F.coalesce(F.col("last") > F.col("before"), F.lit(False))
+    marked = both.filter("group IS NULL").withColumn("new", (~F.col("same") | cut).cast("int"))
     parts = marked.withColumn("part", F.sum("new").over(order)).groupBy("ep", "part").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.first("left").alias("left"), F.first("right").alias("right"))
     return parts.drop("part")
 
 
 def split_segments(segments: DataFrame, groups: DataFrame) -> DataFrame:
     """Segments cut after the ends of the compatible gripper groups inside them."""
-    s, g = segments.alias("s"), groups.alias("g")
-    inside = (F.col("s.ep") == F.col("g.ep")) & (F.col("g.end") >= F.col("s.start")) & (F.col("g.end") < F.col("s.end")) & (F.col("g.start") <= F.col("s.end")) & compatible("s", "g")
+    # they meet by short stretches of frames, so a long episode is as many small joins
+    part = lambda c: F.floor(F.col(c) / MEETING)
+    s = segments.withColumn("part", F.explode(F.sequence(part("start"), part("end")))).alias("s")
+    g = groups.withColumn("part", part("end")).alias("g")
+    inside = (F.col("s.ep") == F.col("g.ep")) & (F.col("s.part") == F.col("g.part")) & (F.col("g.end") >= F.col("s.start")) & (F.col("g.end") < F.col("s.end")) & (F.col("g.start") <= F.col("s.end")) & compatible("s", "g")
     cuts = s.join(g, inside, "left").groupBy(*(F.col(f"s.{c}").alias(c) for c in ("ep", "start", "end", "left", "right"))).agg(F.array_sort(F.collect_set("g.end")).alias("cuts"))
     begins = F.concat(F.array("start"), F.transform("cuts", lambda c: c + 1))
     ends = F.concat("cuts", F.array("end"))
