@@ -206,6 +206,47 @@ def test_average_precision_of_crowded_images(spark):
     assert time.monotonic() - began < 20
 
 
+def test_average_precision_keeps_rows_small(spark, monkeypatch):
+    """Runs of a category are many short rows between the steps, and their curve is that of one loop over all of them."""
+    from quernel import session
+
+    paths, whole = [], session.scratch
+    monkeypatch.setattr(session, "scratch", lambda spark, name: paths.append(whole(spark, name)) or paths[-1])
+    rng = np.random.default_rng(12)
+    made = lambda n, most: [[float(x), float(y), float(x + 30), float(y + 30)] for x, y in rng.integers(0, most, (n, 2))]
+    truths = [(k % 3, k % 2, b) for k, b in enumerate(made(240, 90))] + [(1, 1, [0.0, 0.0, 30.0, 30.0])] * 290
+    # more than RUNS boxes of one score, single scores, and counts that pass a byte
+    found = [(k % 3, k % 2, b, 0.5 if k % 4 else k / 6000) for k, b in enumerate(made(6000, 90))] + [(1, 1, [1.0, 0.0, 31.0, 30.0], 0.9)] * 300
+    areas = {"all": (0.0, 1e10), "none": (1e9, 1e10)}
+    iou = lambda a, b: (i := max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))) / (1800 - i)
+    want = {}
+    for category in (0, 1):
+        for t in (0.5, 0.8):
+            left = {k: sorted(b for i, c, b in truths if (i, c) == (k, category)) for k in range(3)}
+            n, tp, best = sum(map(len, left.values())), 0, [0.0] * 101
+            for rank, (_, image, box) in enumerate(sorted((-s, i, b) for i, c, b, s in found if c == category), 1):
+                fit = [(-iou(box, b), k) for k, b in enumerate(left[image]) if abs(b[0] - box[0]) < 15 and iou(box, b) >= t]
+                if fit:
+                    left[image].pop(min(fit)[1])
+                    tp += 1
+                    top = int(tp / n * 100 + 1e-9)
+                    best[: top + 1] = [max(b, tp / rank) for b in best[: top + 1]]
+            want[category, t] = round(sum(best) / 101, 6)
+    rows = spark.createDataFrame([*truths, (1, None, truths[0][2])], "image long, category long, box array<double>").filter("category IS NOT NULL")
+    boxes = spark.createDataFrame([*found, (1, None, found[0][2], 1.0)], "image long, category long, box array<double>, score double")
+    got = {(r.category, r.threshold): r.ap for r in scoring.average_precision(boxes, rows, (0.5, 0.8), areas).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(set(want.values())) == 4
+    # with the ten thresholds and four areas, the kinds that make a run's row longest
+    scoring.average_precision(boxes, rows).collect()
+    longest = 0
+    for path in paths:
+        table = spark.read.parquet(path)
+        for name, kind in table.dtypes:
+            if kind == "binary":
+                longest = max(longest, table.agg(F.max(F.length(name)).alias("n")).first().n)
+    assert 0 < longest < 1 << 17
+
+
 @pytest.mark.parametrize("name", ["vote_tokens", "frame_lists", "tested_programs"])
 def test_numbers_of_single_precision_at_borders(spark, tmp_path, name):
     """Numbers just below and above a border fall where the SQL, in single precision, puts them."""
